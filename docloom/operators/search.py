@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.json import contains_metadata
 from docloom.functions.vectors import RANK_DECIMALS, cosine_distance
-from docloom.operators import topk
+from docloom.operators.topk import NAN_KEY, NULL_KEY, Scores, cosine_keys, scan, top_k
 
 SEARCH_COLUMNS = (
     "id", "url", "tool_name", "source_type", "chunk_number",
@@ -116,13 +116,13 @@ def nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         ids, matrix = _query_matrix(block)
         shared = items.sparkSession.sparkContext.broadcast(matrix)
 
-        def score(batch: pa.RecordBatch) -> topk.Scores:
-            keys = topk.cosine_keys(shared.value, batch.column("embedding"), RANK_DECIMALS)
+        def score(batch: pa.RecordBatch) -> Scores:
+            keys = cosine_keys(shared.value, batch.column("embedding"), RANK_DECIMALS)
             yield None, keys, batch.column("id").to_numpy()
 
-        return topk.scan(items.select("id", "embedding"), ids, k, score)
+        return scan(items.select("id", "embedding"), ids, k, score)
 
-    return with_similarity(topk.top_k(queries, k, scan_block))
+    return with_similarity(top_k(queries, k, scan_block))
 
 
 def _query_matrix(block: list) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +133,8 @@ def _query_matrix(block: list) -> tuple[np.ndarray, np.ndarray]:
 def with_similarity(ranked: DataFrame) -> DataFrame:
     key: Column = F.col("rank_key")
     similarity = (
-        F.when(key == topk.NULL_KEY, F.lit(None).cast("double"))
-        .when(key == topk.NAN_KEY, F.lit(float("nan")))
+        F.when(key == NULL_KEY, F.lit(None).cast("double"))
+        .when(key == NAN_KEY, F.lit(float("nan")))
         .otherwise(1 - key)
     )
     return ranked.select("query_id", "rank", F.col("item_id").alias("id"), similarity.alias("similarity"))
