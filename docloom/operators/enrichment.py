@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.json import is_fallback
-from docloom.functions.text import prompt_excerpt, squash, words
+from docloom.functions.text import prompt_excerpt, squash, strip, words
 from docloom.functions.urls import document_path, url_path
 from docloom.schema import VECTOR_WIDTH
 from docloom.session import cut_lineage
@@ -53,16 +53,17 @@ def vector_key(content: Column, model: str | None = None) -> Column:
 
 
 def extract_title(content: Column) -> Column:
-    """First heading of the chunk, else its first sentence or line."""
-    heading = F.regexp_extract(content, r"(?m)^#{1,6} +(\S[^\n]*)", 1)
-    lead = F.regexp_extract(content, r"^\s*(.*?(?:[.!?](?=\s|$)|(?=\n)|$))", 1)
-    return squash(F.when(heading != "", heading).otherwise(lead))
+    """First heading of the chunk, else the first sentence of its first line, else that line."""
+    found = [r"(?m)^#{1,6} +(\S[^\n]*)", r"^\s*([^\n]*?[.!?])(?:\s|$)", r"^\s*([^\n]*)"]
+    matches = [F.nullif(F.regexp_extract(content, p, 1), F.lit("")) for p in found]
+    return squash(F.coalesce(*matches, F.lit("")))
 
 
 def extract_summary(content: Column) -> Column:
-    """The first two sentences of the chunk, headings left out."""
+    """The first two sentences of the chunk, headings left out; all of it if it has none."""
     body = squash(F.regexp_replace(content, r"(?m)^#{1,6} [^\n]*", " "))
-    return F.regexp_extract(body, r"^(.*?[.!?](?: .*?[.!?])?)(?= |$)|^(.*)$", 0)
+    lead = strip(F.regexp_extract(body, r"^(?:.*?[.!?](?: |$)){1,2}", 0))
+    return F.coalesce(F.nullif(lead, F.lit("")), body)
 
 
 # --- default vector -----------------------------------------------------------------------
