@@ -124,11 +124,17 @@ def memo_misses(keyed: DataFrame, memo: DataFrame, inputs: list[str]) -> DataFra
     Copies of a text shrink to one row per task before the exchange, however
     many there are.
     """
-    return (
-        keyed.groupBy("memo_key")
-        .agg(*[F.any_value(c).alias(c) for c in inputs])
-        .join(memo.select("memo_key"), "memo_key", "left_anti")
-    )
+    wanted = keyed.groupBy("memo_key").agg(*[F.any_value(c).alias(c) for c in inputs])
+    return wanted.join(_memo_hits(keyed, memo).select("memo_key"), "memo_key", "left_anti")
+
+
+def _memo_hits(keyed: DataFrame, memo: DataFrame) -> DataFrame:
+    """The memo's rows for the wanted keys.
+
+    An inner join, so that the keys of a small batch can be sent to a large
+    memo rather than the memo be shuffled.
+    """
+    return memo.join(keyed.select("memo_key").distinct(), "memo_key")
 
 
 def memoised(
@@ -144,8 +150,9 @@ def memoised(
     Failed calls give their fallback to their rows but do not enter the memo.
     """
     values = [c for c in memo.columns if c != "memo_key"]
-    computed = cut_lineage(compute(memo_misses(keyed, memo, inputs)))
-    known = memo.select("memo_key", *values, F.lit(True).alias("memo_hit")).unionByName(
+    hits = cut_lineage(_memo_hits(keyed, memo).select("memo_key", *values))
+    computed = cut_lineage(compute(memo_misses(keyed, hits, inputs)))
+    known = hits.withColumn("memo_hit", F.lit(True)).unionByName(
         computed.select("memo_key", *values, F.lit(False).alias("memo_hit"))
     )
     return Memoised(

@@ -10,23 +10,26 @@ from docloom.schema import KEYS, REPLACED, SOURCE_TYPES, TABLES, VECTOR_WIDTH
 from docloom.session import cut_lineage
 
 
-def changed_rows(table: str, existing: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
+def changed_rows(
+    table: str, existing: DataFrame, incoming: DataFrame, as_of: Column, top_id: int | None = None
+) -> DataFrame:
     """Rows of ``table`` after the upsert, for the keys of ``incoming`` only.
 
     ``incoming`` has the key, the replaced columns and ``seq``; of several rows
     with one key the last wins. A known key keeps its id and creation time, new
-    keys get the next ids in key order. Only key, id and time of the existing
-    rows are read.
+    keys get the ids after ``top_id`` (the greatest existing one) in key order.
+    Only key, id and time of the existing rows are read.
     """
     keys = list(KEYS[table])
     latest = last_wins(incoming.select(*keys, *REPLACED[table], "seq"), keys, "seq").drop("seq")
     known = existing.select(*keys, "id", "created_at")
     matched = cut_lineage(latest.join(known, keys, "left"))
-    first = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    if top_id is None:
+        top_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
     added = number_rows(matched.where(F.col("id").isNull()).select(*keys), "_number", keys)
     rows = (
         matched.join(added, keys, "left")
-        .withColumn("id", F.coalesce("id", F.col("_number") + first))
+        .withColumn("id", F.coalesce("id", F.col("_number") + top_id))
         .withColumn("created_at", F.coalesce("created_at", as_of))
         .withColumn("updated_at", as_of)
     )

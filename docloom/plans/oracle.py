@@ -722,3 +722,17 @@ best AS (
 SELECT b.item_id AS query_id, title AS question, body AS accepted_answer,
   'https://stackoverflow.com/q/' || question_id AS source_url
 FROM benchmark b LEFT JOIN best ON best.query_id = b.item_id LEFT JOIN question USING (question_id)"""
+
+# --- streaming ----------------------------------------------------------------------------
+
+ORACLE["stream_ingest"] = (
+    _with(
+        f"""page_text AS (
+  SELECT {_BARE} AS url, arg_max({_TEXT}, page_id) AS text FROM pages GROUP BY 1
+)""",
+        _cut("chunk", "page_text", "url", 5000),
+        recursive=True,
+    )
+    + f"""SELECT {_HOST} AS tool_name, url, chunk_number, {_title("content")} AS title,
+  {_summary("content")} AS summary, content FROM chunk"""
+)

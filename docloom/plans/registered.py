@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,12 @@ from docloom.operators.traversal import crawl, in_scope
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
 from docloom.plans import derived as d
 from docloom.schema import TABLES
-from docloom.session import tune
+from docloom.session import shared_dir, tune
 from docloom.sources.captures import resolve_redirects, scan_captures
 from docloom.sources.files import document_files
+from docloom.sources.kb_store import KnowledgeStore
 from docloom.sources.registry import resolve_documentation
+from docloom.streaming.ingest import page_stream, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -731,3 +734,18 @@ def accepted_answer(spark, sf_dir):
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
     return accepted_answers(questions, answers, asked)
+
+
+# --- streaming ----------------------------------------------------------------------------
+
+
+@registered
+def stream_ingest(spark, sf_dir):
+    """The pages as a stream into a new store; equal to cutting them in one batch."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    store = KnowledgeStore(spark, root)
+    stream = page_stream(spark, sf_dir, "pages.parquet")
+    start_ingest(stream, store, f"{root}/progress", d.moment(), width=d.WIDTH).awaitTermination()
+    return joined_chunks(store.knowledge_base()).select(
+        "tool_name", "url", "chunk_number", "title", "summary", "content"
+    )
