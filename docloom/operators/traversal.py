@@ -56,35 +56,51 @@ def crawl(
         # Every stored page is on its crawl's host, so scope is known per edge.
         .where(url_netloc(F.col("url")) == url_netloc(F.col("target")))
     )
-    level = cut_lineage(
-        starts.join(pages, starts["start_url"] == pages["url"]).select(
-            "crawl_id", "url", "final_url", F.array().cast("array<int>").alias("path")
-        )
+    level = starts.join(pages, starts["start_url"] == pages["url"]).select(
+        "crawl_id", "url", "final_url", F.array().cast("array<int>").alias("path")
     )
-    if limit is not None and limit <= 0:
-        level = level.limit(0)
+    level = cut_lineage(_marked(level, [], limit))
     requested = [level.select("crawl_id", "url")]
-    stored: list[DataFrame] = []
+    stored = [_stored(level, 0)]
     reached = 0
-    while True:
-        fresh = level.groupBy("crawl_id", "final_url").agg(F.min("path").alias("path"))
-        if stored:
-            fresh = fresh.join(_all(stored), ["crawl_id", "final_url"], "left_anti")
-        if limit is not None:
-            fresh = _within_limit(fresh, stored, limit)
-        fresh = cut_lineage(fresh.withColumn("depth", F.lit(reached)))
-        stored.append(fresh.select("crawl_id", "final_url", "depth"))
-        if depth is not None and reached >= depth:
-            break
+    while depth is None or reached < depth:
         reached += 1
         growing = level if limit is None else _unfinished(level, stored, limit)
-        level = cut_lineage(_next_level(growing, edges, requested, stored))
+        found = _next_level(growing, edges, requested, stored)
+        level = cut_lineage(_marked(found, stored, limit))
         if level.isEmpty():
             break
         requested.append(level.select("crawl_id", "url"))
+        stored.append(_stored(level, reached))
     return _all(stored).select("crawl_id", F.col("final_url").alias("url"), "depth")
 
 
+def _stored(level: DataFrame, depth: int) -> DataFrame:
+    return level.where("stores").select("crawl_id", "final_url", F.lit(depth).alias("depth"))
+
+
+def _marked(level: DataFrame, stored: list[DataFrame], limit: int | None) -> DataFrame:
+    """Add ``stores``: whether a request is the first to reach a page its crawl stores.
+
+    A page is not requested at all once a redirect of its own level led to it.
+    """
+    first = level.groupBy("crawl_id", "final_url").agg(F.min("path").alias("_first"))
+    fresh = first
+    if stored:
+        fresh = fresh.join(_all(stored), ["crawl_id", "final_url"], "left_anti")
+    if limit is not None:
+        fresh = _within_limit(fresh, stored, limit)
+    fresh = fresh.select("crawl_id", "final_url", F.lit(True).alias("_fresh"))
+    marks = first.join(fresh, ["crawl_id", "final_url"], "left")
+    is_first = F.col("path") == F.col("_first")
+    return (
+        level.join(marks, ["crawl_id", "final_url"])
+        .where((F.col("url") != F.col("final_url")) | is_first)
+        .withColumn("stores", is_first & F.coalesce("_fresh", F.lit(False)))
+        .select("crawl_id", "url", "final_url", "path", "stores")
+    )
+
+
 def _all(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
@@ -93,7 +109,8 @@ def _next_level(
     level: DataFrame, edges: DataFrame, requested: list[DataFrame], stored: list[DataFrame]
 ) -> DataFrame:
     """Requests found on this level that were never made before, by first discovery."""
-    found = (
+    known = _all(stored).select("crawl_id", F.col("final_url").alias("url"))
+    return (
         level.join(edges, "url")
         .select(
             "crawl_id",
@@ -103,20 +120,7 @@ def _next_level(
         )
         .groupBy("crawl_id", "url")
         .agg(F.min("path").alias("path"), F.any_value("final_url").alias("final_url"))
-        .join(_all(requested), ["crawl_id", "url"], "left_anti")
-    )
-    known = _all(stored).select("crawl_id", F.col("final_url").alias("url"))
-    found = found.join(known, ["crawl_id", "url"], "left_anti")
-    # A request is dropped too if an earlier redirect of the same level ends there.
-    earlier = (
-        found.where(F.col("final_url") != F.col("url"))
-        .groupBy("crawl_id", F.col("final_url").alias("url"))
-        .agg(F.min("path").alias("_path"))
-    )
-    return (
-        found.join(earlier, ["crawl_id", "url"], "left")
-        .where(F.col("_path").isNull() | (F.col("_path") > F.col("path")))
-        .select("crawl_id", "url", "final_url", "path")
+        .join(_all(requested).unionByName(known), ["crawl_id", "url"], "left_anti")
     )
 
 
@@ -126,7 +130,7 @@ def _counts(stored: list[DataFrame]) -> DataFrame:
 
 def _within_limit(fresh: DataFrame, stored: list[DataFrame], limit: int) -> DataFrame:
     """The first pages of a level, in visit order, that the crawl's limit still admits."""
-    numbered = number_rows(fresh, "_place", ["path"], within=["crawl_id"])
+    numbered = number_rows(fresh, "_place", ["_first"], within=["crawl_id"])
     if not stored:
         return numbered.where(F.col("_place") <= limit).drop("_place")
     return (
@@ -138,5 +142,8 @@ def _within_limit(fresh: DataFrame, stored: list[DataFrame], limit: int) -> Data
 
 def _unfinished(level: DataFrame, stored: list[DataFrame], limit: int) -> DataFrame:
     """Rows of crawls that have not reached their limit."""
-    full = _counts(stored).where(F.col("_stored") >= limit)
-    return level.join(full, "crawl_id", "left_anti")
+    open_crawls = level.select("crawl_id").distinct().join(_counts(stored), "crawl_id", "left")
+    return level.join(
+        open_crawls.where(F.coalesce("_stored", F.lit(0)) < limit).select("crawl_id"),
+        "crawl_id", "left_semi",
+    )

@@ -43,7 +43,7 @@ from docloom.operators.traversal import crawl, in_scope
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
 from docloom.plans import derived as d
 from docloom.schema import TABLES
-from docloom.session import shared_dir, tune
+from docloom.session import cut_lineage, shared_dir, tune
 from docloom.sources.captures import resolve_redirects, scan_captures
 from docloom.sources.files import document_files
 from docloom.sources.kb_store import KnowledgeStore
@@ -416,7 +416,7 @@ def redirect_resolve(spark, sf_dir):
 
 
 def _site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    pages = d.site_pages(spark, sf_dir)
+    pages = cut_lineage(d.site_pages(spark, sf_dir))
     return pages, d.site_links(pages)
 
 

@@ -9,26 +9,28 @@ SOURCE_TYPES = ("official_package_documentation",)
 SOURCE_TYPE = SOURCE_TYPES[0]
 
 
-def _table(ddl: str, required: str) -> T.StructType:
-    needed = set(required.split())
+# Types by name; the first part of each table is required, the second may be NULL.
+_TYPES = {
+    "id": T.LongType(), "tool_id": T.LongType(), "page_id": T.LongType(),
+    "chunk_number": T.IntegerType(), "embedding": T.ArrayType(T.FloatType()),
+    "created_at": T.TimestampType(), "updated_at": T.TimestampType(),
+}
+
+
+def _table(columns: str, optional: str = "") -> T.StructType:
     return T.StructType(
-        [T.StructField(f.name, f.dataType, f.name not in needed) for f in T.StructType.fromDDL(ddl)]
+        [
+            T.StructField(name, _TYPES.get(name, T.StringType()), name in optional.split())
+            for name in columns.split()
+        ]
     )
 
 
-TOOL_DOCS = _table(
-    "id LONG, tool_name STRING, source_type STRING, url STRING,"
-    " created_at TIMESTAMP, updated_at TIMESTAMP, metadata STRING",
-    "id tool_name source_type url created_at updated_at metadata",
-)
-PAGE = _table(
-    "id LONG, tool_id LONG, url STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
-    "id tool_id url created_at updated_at",
-)
+TOOL_DOCS = _table("id tool_name source_type url created_at updated_at metadata")
+PAGE = _table("id tool_id url created_at updated_at")
 PAGE_CHUNK = _table(
-    "id LONG, page_id LONG, chunk_number INT, title STRING, summary STRING, content STRING,"
-    " embedding ARRAY<FLOAT>, metadata STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
-    "id page_id chunk_number title summary content metadata created_at updated_at",
+    "id page_id chunk_number title summary content embedding metadata created_at updated_at",
+    optional="embedding",
 )
 TABLES = {"tool_docs": TOOL_DOCS, "page": PAGE, "page_chunk": PAGE_CHUNK}
 KEYS = {
@@ -43,5 +45,10 @@ REPLACED = {
     "page_chunk": ("title", "summary", "content", "embedding", "metadata"),
 }
 
-PAGES = T.StructType.fromDDL("page_id LONG, url STRING, html STRING")
-LINKS = T.ArrayType(T.StructType.fromDDL("href STRING, text STRING"))
+PAGES = T.StructType(
+    [
+        T.StructField("page_id", T.LongType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("html", T.StringType()),
+    ]
+)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.search import KnowledgeBase
@@ -47,7 +47,7 @@ class KnowledgeStore:
 
     # --- tables
 
-    def _manifest(self) -> list:
+    def _manifest(self) -> list[Row]:
         """Latest entry of every segment: one small row each."""
         entries = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
         latest = F.max_by(F.struct("version", "path", "top_id"), "version").alias("e")
@@ -55,44 +55,46 @@ class KnowledgeStore:
             "table_name", "segment", "e.*"
         ).collect()
 
-    def read(self, table: str, segments: set[int] | None = None) -> DataFrame:
-        paths = [
-            row["path"]
-            for row in self._manifest()
-            if row["table_name"] == table and (segments is None or row["segment"] in segments)
-        ]
-        if not paths:
+    def _entries(self, table: str) -> dict[int, Row]:
+        return {row["segment"]: row for row in self._manifest() if row["table_name"] == table}
+
+    def _scan(self, table: str, entries: list[Row]) -> DataFrame:
+        if not entries:
             return self.spark.createDataFrame([], TABLES[table])
+        paths = [row["path"] for row in entries]
         return self.spark.read.schema(TABLES[table]).parquet(*paths)
 
+    def read(self, table: str) -> DataFrame:
+        return self._scan(table, list(self._entries(table).values()))
+
     def knowledge_base(self) -> KnowledgeBase:
         return KnowledgeBase(*[self.read(name) for name in ("tool_docs", "page", "page_chunk")])
 
     def _segment(self, table: str) -> Column:
         column, size = SEGMENTS[table]
-        return F.floor(F.col(column) / size)
+        return F.floor(F.col(column) / size).alias("segment")
 
     def upsert(self, table: str, incoming: DataFrame, as_of: Column) -> DataFrame:
         """Merge ``incoming`` by key and return the rows that were written."""
-        entries = [row for row in self._manifest() if row["table_name"] == table]
-        existing = self.read(table)
-        if table == "page_chunk":
+        entries = self._entries(table)
+        matching = list(entries.values())
+        if table == "page_chunk" and entries:
             # A chunk's key holds its page, so only the pages' segments can match.
-            existing = self.read(table, self._segments_of(table, incoming))
-        top_id = max((row["top_id"] for row in entries), default=0)
+            found = incoming.select(self._segment(table)).distinct().collect()
+            matching = [entries[row["segment"]] for row in found if row["segment"] in entries]
+        top_id = max((row["top_id"] for row in entries.values()), default=0)
+        existing = self._scan(table, matching)
         changed = cut_lineage(changed_rows(table, existing, incoming, as_of, top_id))
-        self._commit(table, changed, 1 + max((row["version"] for row in entries), default=0))
+        self._commit(table, changed, entries)
         return changed
 
-    def _segments_of(self, table: str, rows: DataFrame) -> set[int]:
-        found = rows.select(self._segment(table).alias("segment")).distinct().collect()
-        return {row["segment"] for row in found}
-
-    def _commit(self, table: str, changed: DataFrame, version: int) -> None:
-        touched = self._segments_of(table, changed)
+    def _commit(self, table: str, changed: DataFrame, entries: dict[int, Row]) -> None:
+        touched = changed.groupBy(self._segment(table)).agg(F.max("id").alias("top_id")).collect()
         if not touched:
             return
-        merged = apply_changes(self.read(table, touched), changed)
+        before = [entries[row["segment"]] for row in touched if row["segment"] in entries]
+        merged = apply_changes(self._scan(table, before), changed) if before else changed
+        version = 1 + max((row["version"] for row in entries.values()), default=0)
         folder = f"{self.root}/{table}/v{version:09d}-{uuid.uuid4().hex[:8]}"
         # Ranges by id: a segment with very many rows gets several files, each with narrow bounds.
         (
@@ -102,17 +104,14 @@ class KnowledgeStore:
             .write.partitionBy("segment")
             .parquet(folder)
         )
-        written = self.spark.read.parquet(folder)
-        (
-            written.groupBy("segment").agg(F.max("id").cast("long").alias("top_id"))
-            .select(
-                F.lit(version).cast("long").alias("version"), F.lit(table).alias("table_name"),
-                F.col("segment").cast("long").alias("segment"),
-                F.concat(F.lit(f"{folder}/segment="), F.col("segment").cast("string")).alias("path"),
-                "top_id",
-            )
-            .coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        )
+        tops = {row["segment"]: row["top_id"] for row in before}
+        rows = [
+            (version, table, row["segment"], f"{folder}/segment={row['segment']}",
+             max(row["top_id"], tops.get(row["segment"], 0)))
+            for row in touched
+        ]
+        new = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
+        new.write.mode("append").parquet(f"{self.root}/manifest")
 
     # --- memos
 

@@ -54,7 +54,11 @@ def start_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_documents(store, to_documents(batch), as_of, **options)
+        # A stream's own session plans without adaptive execution. The batch is
+        # landed first, so that the heavy joins run in the store's session.
+        landed = f"{store.root}/landing/{batch_id}"
+        to_documents(batch).write.mode("overwrite").parquet(landed)
+        ingest_documents(store, store.spark.read.parquet(landed), as_of, **options)
 
     return (
         pages.writeStream.foreachBatch(write)
