@@ -6,12 +6,15 @@ bag-of-words vector. A model takes their place through the hooks.
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,9 @@ from docloom.functions.urls import document_path, url_path
 from docloom.schema import VECTOR_WIDTH
 from docloom.session import cut_lineage
 
+# Tasks get this module's code with their closures; executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of a chunk's metadata.
 CHUNK_SOURCE = "pydantic_ai_docs"
 
@@ -69,25 +75,24 @@ def extract_summary(content: Column) -> Column:
 # --- default vector -----------------------------------------------------------------------
 
 
-def token_codes(content: Column, width: int) -> Column:
-    """Each word's bucket, from its hash: ``bucket + 1``, negative for half of the words."""
-
-    def code(word: Column) -> Column:
-        digest = F.md5(word)
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % width + 1
-        return F.when(F.substring(digest, 9, 1) >= "8", -bucket).otherwise(bucket).cast("int")
-
-    return F.transform(words(content), code)
+def _word_codes(word: str, width: int) -> tuple[int, int]:
+    """Bucket and sign of a word, from its hash."""
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:8], 16) % width, -1 if digest[8] >= "8" else 1
 
 
 def _dense(width: int) -> Callable[[Column], Column]:
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def dense(codes: pa.Array) -> pa.Array:
-        rows = len(codes)
-        sizes = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat = codes.flatten().to_numpy(zero_copy_only=False)
-        cells = np.repeat(np.arange(rows), sizes) * width + np.abs(flat) - 1
-        counts = np.bincount(cells, weights=np.sign(flat), minlength=rows * width)
+    def dense(tokens: pa.Array) -> pa.Array:
+        rows = len(tokens)
+        sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        coded = tokens.flatten().dictionary_encode()
+        # A batch has far fewer different words than words: hash each once.
+        codes = [_word_codes(word, width) for word in coded.dictionary.to_pylist()]
+        bucket, sign = np.array(codes, dtype=np.int64).reshape(-1, 2).T
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(rows), sizes) * width + bucket[word]
+        counts = np.bincount(cells, weights=sign[word], minlength=rows * width)
         counts = counts.reshape(rows, width)
         length = np.sqrt((counts * counts).sum(axis=1))
         unit = counts / np.where(length == 0, 1.0, length)[:, None]
@@ -98,12 +103,12 @@ def _dense(width: int) -> Callable[[Column], Column]:
 
 
 def hashed_vector(content: Column, width: int = VECTOR_WIDTH) -> Column:
-    """Unit vector of signed word counts; the zero vector for a text without words.
+    """Unit vector of signed counts of hashed words; zero for a text without words.
 
-    Words are hashed in the JVM; one Arrow batch of codes becomes one block of
+    Texts are split in the JVM; one Arrow batch of words becomes one block of
     vectors. No exchange: a chunk never leaves its task.
     """
-    return _dense(width)(token_codes(content, width))
+    return _dense(width)(words(content))
 
 
 # --- memoised calls -----------------------------------------------------------------------

@@ -17,6 +17,7 @@ from docloom.operators.enrichment import chunk_metadata, extract_summary, extrac
 from docloom.operators.ranking import number_rows
 from docloom.operators.search import KnowledgeBase
 from docloom.schema import SOURCE_TYPE
+from docloom.session import spread
 from docloom.sources.captures import resolve_redirects
 
 AS_OF = "2025-01-01 00:00:00"
@@ -29,7 +30,8 @@ def moment(text: str = AS_OF) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 # --- documents as pages of a tool per source ----------------------------------------------
