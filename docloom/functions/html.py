@@ -17,7 +17,7 @@ ENTITIES = {
     "&times;": "×", "&para;": "¶", "&sect;": "§", "&deg;": "°", "&amp;": "&",
 }
 
-UNSEEN = r"(?is)<!--.*?-->|<(script|style|head|noscript|template|svg)(?=[\s>])[^>]*>.*?</\1\s*>"
+UNSEEN = r"(?is)<!--.*?-->|<(script|style|head|title|noscript|template|svg)(?=[\s>])[^>]*>.*?</\1\s*>"
 SIDE_PARTS = r"(?is)<(nav|header|footer|aside|form)(?=[\s>])[^>]*>.*?</\1\s*>"
 BLOCK = (
     r"(?i)</?(?:html|body|main|article|section|header|footer|nav|aside|form|div|p|ul|ol|dl|dt|dd"
@@ -115,15 +115,14 @@ def page_title(html: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """``ARRAY<STRUCT<href, text>>`` of the anchors of a page in order."""
-    markup = visible(html)
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(markup, F.lit(ANCHOR), 1).alias("href"),
-        F.regexp_extract_all(markup, F.lit(ANCHOR), 2).alias("text"),
-    )
+    # The page is searched once; its parts are then taken from each short match.
+    found = F.regexp_extract_all(visible(html), F.lit(ANCHOR), F.lit(0))
     return F.transform(
-        pairs,
+        found,
         lambda a: F.struct(
-            unescape(F.regexp_replace(a["href"], r"^[\"']|[\"']$", "")).alias("href"),
-            inline_text(a["text"]).alias("text"),
+            unescape(
+                F.regexp_replace(F.regexp_extract(a, ANCHOR, 1), r"^[\"']|[\"']$", "")
+            ).alias("href"),
+            inline_text(F.regexp_extract(a, ANCHOR, 2)).alias("text"),
         ),
     )

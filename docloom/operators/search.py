@@ -22,6 +22,10 @@ RESULT_COLUMNS = (
     "summary", "similarity", "chunk_number", "content",
 )
 DEFAULT_MATCHES = 10
+# Up to this many matches are looked up by id; more are joined.
+LOOKUP_IDS = 1000
+# Hits of this many rows take at most 10 MB; only so many are sent to every task.
+BROADCAST_HITS = 250_000
 
 
 @dataclass
@@ -64,7 +68,7 @@ def _in_tools(chunks: DataFrame, kb: KnowledgeBase, filter: dict | None) -> Data
 
 
 def _described(kb: KnowledgeBase, hits: DataFrame, extra: list[str]) -> DataFrame:
-    """Texts, page and tool of the few chunks that were found."""
+    """Texts, page and tool of the chunks that were found."""
     texts = kb.page_chunk.select(
         "id", "page_id", "chunk_number", "title", "summary", "content", "metadata"
     )
@@ -85,22 +89,33 @@ def match_chunks(
 
     Vectors are reduced to distances in the scan; ids and distances are all
     that is joined and ranked. Numbers come first, then NaN (zero vectors),
-    then NULL (chunks without a vector).
+    then NULL (chunks without a vector). The texts are read in a second step,
+    for the few ids found: files are ordered by id, so the ids prune row groups.
     """
     wanted = F.lit([float(x) for x in vector]).cast("array<double>")
     ranked = kb.page_chunk.select(
         "id", "page_id", cosine_distance(F.col("embedding"), wanted).alias("distance")
     )
     order = [F.asc_nulls_last("distance"), F.asc("id")]
-    hits = (
-        _in_tools(ranked, kb, filter)
-        .orderBy(*order)
-        .limit(match_count)
-        .select("id", "distance", (1 - F.col("distance")).alias("similarity"))
-    )
+    hits = _in_tools(ranked, kb, filter).orderBy(*order).limit(match_count)
+    if match_count <= LOOKUP_IDS:
+        hits, kb = _looked_up(hits, kb)
+    hits = hits.select("id", "distance", (1 - F.col("distance")).alias("similarity"))
     return _described(kb, hits, ["distance"]).orderBy(*order).drop("distance")
 
 
+def _looked_up(hits: DataFrame, kb: KnowledgeBase) -> tuple[DataFrame, KnowledgeBase]:
+    """The few hits as literals, and the tables cut down to them."""
+    rows = hits.collect()
+    chunk_ids = [row["id"] for row in rows]
+    page_ids = list({row["page_id"] for row in rows})
+    return F.broadcast(hits.sparkSession.createDataFrame(rows, hits.schema)), KnowledgeBase(
+        kb.tool_docs,
+        kb.page.where(F.col("id").isin(page_ids)),
+        kb.page_chunk.where(F.col("page_id").isin(page_ids) & F.col("id").isin(chunk_ids)),
+    )
+
+
 def search_result(matches: DataFrame, *extra: str) -> DataFrame:
     """The columns that a search answers with."""
     return matches.withColumnRenamed("url", "source_url").select(*extra, *RESULT_COLUMNS)
@@ -148,7 +163,11 @@ def match_chunks_batch(
 ) -> DataFrame:
     """``match_chunks`` for a table ``queries(query_id, vector)``."""
     chunks = _in_tools(kb.page_chunk.select("id", "page_id", "embedding"), kb, filter)
-    return _described(kb, nearest(chunks, queries, match_count), ["query_id", "rank"])
+    hits = nearest(chunks, queries, match_count)
+    # Spark cannot foresee that a scan of all vectors ends in few rows; this bound is exact.
+    if queries.count() * match_count <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    return _described(kb, hits, ["query_id", "rank"])
 
 
 def context_pack(matches: DataFrame) -> DataFrame:

@@ -30,8 +30,12 @@ def moment(text: str = AS_OF) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in ("documents", "pages", "conversations") else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that costs far more per row than reading it."""
+    return spread(table(spark, sf_dir, name))
 
 
 # --- documents as pages of a tool per source ----------------------------------------------
@@ -106,7 +110,7 @@ def knowledge_base(spark: SparkSession, sf_dir: str) -> KnowledgeBase:
     return KnowledgeBase(
         kb_tools(documents),
         kb_pages(documents),
-        kb_chunks(documents, table(spark, sf_dir, "embeddings")),
+        kb_chunks(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")),
     )
 
 
@@ -122,7 +126,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(page_id, url, html)`` by URL without fragment; the smaller id is kept."""
     return (
-        table(spark, sf_dir, "pages")
+        texts(spark, sf_dir, "pages")
         .withColumn("url", F.split_part("url", F.lit("#"), F.lit(1)))
         .groupBy("url")
         .agg(F.min_by(F.struct("page_id", "html"), "page_id").alias("page"))

@@ -58,12 +58,15 @@ MATCHES = 10
 SMALL = 1000
 
 
-def registered(query: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(tune(spark), sf_dir)
+def registered(name: str) -> Callable[[Query], Query]:
+    def register(query: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return query(tune(spark), sf_dir)
 
-    REGISTERED[query.__name__] = run
-    return query
+        REGISTERED[name] = run
+        return query
+
+    return register
 
 
 def _r6(value: Column) -> Column:
@@ -76,7 +79,7 @@ def _r6(value: Column) -> Column:
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as they are, with blank lines, and with fences."""
-    documents = d.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = d.texts(spark, sf_dir, "documents").select("doc_id", "text")
     forms = F.map_from_arrays(
         F.array(F.lit("plain"), F.lit("paragraphs"), F.lit("fences")),
         F.array(
@@ -92,17 +95,17 @@ def _chunks_of_size(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return chunk_documents(_variants(spark, sf_dir), "text", size)
 
 
-@registered
+@registered("chunk_text_default")
 def chunk_text_default(spark, sf_dir):
     return _chunks_of_size(spark, sf_dir, 5000)
 
 
-@registered
+@registered("chunk_text_small")
 def chunk_text_small(spark, sf_dir):
     return _chunks_of_size(spark, sf_dir, SMALL)
 
 
-@registered
+@registered("document_scan")
 def document_scan(spark, sf_dir):
     return d.table(spark, sf_dir, "documents").select(
         d.document_url().alias("url"), F.col("text").alias("content")
@@ -110,24 +113,21 @@ def document_scan(spark, sf_dir):
 
 
 def _document_chunks(spark, sf_dir) -> DataFrame:
-    documents = d.table(spark, sf_dir, "documents").select("doc_id", d.document_url().alias("url"), "text")
+    documents = d.texts(spark, sf_dir, "documents").select("doc_id", d.document_url().alias("url"), "text")
     return chunk_documents(documents, "text")
 
 
-@registered
+@registered("chunk_documents")
 def chunk_documents_query(spark, sf_dir):
     return _document_chunks(spark, sf_dir).drop("doc_id")
 
 
-REGISTERED["chunk_documents"] = REGISTERED.pop("chunk_documents_query")
-
-
-@registered
+@registered("chunks_per_page")
 def chunks_per_page(spark, sf_dir):
     return catalog.chunks_per_page(_document_chunks(spark, sf_dir))
 
 
-@registered
+@registered("chunk_title_summary")
 def chunk_title_summary(spark, sf_dir):
     content = F.col("content")
     return _document_chunks(spark, sf_dir).select(
@@ -136,7 +136,7 @@ def chunk_title_summary(spark, sf_dir):
     )
 
 
-@registered
+@registered("chunk_metadata")
 def chunk_metadata_query(spark, sf_dir):
     return _document_chunks(spark, sf_dir).select(
         "doc_id", "chunk_number",
@@ -144,33 +144,27 @@ def chunk_metadata_query(spark, sf_dir):
     )
 
 
-REGISTERED["chunk_metadata"] = REGISTERED.pop("chunk_metadata_query")
-
-
-@registered
+@registered("chunk_embedding")
 def chunk_embedding(spark, sf_dir):
     """Non-zero places of each chunk's vector."""
     vectors = _document_chunks(spark, sf_dir).select(
         "doc_id", "chunk_number", hashed_vector(F.col("content"), TEXT_WIDTH).alias("vector")
     )
     return (
-        vectors.select("doc_id", "chunk_number", F.posexplode("vector").alias("place", "weight"))
+        vectors.select("doc_id", "chunk_number", F.posexplode_outer("vector").alias("place", "weight"))
         .where("weight <> 0")
         .select("doc_id", "chunk_number", "place", _r6(F.col("weight").cast("double")).alias("weight"))
     )
 
 
-@registered
+@registered("prompt_excerpt")
 def prompt_excerpt_query(spark, sf_dir):
     return _document_chunks(spark, sf_dir).select(
         "doc_id", "chunk_number", prompt_excerpt(F.col("url"), F.col("content")).alias("request")
     )
 
 
-REGISTERED["prompt_excerpt"] = REGISTERED.pop("prompt_excerpt_query")
-
-
-@registered
+@registered("content_keys")
 def content_keys(spark, sf_dir):
     url, content = F.col("url"), F.col("content")
     return _document_chunks(spark, sf_dir).select(
@@ -187,7 +181,7 @@ def content_keys(spark, sf_dir):
 
 def _keyed_texts(spark, sf_dir) -> DataFrame:
     """Whole texts keyed by content: exact copies share a key."""
-    return d.table(spark, sf_dir, "documents").select(
+    return d.texts(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.lit("").alias("url"), F.col("text").alias("content"),
         vector_key(F.col("text"), "native").alias("memo_key"),
     )
@@ -205,16 +199,13 @@ def _english_memo(spark, sf_dir) -> DataFrame:
     )
 
 
-@registered
+@registered("memo_misses")
 def memo_misses_query(spark, sf_dir):
     misses = memo_misses(_keyed_texts(spark, sf_dir), _english_memo(spark, sf_dir), ["content"])
     return misses.select("memo_key", F.length("content").alias("n_chars"))
 
 
-REGISTERED["memo_misses"] = REGISTERED.pop("memo_misses_query")
-
-
-@registered
+@registered("memo_enrich")
 def memo_enrich(spark, sf_dir):
     """Titles of all texts; Spanish ones fail, so they get the fallback and are not stored."""
 
@@ -250,7 +241,7 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-@registered
+@registered("reply_parse")
 def reply_parse_query(spark, sf_dir):
     """Good replies, wrong types, missing members and broken JSON, by language."""
     summary = _escaped(extract_summary(F.col("text")))
@@ -262,15 +253,12 @@ def reply_parse_query(spark, sf_dir):
             F.lit('{"title":'), F.col("doc_id").cast("string"), F.lit(',"summary":"'), summary, F.lit('"}')))
         .otherwise(F.concat(F.lit('{"title":"'), "source", F.lit('","summary":"'), summary))
     )
-    return d.table(spark, sf_dir, "documents").select("doc_id", reply_parse(reply).alias("r")).select(
+    return d.texts(spark, sf_dir, "documents").select("doc_id", reply_parse(reply).alias("r")).select(
         "doc_id", "r.*"
     )
 
 
-REGISTERED["reply_parse"] = REGISTERED.pop("reply_parse_query")
-
-
-@registered
+@registered("reply_unfence")
 def reply_unfence(spark, sf_dir):
     text = F.col("text")
     reply = (
@@ -279,7 +267,7 @@ def reply_unfence(spark, sf_dir):
         .when(F.col("lang") == "de", F.concat(F.lit("```"), F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("```")))
         .otherwise(F.concat(F.lit(" \n"), text, F.lit("\n ")))
     )
-    return d.table(spark, sf_dir, "documents").select("doc_id", unfence(reply).alias("payload"))
+    return d.texts(spark, sf_dir, "documents").select("doc_id", unfence(reply).alias("payload"))
 
 
 def _packages(spark, sf_dir) -> DataFrame:
@@ -302,12 +290,12 @@ def _packages(spark, sf_dir) -> DataFrame:
     )
 
 
-@registered
+@registered("docs_url_resolve")
 def docs_url_resolve(spark, sf_dir):
     return resolve_documentation(_packages(spark, sf_dir)).drop("record_url")
 
 
-@registered
+@registered("registry_url")
 def registry_url(spark, sf_dir):
     return _packages(spark, sf_dir).select(
         "package", urls.registry_url(F.col("package"), F.col("version")).alias("record_url")
@@ -317,7 +305,7 @@ def registry_url(spark, sf_dir):
 # --- URLs and pages -----------------------------------------------------------------------
 
 
-@registered
+@registered("url_parts")
 def url_parts(spark, sf_dir):
     url = F.col("url")
     return d.table(spark, sf_dir, "pages").select(
@@ -328,17 +316,17 @@ def url_parts(spark, sf_dir):
     )
 
 
-@registered
+@registered("url_to_filename")
 def url_to_filename(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select("page_id", urls.url_to_filename(F.col("url")).alias("filename"))
 
 
-@registered
+@registered("url_join")
 def url_join(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select("page_id", urls.robots_url(F.col("url")).alias("robots_url"))
 
 
-@registered
+@registered("link_resolve")
 def link_resolve(spark, sf_dir):
     """Each anchor in five written forms."""
     bare = F.regexp_replace("href", "^/", "")
@@ -346,7 +334,7 @@ def link_resolve(spark, sf_dir):
         F.col("href"), bare, F.concat(F.lit("?q="), bare), F.concat(F.lit("//cdn.example.org/"), bare),
         F.concat(F.lit("mailto:"), bare),
     )
-    links = page_links(d.table(spark, sf_dir, "pages"))
+    links = page_links(d.texts(spark, sf_dir, "pages"))
     return links.select(
         "page_id", "link_pos", "url", F.posexplode(forms).alias("form", "written")
     ).select(
@@ -355,42 +343,39 @@ def link_resolve(spark, sf_dir):
     )
 
 
-@registered
+@registered("page_links")
 def page_links_query(spark, sf_dir):
-    return page_links(d.table(spark, sf_dir, "pages")).drop("url")
-
-
-REGISTERED["page_links"] = REGISTERED.pop("page_links_query")
+    return page_links(d.texts(spark, sf_dir, "pages")).drop("url")
 
 
-@registered
+@registered("link_class")
 def link_class(spark, sf_dir):
     """Anchors as written, and again on a foreign host."""
-    links = page_links(d.table(spark, sf_dir, "pages"))
+    links = page_links(d.texts(spark, sf_dir, "pages"))
     foreign = links.withColumn("href", F.concat(F.lit("https://cdn.example.org"), "href"))
     return classify_links(links.unionByName(foreign)).select(
         "page_id", "link_pos", "target", "link_class"
     )
 
 
-@registered
+@registered("page_text")
 def page_text(spark, sf_dir):
-    return d.table(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("content"))
+    return d.texts(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("content"))
 
 
-@registered
+@registered("page_text_pruned")
 def page_text_pruned(spark, sf_dir):
-    return d.table(spark, sf_dir, "pages").select(
+    return d.texts(spark, sf_dir, "pages").select(
         "page_id", html.page_text_pruned(F.col("html")).alias("content")
     )
 
 
-@registered
+@registered("page_title")
 def page_title(spark, sf_dir):
-    return d.table(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
+    return d.texts(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
 
 
-@registered
+@registered("page_capture_scan")
 def page_capture_scan(spark, sf_dir):
     held = d.captures(spark, sf_dir)
     scanned = scan_captures(held.select("url", "html"), d.redirects(held))
@@ -398,15 +383,15 @@ def page_capture_scan(spark, sf_dir):
     return scanned.select("url", "final_url", "content", hrefs.alias("links"))
 
 
-@registered
+@registered("doc_file_sink")
 def doc_file_sink(spark, sf_dir):
-    pages = d.table(spark, sf_dir, "pages").select(
+    pages = d.texts(spark, sf_dir, "pages").select(
         "page_id", "url", html.page_text(F.col("html")).alias("content")
     )
     return document_files(pages, "page_id")
 
 
-@registered
+@registered("redirect_resolve")
 def redirect_resolve(spark, sf_dir):
     held = d.captures(spark, sf_dir).select("page_id", "url")
     return resolve_redirects(held, d.redirects(held)).select("page_id", "url", "final_url")
@@ -420,7 +405,7 @@ def _site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return pages, d.site_links(pages)
 
 
-@registered
+@registered("link_normalize")
 def link_normalize(spark, sf_dir):
     pages, links = _site(spark, sf_dir)
     target = urls.normalize_link(F.col("href"), F.col("url"), F.col("final_url"))
@@ -429,13 +414,13 @@ def link_normalize(spark, sf_dir):
     )
 
 
-@registered
+@registered("link_dedup")
 def link_dedup(spark, sf_dir):
     pages, links = _site(spark, sf_dir)
     return queue_links(links.join(pages.select("url", "final_url"), "url"))
 
 
-@registered
+@registered("crawl_scope_filter")
 def crawl_scope_filter(spark, sf_dir):
     pages, links = _site(spark, sf_dir)
     requests = links.select(F.col("url").alias("start_url"), "link_pos", F.col("href").alias("url"))
@@ -444,7 +429,7 @@ def crawl_scope_filter(spark, sf_dir):
     )
 
 
-@registered
+@registered("robots_filter")
 def robots_filter(spark, sf_dir):
     pages = d.site_pages(spark, sf_dir)
     return allowed(pages.select("page_id", "url"), d.site_rules(pages)).select("page_id", "url", "allowed")
@@ -461,27 +446,27 @@ def _crawled(spark, sf_dir, one: bool = False, **bounds) -> DataFrame:
     return crawl(starts.drop("host"), pages, links, d.site_rules(pages), **bounds)
 
 
-@registered
+@registered("crawl_bfs")
 def crawl_bfs(spark, sf_dir):
     return _crawled(spark, sf_dir, one=True)
 
 
-@registered
+@registered("crawl_bfs_multi")
 def crawl_bfs_multi(spark, sf_dir):
     return _crawled(spark, sf_dir)
 
 
-@registered
+@registered("crawl_bfs_depth")
 def crawl_bfs_depth(spark, sf_dir):
     return _crawled(spark, sf_dir, depth=1)
 
 
-@registered
+@registered("crawl_bfs_limited")
 def crawl_bfs_limited(spark, sf_dir):
     return _crawled(spark, sf_dir, limit=3)
 
 
-@registered
+@registered("crawl_totals")
 def crawl_totals(spark, sf_dir):
     return catalog.pages_per_depth(_crawled(spark, sf_dir))
 
@@ -505,12 +490,12 @@ def _catalog(spark, sf_dir) -> DataFrame:
     return catalog.tool_catalog(tools, held)
 
 
-@registered
+@registered("tool_catalog")
 def tool_catalog(spark, sf_dir):
     return _catalog(spark, sf_dir)
 
 
-@registered
+@registered("tool_catalog_line")
 def tool_catalog_line(spark, sf_dir):
     return catalog.catalog_line(_catalog(spark, sf_dir))
 
@@ -522,13 +507,13 @@ def _usage(spark, sf_dir) -> DataFrame:
     )
 
 
-@registered
+@registered("usage_totals")
 def usage_totals(spark, sf_dir):
     totals = catalog.usage_totals(_usage(spark, sf_dir))
     return totals.select("kind", _r6(F.col("cost")).alias("cost"), "tokens")
 
 
-@registered
+@registered("usage_summary")
 def usage_summary(spark, sf_dir):
     return catalog.usage_summary(_usage(spark, sf_dir))
 
@@ -542,7 +527,7 @@ def _upsert(existing: dict, name: str, incoming: DataFrame, when: str) -> None:
 
 def _stored(spark, sf_dir, until: str) -> DataFrame:
     """The table ``until`` after both batches, with all that it refers to."""
-    documents = d.table(spark, sf_dir, "documents")
+    documents = d.texts(spark, sf_dir, "documents")
     kb = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
     for batch, when, size in ((1, d.AS_OF, SMALL), (2, d.LATER, 5000)):
         rows = d.batch_rows(documents, batch)
@@ -579,17 +564,17 @@ def _stamped(df: DataFrame) -> DataFrame:
     )
 
 
-@registered
+@registered("upsert_tools")
 def upsert_tools(spark, sf_dir):
     return _stamped(_stored(spark, sf_dir, "tool_docs"))
 
 
-@registered
+@registered("upsert_pages")
 def upsert_pages(spark, sf_dir):
     return _stamped(_stored(spark, sf_dir, "page"))
 
 
-@registered
+@registered("upsert_chunks")
 def upsert_chunks(spark, sf_dir):
     return _stamped(_stored(spark, sf_dir, "page_chunk").drop("embedding"))
 
@@ -611,13 +596,13 @@ def _flawed(spark, sf_dir) -> tuple[KnowledgeBase, DataFrame]:
     return KnowledgeBase(kb.tool_docs, pages, chunks.drop("lang", "source")), flawed
 
 
-@registered
+@registered("upsert_rejects")
 def upsert_rejects(spark, sf_dir):
     kb, flawed = _flawed(spark, sf_dir)
     return reject_reasons(flawed, kb.page, d.WIDTH).select("page_id", "chunk_number", "reason")
 
 
-@registered
+@registered("kb_constraint_report")
 def kb_constraint_report(spark, sf_dir):
     """Every flaw once, and all sound chunks a second time."""
     kb, flawed = _flawed(spark, sf_dir)
@@ -627,7 +612,7 @@ def kb_constraint_report(spark, sf_dir):
 # --- search -------------------------------------------------------------------------------
 
 
-@registered
+@registered("cosine_similarity")
 def cosine_similarity_query(spark, sf_dir):
     """Each chunk's vector against the next document's."""
     chunks = d.knowledge_base(spark, sf_dir).page_chunk.select("id", "page_id", "embedding")
@@ -636,10 +621,7 @@ def cosine_similarity_query(spark, sf_dir):
     return chunks.join(other, "page_id", "left").select("id", _r6(similarity).alias("similarity"))
 
 
-REGISTERED["cosine_similarity"] = REGISTERED.pop("cosine_similarity_query")
-
-
-@registered
+@registered("chunk_page_tool_join")
 def chunk_page_tool_join(spark, sf_dir):
     return joined_chunks(d.knowledge_base(spark, sf_dir)).select(
         "id", "url", "tool_name", "source_type", "chunk_number", "title"
@@ -655,26 +637,26 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("similarity", _r6(F.col("similarity")))
 
 
-@registered
+@registered("kb_search")
 def kb_search(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)
     return _rounded(match_chunks(kb, _first_vector(spark, sf_dir), MATCHES))
 
 
-@registered
+@registered("kb_search_filtered")
 def kb_search_filtered(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)
     found = match_chunks(kb, _first_vector(spark, sf_dir), MATCHES, {"version": "2", "strategy": "bfs"})
     return _rounded(found)
 
 
-@registered
+@registered("kb_search_result")
 def kb_search_result(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)
     return _rounded(search_result(match_chunks(kb, _first_vector(spark, sf_dir), MATCHES)))
 
 
-@registered
+@registered("kb_search_batch")
 def kb_search_batch(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)
     found = match_chunks_batch(kb, d.vector_queries(spark, sf_dir), MATCHES)
@@ -682,7 +664,7 @@ def kb_search_batch(spark, sf_dir):
         "id", "url", "tool_name", "chunk_number", "title", "similarity")]))
 
 
-@registered
+@registered("kb_search_text")
 def kb_search_text(spark, sf_dir):
     """Benchmark texts as queries over the hashed vectors of all chunks."""
     chunks = _document_chunks(spark, sf_dir).select(
@@ -695,41 +677,38 @@ def kb_search_text(spark, sf_dir):
     return _rounded(nearest(chunks, asked, 5))
 
 
-@registered
+@registered("context_pack")
 def context_pack_query(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)
     packed = context_pack(match_chunks_batch(kb, d.vector_queries(spark, sf_dir), 3))
     return packed.select("query_id", "content", F.array_join("reference_urls", " ").alias("reference_urls"))
 
 
-REGISTERED["context_pack"] = REGISTERED.pop("context_pack_query")
-
-
 def _vectors(spark, sf_dir) -> DataFrame:
     return d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@registered
+@registered("ivf_assign")
 def ivf_assign(spark, sf_dir):
     return ivf.build(_vectors(spark, sf_dir), LISTS).rows.select("id", "list_id")
 
 
-@registered
+@registered("ivf_search")
 def ivf_search(spark, sf_dir):
     """All lists probed: equal to the exact search."""
     index = ivf.build(_vectors(spark, sf_dir), LISTS)
     return _rounded(ivf.search(index, d.vector_queries(spark, sf_dir), MATCHES, probes=LISTS))
 
 
-@registered
+@registered("ivf_recall")
 def ivf_recall(spark, sf_dir):
     index = ivf.build(_vectors(spark, sf_dir), LISTS)
     return ivf.recall(index, d.vector_queries(spark, sf_dir), MATCHES, probes=2)
 
 
-@registered
+@registered("accepted_answer")
 def accepted_answer(spark, sf_dir):
-    questions, answers = d.questions_and_answers(d.table(spark, sf_dir, "conversations"))
+    questions, answers = d.questions_and_answers(d.texts(spark, sf_dir, "conversations"))
     asked = d.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
@@ -739,7 +718,7 @@ def accepted_answer(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------------------
 
 
-@registered
+@registered("stream_ingest")
 def stream_ingest(spark, sf_dir):
     """The pages as a stream into a new store; equal to cutting them in one batch."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
