@@ -38,6 +38,3 @@ def cosine_similarity(a: Column, b: Column) -> Column:
         .otherwise(scaled)
     )
 
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.round(1 - cosine_similarity(a, b), RANK_DECIMALS)

@@ -139,15 +139,20 @@ def matrix_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosine_keys(queries: np.ndarray, column: pa.Array, decimals: int) -> np.ndarray:
-    """``[query, item]`` sort keys: the distance, or the key of NaN or NULL."""
+    """``[query, item]`` sort keys: the distance, or the key of NaN or NULL.
+
+    A query of NaN stands for a missing one: its distances are NULL.
+    """
     items, present = matrix_of(column)
     keys = np.full((len(queries), len(column)), NULL_KEY)
-    if not len(items):
+    known = ~np.isnan(queries).any(axis=1)
+    if not len(items) or not known.any():
         return keys
     if items.shape[1] != queries.shape[1]:
         raise ValueError(f"different vector dimensions {items.shape[1]} and {queries.shape[1]}")
     lengths = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(items, axis=1)[None, :]
     zero = lengths == 0
     cosine = (queries @ items.T) / np.where(zero, 1.0, lengths)
-    keys[:, present] = np.where(zero, NAN_KEY, np.round(1 - np.clip(cosine, -1, 1), decimals))
+    distances = np.where(zero, NAN_KEY, np.round(1 - np.clip(cosine, -1, 1), decimals))
+    keys[:, present] = np.where(known[:, None], distances, NULL_KEY)
     return keys

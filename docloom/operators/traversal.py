@@ -70,8 +70,8 @@ def crawl(
         level = cut_lineage(_marked(found, stored, limit))
         if level.isEmpty():
             break
-        requested.append(level.select("crawl_id", "url"))
-        stored.append(_stored(level, reached))
+        requested = _compact([*requested, level.select("crawl_id", "url")])
+        stored = _compact([*stored, _stored(level, reached)])
     return _all(stored).select("crawl_id", F.col("final_url").alias("url"), "depth")
 
 
@@ -101,6 +101,11 @@ def _marked(level: DataFrame, stored: list[DataFrame], limit: int | None) -> Dat
     )
 
 
+def _compact(levels: list[DataFrame]) -> list[DataFrame]:
+    """Many levels written as one, so that a deep crawl keeps a short plan."""
+    return levels if len(levels) < 20 else [cut_lineage(_all(levels))]
+
+
 def _all(levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from docloom.functions import html, urls
 from docloom.functions.json import reply_parse
-from docloom.functions.text import prompt_excerpt, unfence
+from docloom.functions.text import prompt_excerpt, unfence, words
 from docloom.functions.vectors import cosine_similarity
 from docloom.operators import catalog, ivf
 from docloom.operators.answers import accepted_answers
-from docloom.operators.chunking import chunk_documents, chunk_text
+from docloom.operators.chunking import chunk_documents
 from docloom.operators.enrichment import (
     capture_key,
     chunk_metadata,
@@ -23,7 +23,6 @@ from docloom.operators.enrichment import (
     hashed_vector,
     memo_misses,
     memoised,
-    native_titles,
     title_key,
     titles_failed,
     vector_key,
@@ -210,19 +209,12 @@ def memo_enrich(spark, sf_dir):
     """Titles of all texts; Spanish ones fail, so they get the fallback and are not stored."""
 
     def compute(misses: DataFrame) -> DataFrame:
-        spanish = F.contains(F.col("content"), F.lit("ción"))
-        reply = F.when(
-            ~spanish,
-            F.to_json(F.struct(
-                extract_title(F.col("content")).alias("title"),
-                extract_summary(F.col("content")).alias("summary"),
-            )),
-        )
-        return native_titles(misses).select(
-            "memo_key", "cost", "tokens", F.lit(None).cast("string").alias("content")
-        ).drop("content").join(
-            misses.select("memo_key", reply_parse(reply).alias("reply")), "memo_key"
-        ).select("memo_key", "reply.*", "cost", "tokens")
+        content = F.col("content")
+        values = F.struct(extract_title(content).alias("title"), extract_summary(content).alias("summary"))
+        reply = F.when(~F.contains(content, F.lit("ción")), F.to_json(values))
+        return misses.select(
+            "memo_key", reply_parse(reply).alias("reply"), F.size(words(content)).alias("tokens")
+        ).select("memo_key", "reply.*", F.lit(0.0).alias("cost"), "tokens")
 
     result = memoised(
         _keyed_texts(spark, sf_dir), _english_memo(spark, sf_dir),
@@ -660,8 +652,9 @@ def kb_search_result(spark, sf_dir):
 def kb_search_batch(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)
     found = match_chunks_batch(kb, d.vector_queries(spark, sf_dir), MATCHES)
-    return _rounded(found.select("query_id", "rank", *[c for c in found.columns if c in (
-        "id", "url", "tool_name", "chunk_number", "title", "similarity")]))
+    return _rounded(
+        found.select("query_id", "rank", "id", "url", "tool_name", "chunk_number", "title", "similarity")
+    )
 
 
 @registered("kb_search_text")

@@ -119,6 +119,13 @@ def test_copies_tie_by_id(spark):
     assert [r["id"] for r in got] == [1, 2, 3, 4]
 
 
+def test_missing_query_vector_gives_null(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, None), (2, [0.0, 1.0])], "query_id long, vector array<float>")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["similarity"]) for r in nearest(items, queries, 2).collect()}
+    assert got[1, 1] == (0, None) and got[1, 2] == (1, None) and got[2, 1][0] == 4
+
+
 def test_cosine(spark):
     rows = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [-2.0, 0.0], -1.0), ([0.0, 0.0], [1.0, 0.0], NAN), (None, [1.0], None)]
     df = spark.createDataFrame(rows, "a array<float>, b array<float>, want double")

@@ -103,6 +103,18 @@ def test_scope_is_tested_before_and_after_a_redirect(spark):
     assert {(r["url"], r["final_url"]) for r in in_scope(df).collect()} == {(a, b) for a, b, ok in rows if ok}
 
 
+def test_deep_crawl(spark):
+    pages = [f"{H}/{i:02d}/" for i in range(26)]
+    got = crawl(
+        spark.createDataFrame([(1, pages[0])], "crawl_id long, start_url string"),
+        spark.createDataFrame([(p, p, "text") for p in pages], "url string, final_url string, content string"),
+        spark.createDataFrame(
+            [(a, 0, b) for a, b in zip(pages, pages[1:] + pages[:1], strict=True)], "url string, link_pos int, href string"
+        ),
+    )
+    assert {r["url"]: r["depth"] for r in got.collect()} == {p: i for i, p in enumerate(pages)}
+
+
 ROBOTS = {
     "plain": "User-agent: *\nDisallow: /blocked\nAllow: /docs\n",
     "order": "user-agent: *\nallow: /x/y\ndisallow: /x\n",
