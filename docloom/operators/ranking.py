@@ -10,32 +10,38 @@ from pyspark.sql import functions as F
 from docloom.session import cut_lineage
 
 
+# Layout of monotonically_increasing_id: the low bits are the place in the partition.
+PLACE_BITS = 33
+
+
 def number_rows(
     df: DataFrame, name: str, order: Sequence[str], within: Sequence[str] = ()
 ) -> DataFrame:
     """Add ``name``: 1, 2, ... by ``order`` inside each ``within`` group.
 
-    Rows are range-partitioned, so a group larger than a task spans several
-    partitions; each partition numbers its own rows and adds the counts of the
-    partitions before it. Only one count per partition and group is brought
-    together.
+    Rows are range-partitioned and sorted once, so a group larger than a task
+    spans several partitions. A row's number is its place in its partition plus
+    the counts of the partitions before; only one count per partition and group
+    is brought together.
     """
-    keys = [*within, *order]
-    placed = cut_lineage(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    groups = list(within)
+    keys, groups = [*within, *order], list(within)
+    # The generated id is the partition's number and the place in the partition.
+    placed = cut_lineage(
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", PLACE_BITS))
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    spans = (
         placed.groupBy(*groups, "_part")
-        .agg(F.count("*").alias("_rows"))
+        .agg(F.count("*").alias("_rows"), F.min("_at").alias("_start"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .drop("_rows")
     )
-    local = Window.partitionBy("_part", *groups).orderBy(*order)
     return (
-        placed.withColumn("_local", F.row_number().over(local))
-        .join(offsets, [*groups, "_part"])
-        .withColumn(name, F.col("_local").cast("long") + F.col("_offset"))
-        .drop("_part", "_local", "_offset")
+        placed.join(spans, [*groups, "_part"])
+        .withColumn(name, F.col("_at") - F.col("_start") + 1 + F.col("_offset"))
+        .drop("_at", "_part", "_start", "_offset")
     )
 
 
