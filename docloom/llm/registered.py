@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, url_filter
-from docloom.llm.common import prepare, table, word_count
+from docloom.llm import language, mixing, quality, url_filter, warc
+from docloom.llm.common import prepare, remainder, table, word_count
+from docloom.session import cut_lineage
 
 # The rules of the URL query, and the hosts whose pages make its list.
 RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
@@ -35,9 +36,35 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized(table(prepare(spark), sf_dir, "documents")))
 
 
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn where crc32 of the id modulo 4 is not 2 (a null id is not learnt from), predict everywhere."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language.learn(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(prepare(spark), sf_dir, "pages")
+    return warc.digests(pages, warc.new_folder(spark))
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn where crc32 of the id modulo 3 is not 1 (a null id has no label), score everywhere."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    vectors = cut_lineage(docs.select("doc_id", quality.statistics_column(F.col("text")).alias("vector")))
+    model = quality.fit_on(vectors, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    scored = vectors.select("doc_id", held_out.alias("held_out"), model.column(F.col("vector")).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": url_filter_query,
     "op4_source_mixing": mixing_query,
+    "op7_language_id": language_query,
+    "op8_warc": warc_query,
+    "op10_quality": quality_query,
 }
 
 _HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,4 +149,19 @@ LLM_SQL: dict[str, str] = {
                (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
         FROM spent
     """,
+    "op8_warc": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        firsts AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first
+            FROM payloads),
+        referring AS (
+            SELECT *, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+            FROM firsts)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+        FROM referring
+    """,
 }
