@@ -20,7 +20,9 @@ STATISTICS = (
 )
 STOPS = np.array([ord(c) for c in ".,;:'’"], np.uint32)
 NEWLINE = 10
-# Added to shares before their logarithm, so that one odd character in a short text weighs little.
+# Shares are taken as if so many usual characters or words came before the text, so that one
+# telephone number does not make a short text unlike all others.
+PRIOR = 30
 FLOOR = 0.01
 RIDGE = 1e-3
 # Log-density differences are divided by this before the logistic function, so that scores of
@@ -32,21 +34,21 @@ def statistics(text: str | None) -> np.ndarray:
     """The transformed statistics of a whole text; null counts as empty."""
     codes = code_points(text or "")
     flags, words = tables().kind[codes], tokens(codes)
-    chars, count = max(1, len(codes)), max(1, len(words.hash))
+    count = len(words.hash)
     letters = (flags & LETTER) != 0
     symbol = (flags & (LETTER | DIGIT | SPACE)) == 0
-    many = max(1, int(letters.sum()))
+    share = lambda hits, of, usual: (hits.sum() + PRIOR * usual) / (of + PRIOR)
     shares = (
-        letters.sum() / chars,
-        ((flags & UPPER) != 0).sum() / many,
-        ((flags & DIGIT) != 0).sum() / chars,
-        symbol.sum() / chars,
-        (symbol & ~np.isin(codes, STOPS)).sum() / chars,
-        (words.end - words.start).sum() / count / 10,
-        len(np.unique(words.hash)) / count,
-        (words.hash[1:] == words.hash[:-1]).sum() / count,
-        (codes == NEWLINE).sum() / count,
-        ((flags[words.start] & UPPER) != 0).sum() / count,
+        share(letters, len(codes), 0.8),
+        share((flags & UPPER) != 0, letters.sum(), 0.03),
+        share((flags & DIGIT) != 0, len(codes), 0.01),
+        share(symbol, len(codes), 0.03),
+        share(symbol & ~np.isin(codes, STOPS), len(codes), 0.01),
+        share(words.end - words.start, 10 * count, 0.5),
+        (len(np.unique(words.hash)) + PRIOR) / (count + PRIOR),
+        share(words.hash[1:] == words.hash[:-1], count, 0.01),
+        share(codes == NEWLINE, count, 0.05),
+        share((flags[words.start] & UPPER) != 0, count, 0.15),
     )
     return np.concatenate([np.log1p([len(codes), len(words.hash)]), np.log(np.array(shares) + FLOOR)])
 
