@@ -21,6 +21,8 @@ REVISIT_BYTES = 100
 FILE_BYTES = 1 << 30
 # Byte ranges that lie at most GAP apart are read at once, up to RANGE bytes.
 GAP, RANGE = 64 << 10, 8 << 20
+# Archive bytes that a task reads.
+TASK_BYTES = 64 << 20
 DATE = "2025-01-01T00:00:00Z"
 
 INDEX = (
@@ -151,7 +153,10 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                         records, held = [], 0
             yield _frame(records, RECORD)
 
-    chosen = index.select("file", "offset", "length").repartitionByRange("file", "offset")
+    # The rows are narrow, but stand for many bytes: a task gets TASK_BYTES of archive to read.
+    bytes_ = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, bytes_ // TASK_BYTES + 1)
+    chosen = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset")
     return chosen.sortWithinPartitions("file", "offset").mapInPandas(read, RECORD)
 
 
