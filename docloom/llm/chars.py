@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -14,6 +15,8 @@ LETTER, DIGIT, UPPER, SPACE = 1, 2, 4, 8
 TABLE_END = 0x32400
 ODD = 0x9E3779B97F4A7C15  # odd multiplier of the token hash
 POWERS = 256
+# Texts longer than this are worked on in segments, so that memory follows the words, not the characters.
+SEGMENT = 1 << 20
 
 
 class Tables(NamedTuple):
@@ -45,6 +48,20 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def segments(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Consecutive parts of at most ``SEGMENT`` characters, with their starts.
+
+    Parts end after a white space; a longer run without one is cut inside.
+    """
+    start = 0
+    while len(codes) - start > SEGMENT:
+        spaces = np.flatnonzero(tables().kind[codes[start : start + SEGMENT]] & SPACE)
+        end = start + (int(spaces[-1]) + 1 if len(spaces) else SEGMENT)
+        yield start, codes[start:end]
+        start = end
+    yield start, codes[start:]
+
+
 class Tokens(NamedTuple):
     start: np.ndarray  # first character of each token
     end: np.ndarray  # one past its last
@@ -55,8 +72,19 @@ def tokens(codes: np.ndarray, symbols: bool = False) -> Tokens:
     """Runs of letters, marks and digits; with ``symbols``, each other visible character as well.
 
     Tokens of one spelling, but for case, have one hash. Two different ones share a hash with a
-    probability of about 2^-64.
+    probability of about 2^-64. A run of over a million characters is several tokens.
     """
+    parts = [(at, _tokens(part, symbols)) for at, part in segments(codes)]
+    if len(parts) == 1:
+        return parts[0][1]
+    return Tokens(
+        np.concatenate([t.start + at for at, t in parts]),
+        np.concatenate([t.end + at for at, t in parts]),
+        np.concatenate([t.hash for _, t in parts]),
+    )
+
+
+def _tokens(codes: np.ndarray, symbols: bool) -> Tokens:
     kind, lower, powers = tables()
     flags = kind[codes]
     word = (flags & (LETTER | DIGIT)) != 0

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.chars import LETTER, code_points, tables
+from docloom.llm.chars import LETTER, code_points, segments, tables
 
 # First code points of the script ranges that are told apart, in order.
 SCRIPTS = (
@@ -44,9 +44,18 @@ class Words(NamedTuple):
     offset: np.ndarray  # first trigram of each word
 
 
-def split_words(text: str | None) -> Words:
-    """Runs of letters and marks, with a bucket for each letter and its neighbours in the word."""
-    codes = code_points(text or "")
+def split_words(text: str | None) -> Iterator[Words]:
+    """Runs of letters and marks, with a bucket for each letter and its neighbours in the word.
+
+    A very long text comes in several parts.
+    """
+    for offset, codes in segments(code_points(text or "")):
+        words = _split(codes)
+        if len(words.start):
+            yield words._replace(start=words.start + offset, end=words.end + offset)
+
+
+def _split(codes: np.ndarray) -> Words:
     kind, lower, _ = tables()
     letter = (kind[codes] & LETTER) != 0
     edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
@@ -69,19 +78,24 @@ class LanguageModel:
 
     def spans(self, text: str | None) -> list[tuple[int, int, str, int]]:
         """Start, end, language and letters of each span; together they hold all words."""
-        words = split_words(text)
-        if not len(words.start) or not self.languages:
+        parts = list(self._scored(text)) if self.languages else []
+        if not parts:
             return []
-        scores = np.add.reduceat(self.logs[words.grams], words.offset, axis=0) + self.allowed[words.script]
+        start, end, scores = (np.concatenate(column) for column in zip(*parts, strict=True))
         path = best_path(scores)
         cuts = np.flatnonzero(np.diff(path, prepend=-1))
-        letters = np.add.reduceat(words.end - words.start, cuts)
+        letters = np.add.reduceat(end - start, cuts)
         last = np.append(cuts[1:], len(path)) - 1
         return [
-            (int(words.start[a]), int(words.end[b]), self.languages[path[a]], int(n))
+            (int(start[a]), int(end[b]), self.languages[path[a]], int(n))
             for a, b, n in zip(cuts, last, letters, strict=True)
         ]
 
+    def _scored(self, text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for words in split_words(text):
+            fit = np.add.reduceat(self.logs[words.grams], words.offset, axis=0)
+            yield words.start, words.end, fit + self.allowed[words.script]
+
     def predict(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str, int]]]:
         """The language with most letters (ties: the first by name), its share of them, the spans."""
         spans = self.spans(text)
@@ -132,13 +146,10 @@ def learn(docs: DataFrame) -> LanguageModel:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for language, part in batch.groupby("lang"):
-                words = [split_words(t) for t in part["text"]]
-                grams = np.concatenate([w.grams for w in words])
-                letters = np.concatenate([np.repeat(w.script, w.end - w.start) for w in words])
-                counts = np.concatenate(
-                    [np.bincount(grams, minlength=BUCKETS), np.bincount(letters, minlength=len(NAMES))]
-                )
-                totals[language] = totals.get(language, 0) + counts
+                for words in (w for text in part["text"] for w in split_words(text)):
+                    counts = totals.setdefault(language, np.zeros(BUCKETS + len(NAMES), np.int64))
+                    np.add.at(counts, words.grams, 1)
+                    np.add.at(counts, BUCKETS + words.script, words.end - words.start)
         for language, counts in totals.items():
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": language, "at": at, "n": counts[at]})

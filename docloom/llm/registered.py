@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, mixing, quality, url_filter, warc
+from docloom.llm import language, mixing, quality, simhash, url_filter, warc
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
 
@@ -59,7 +59,12 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash_query,
     "op2_url_filter": url_filter_query,
     "op4_source_mixing": mixing_query,
     "op7_language_id": language_query,
