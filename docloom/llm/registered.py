@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import language, mixing, quality, simhash, url_filter, warc
+from docloom.llm import decontaminate, language, mixing, quality, simhash, url_filter, warc
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
 
@@ -63,10 +63,16 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold an item of the benchmark, with the items."""
+    return decontaminate.matches(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_query,
     "op2_url_filter": url_filter_query,
     "op4_source_mixing": mixing_query,
+    "op6_decontamination": decontamination_query,
     "op7_language_id": language_query,
     "op8_warc": warc_query,
     "op10_quality": quality_query,
