@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language, mixing, quality, simhash, url_filter, warc
+from docloom.llm import (
+    cross_entropy, decontaminate, language, mixing, neighbours, quality, simhash, url_filter, warc,
+)
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
 
@@ -68,10 +70,24 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def cross_entropy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled good. Background: all documents, which are all scored."""
+    docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return cross_entropy.score(docs, cross_entropy.fit(cross_entropy.labelled_good(docs, labels), docs))
+
+
+def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the vectors whose id is divisible by 100, candidates all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_query,
     "op2_url_filter": url_filter_query,
+    "op3_cross_entropy": cross_entropy_query,
     "op4_source_mixing": mixing_query,
+    "op5_neighbours": neighbours_query,
     "op6_decontamination": decontamination_query,
     "op7_language_id": language_query,
     "op8_warc": warc_query,
