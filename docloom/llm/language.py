@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.chars import LETTER, code_points, segments, tables
@@ -194,3 +194,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
     return docs.select("doc_id", "text").mapInPandas(predict, schema)
+
+
+def clear_column(docs: DataFrame, text: Column, model: LanguageModel, least: float) -> Column:
+    """Whether a text of ``docs`` has letters and one language holds at least the share ``least`` of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def clear(texts: pd.Series) -> pd.Series:
+        found = [shared.value.predict(t if isinstance(t, str) else None) for t in texts]
+        return pd.Series([name != UNDETERMINED and share >= least for name, share, _ in found], dtype=bool)
+
+    return clear(text)

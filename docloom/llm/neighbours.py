@@ -24,7 +24,7 @@ from docloom.operators.ranking import best_per_group
 from docloom.session import cut_lineage
 
 PIECE = 16  # bits of a substring
-ROTATIONS = 2  # each gives a bit per component, up to MOST_BITS
+ROTATIONS = 4  # each gives a bit per component, up to MOST_BITS
 MOST_BITS = 64
 # The rotations are fitted on about this many vectors, chosen by a hash; all vectors are indexed.
 SAMPLE = 8192
@@ -32,7 +32,7 @@ ROUNDS = 25
 BLOCK_ROWS = 16384
 QUERY_ROWS = 2048
 # Of a block, at least this many codes, and this share of them, are ranked by their vectors.
-LEAST, SHARE = 200, 0.05
+LEAST, SHARE = 200, 0.03
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import bloom
 from docloom.llm.chars import DIGIT, LETTER, SPACE, UPPER, code_points, tables, tokens
+from docloom.session import cut_lineage
 
 # The statistics, after their transforms, in the order of the vectors.
 STATISTICS = (
@@ -147,3 +149,11 @@ def fit_on(vectors: DataFrame, labels: DataFrame, learn: Column) -> Discriminant
     A document with several labels counts once for each; null ids have none.
     """
     return fit(vectors.where(learn).join(labels.select("doc_id", "quality"), "doc_id").select("quality", "vector"))
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame) -> Discriminant:
+    """Fit on all rows of ``docs`` (doc_id, text) that have a label; most others are not even measured."""
+    ids = labels.select(F.col("doc_id").alias("_labelled")).distinct()
+    flagged = bloom.build(ids, "_labelled").flag(docs.select("doc_id", "text"), F.col("doc_id"), "_maybe")
+    maybe = flagged.where(F.col("_maybe"))
+    return fit_on(cut_lineage(maybe.select("doc_id", statistics_column(F.col("text")).alias("vector"))), labels, F.lit(True))

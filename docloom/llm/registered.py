@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    cross_entropy, decontaminate, language, mixing, neighbours, quality, simhash, url_filter, warc,
+    cross_entropy, decontaminate, language, licenses, mixing, neighbours, quality, simhash, url_filter, warc,
 )
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
@@ -82,6 +82,11 @@ def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_query,
     "op2_url_filter": url_filter_query,
@@ -91,6 +96,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": decontamination_query,
     "op7_language_id": language_query,
     "op8_warc": warc_query,
+    "op9_licenses": licenses_query,
     "op10_quality": quality_query,
 }
 

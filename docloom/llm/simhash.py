@@ -253,6 +253,23 @@ def _links_by_part(rows: pd.DataFrame) -> pd.DataFrame:
 # --- the operator ------------------------------------------------------------------------
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, print, root (a fingerprint that names the component), component_id and a hash of each text."""
+    printed = cut_lineage(
+        docs.select(
+            "doc_id", fingerprint_column(F.col("text")).alias("print"), F.xxhash64("text").alias("text_hash")
+        )
+    )
+    # Copies shrink to one row here, in each task first.
+    prints = cut_lineage(printed.groupBy("print").agg(F.min("doc_id").alias("least")))
+    roots = components(near_links(prints)).withColumnRenamed("node", "print")
+    classed = cut_lineage(
+        prints.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    )
+    names = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return printed.join(classed.join(names, "root").select("print", "root", "component_id"), "print")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs`` (doc_id, text).
 
@@ -263,15 +280,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its component but never names it, unless all are null. An empty table
     gives no rows; other columns are left out, whatever their names.
     """
-    printed = cut_lineage(docs.select("doc_id", fingerprint_column(F.col("text")).alias("print")))
-    # Copies shrink to one row here, in each task first.
-    prints = cut_lineage(printed.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(prints)).withColumnRenamed("node", "print")
-    classed = cut_lineage(
-        prints.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    return _classes(docs).select("doc_id", hex_column(F.col("print")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component, with all their columns.
+
+    The smallest doc_id stays; of several rows with it, the text with the
+    smallest hash; of rows alike in both, any. Null ids come last, so one stays only of
+    a component without others.
+    """
+    classes = cut_lineage(_classes(docs))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = classes.groupBy("root").agg(F.min(place).alias("b"), F.count("*").alias("n"))
+    kept = best.select(F.col("b.doc_id").alias("_kept"), F.col("b.text_hash").alias("_hash")).distinct()
+    match = F.col("_kept").eqNullSafe(docs["doc_id"]) & (F.col("_hash") == F.xxhash64(docs["text"]))
+    # Rows alike in id and text are rare: only they are brought together whole.
+    alike = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if alike.isEmpty():
+        return docs.join(kept, match, "left_semi")
+    twice = cut_lineage(
+        kept.join(
+            alike.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other")),
+            F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_other") == F.col("_hash")),
+            "left_semi",
+        )
     )
-    names = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(names, "root").select("print", "component_id")
-    return printed.join(named, "print").select(
-        "doc_id", hex_column(F.col("print")).alias("fingerprint"), "component_id"
+    once = kept.join(
+        twice.select(F.col("_kept").alias("_id"), F.col("_hash").alias("_other")),
+        F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_other") == F.col("_hash")),
+        "left_anti",
     )
+    single = docs.join(once, match, "left_semi")
+    return single.unionByName(docs.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"]))
