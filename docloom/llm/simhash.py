@@ -294,22 +294,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = classes.groupBy("root").agg(F.min(place).alias("b"), F.count("*").alias("n"))
     kept = best.select(F.col("b.doc_id").alias("_kept"), F.col("b.text_hash").alias("_hash")).distinct()
-    match = F.col("_kept").eqNullSafe(docs["doc_id"]) & (F.col("_hash") == F.xxhash64(docs["text"]))
     # Rows alike in id and text are rare: only they are brought together whole.
     alike = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+
+    def among(rows: DataFrame) -> Column:
+        return rows["_kept"].eqNullSafe(docs["doc_id"]) & (rows["_hash"] == F.xxhash64(docs["text"]))
+
     if alike.isEmpty():
-        return docs.join(kept, match, "left_semi")
-    twice = cut_lineage(
+        return docs.join(kept, among(kept), "left_semi")
+    marked = cut_lineage(
         kept.join(
-            alike.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other")),
+            alike.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other"), F.lit(True).alias("_twice")),
             F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_other") == F.col("_hash")),
-            "left_semi",
+            "left",
         )
     )
-    once = kept.join(
-        twice.select(F.col("_kept").alias("_id"), F.col("_hash").alias("_other")),
-        F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_other") == F.col("_hash")),
-        "left_anti",
-    )
-    single = docs.join(once, match, "left_semi")
-    return single.unionByName(docs.join(twice, match, "left_semi").dropDuplicates(["doc_id", "text"]))
+    once, twice = marked.where(F.col("_twice").isNull()), marked.where(F.col("_twice"))
+    single = docs.join(once, among(once), "left_semi")
+    return single.unionByName(docs.join(twice, among(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
