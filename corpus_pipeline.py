@@ -39,7 +39,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold no item of the benchmark; those with a null id have no match and stay."""
     prepare(spark)
     held = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(held.select(F.col("doc_id").alias("_held")).distinct(), F.col("_held") == docs["doc_id"], "left_anti")
+    ids = held.select(F.col("doc_id").alias("held_id")).distinct()
+    return docs.join(ids, ids["held_id"] == docs["doc_id"], "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
