@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.text import squash, strip
 
-# Character references of HTML that pages use by name. The
-# ampersand comes last, so that an escaped reference is not decoded twice.
-ENTITIES = {
-    "&nbsp;": " ", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»",
-    "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€",
-    "&times;": "×", "&para;": "¶", "&sect;": "§", "&deg;": "°", "&amp;": "&",
-}
+# Names of all character references, the usual ones first: a lookup walks the map in order.
+_USUAL = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "mdash", "ndash", "rsquo", "lsquo", "hellip", "middot")
+_NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")} | {"nbsp": " "}
+ENTITIES = {name: _NAMED[name] for name in dict.fromkeys((*_USUAL, *sorted(_NAMED)))}
 
 UNSEEN = r"(?is)<!--.*?-->|<(script|style|head|title|noscript|template|svg)(?=[\s>])[^>]*>.*?</\1\s*>"
 SIDE_PARTS = r"(?is)<(nav|header|footer|aside|form)(?=[\s>])[^>]*>.*?</\1\s*>"
@@ -23,6 +21,7 @@ BLOCK = (
     r"(?i)</?(?:html|body|main|article|section|header|footer|nav|aside|form|div|p|ul|ol|dl|dt|dd"
     r"|table|thead|tbody|tr|td|th|blockquote|figure|figcaption|address|h[1-6]|pre|li|hr)(?=[\s/>])[^>]*>"
 )
+PRE = r"(?is)<pre(?=[\s>])[^>]*>(.*?)</pre\s*>"
 ANY_TAG = r"(?s)<[^>]*>"
 ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)[^>]*>(.*?)</a\s*>"
 
@@ -30,29 +29,28 @@ MIN_WORDS = 10
 MAX_LINK_SHARE = 0.5
 
 
-def _decode_number(piece: Column) -> Column:
-    """``digits;rest`` or ``xHEX;rest`` after ``&#`` → the character and the rest."""
-    dec = F.regexp_extract(piece, r"^0*([0-9]{1,7});", 1)
-    hexa = F.regexp_extract(piece, r"^[xX]0*([0-9a-fA-F]{1,6});", 1)
+def _decoded(piece: Column) -> Column:
+    """``#digits;rest``, ``#xHEX;rest`` or ``name;rest`` after ``&`` → the character and the rest."""
+    dec = F.regexp_extract(piece, r"^#0*([0-9]{1,7});", 1)
+    hexa = F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]{1,6});", 1)
     point = F.when(dec != "", dec.cast("int")).when(
         hexa != "", F.conv(hexa, 16, 10).cast("int")
     )
     valid = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-    return F.when(valid, F.concat(char, F.regexp_replace(piece, r"^[0-9a-zA-Z]+;", ""))).otherwise(
-        F.concat(F.lit("&#"), piece)
+    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+    # One literal, folded when the plan is made.
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    found = F.when(F.startswith(piece, F.lit("#")), F.when(valid, char)).when(name != "", F.element_at(names, name))
+    return F.coalesce(
+        F.concat(found, F.regexp_replace(piece, r"^#?[0-9a-zA-Z]+;", "")), F.concat(F.lit("&"), piece)
     )
 
 
 def unescape(text: Column) -> Column:
-    pieces = F.split(text, "&#")
-    numbered = F.array_join(
-        F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_number(p))), ""
-    )
-    out = F.when(F.contains(text, F.lit("&#")), numbered).otherwise(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    """Numbered and named character references as characters, each decoded once; others stay."""
+    pieces = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decoded(p)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def visible(html: Column) -> Column:
@@ -61,8 +59,28 @@ def visible(html: Column) -> Column:
 
 
 def page_text(html: Column) -> Column:
-    """Full text of a page: headings, list items and code kept as marks, links as their words."""
+    """Full text of a page: headings, list items and code kept as marks, links as their words.
+
+    White space inside ``pre`` stays as it is, between fences.
+    """
     out = visible(html)
+    fenced = F.transform(F.regexp_extract_all(out, F.lit(PRE), 1), _fence)
+    around = F.transform(F.split(out, PRE), _flow_text)
+    # Text and code by turns; there is one more text than there are codes.
+    parts = F.flatten(F.transform(F.arrays_zip(around.alias("text"), fenced.alias("code")), lambda x: F.array(x["text"], x["code"])))
+    mixed = F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
+    return F.when(out.rlike(PRE), mixed).otherwise(_flow_text(out))
+
+
+def _fence(markup: Column) -> Column:
+    """Code as written between fences; markup inside it is left out."""
+    code = unescape(F.regexp_replace(F.regexp_replace(markup, r"(?i)<br\s*/?>", "\n"), ANY_TAG, ""))
+    body = F.regexp_replace(F.regexp_replace(code, r"^\r?\n", ""), r"\s+$", "")
+    return F.when(body == "", "").otherwise(F.concat(F.lit("```\n"), body, F.lit("\n```")))
+
+
+def _flow_text(out: Column) -> Column:
+    """Text of markup outside ``pre``."""
     for level in range(1, 7):
         out = F.regexp_replace(out, rf"(?i)<h{level}(?=[\s>])[^>]*>", "\n\n" + "#" * level + " ")
     rules = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,23 +35,46 @@ def is_fallback(title: Column, summary: Column) -> Column:
     return (title == FALLBACK_TITLE) & (summary == FALLBACK_SUMMARY)
 
 
-def contains_metadata(metadata: Column, wanted: dict[str, str | None]) -> Column:
-    """Whether a flat JSON object holds every wanted member with the same type and value.
+def contains_metadata(metadata: Column, wanted: dict) -> Column:
+    """Whether a JSON object holds every wanted member, as JSON containment has it.
 
-    An empty ``wanted`` matches every row. ``None`` matches an explicit JSON
-    null only, not a missing member.
+    Numbers are compared by value, objects member by member; an array holds
+    another if it has each of its elements. An empty ``wanted`` matches every
+    row. ``None`` matches an explicit JSON null only, not a missing member.
     """
-    document = F.try_parse_json(metadata)
-    matches = F.lit(True)
-    for name, value in wanted.items():
-        path = f"$['{name}']"
-        member = F.try_variant_get(document, path, "variant")
-        if value is None:
-            test = F.is_variant_null(member)
-        else:
-            kind = {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE", str: "STRING"}[type(value)]
-            test = (F.schema_of_variant(member) == kind) & (
-                F.try_variant_get(document, path, kind.lower()) == F.lit(value)
-            )
-        matches = matches & F.coalesce(test, F.lit(False))
-    return matches
+    return F.lit(True) if not wanted else F.coalesce(_holds(F.try_parse_json(metadata), wanted), F.lit(False))
+
+
+def _member_path(name: str) -> str:
+    if "'" in name and '"' in name:
+        raise ValueError(f"a member with both kinds of quotes cannot be named: {name}")
+    return f"$[\"{name}\"]" if "'" in name else f"$['{name}']"
+
+
+def _holder(wanted: object) -> Callable[[Column], Column]:
+    return lambda value: F.coalesce(_holds(value, wanted), F.lit(False))
+
+
+def _holds(value: Column, wanted: object) -> Column:
+    """Whether a variant contains ``wanted``; NULL or false if it does not."""
+    kind = F.schema_of_variant(value)
+    if wanted is None:
+        return F.is_variant_null(value)
+    if isinstance(wanted, dict):
+        found = F.startswith(kind, F.lit("OBJECT"))
+        for name, part in wanted.items():
+            member = F.try_variant_get(value, _member_path(name), "variant")
+            found = found & F.coalesce(_holds(member, part), F.lit(False))
+        return found
+    if isinstance(wanted, list | tuple):
+        found, items = F.startswith(kind, F.lit("ARRAY")), F.try_variant_get(value, "$", "array<variant>")
+        for part in wanted:
+            found = found & F.exists(items, _holder(part))
+        return found
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+    if isinstance(wanted, str):
+        return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
+    number = kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
+    exact = F.try_variant_get(value, "$", "decimal(38,9)") == F.lit(str(wanted)).cast("decimal(38,9)")
+    return number & F.coalesce(exact, F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))

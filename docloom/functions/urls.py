@@ -59,7 +59,7 @@ def url_fragment(url: Column) -> Column:
 def url_to_filename(url: Column) -> Column:
     """Flat file name of a page: path, query and fragment; the host is not part of it."""
     raw = F.concat_ws("_", url_path(url), url_query(url), url_fragment(url))
-    safe = F.trim(F.regexp_replace(raw, r"(?U)[^\w\-]", "_"), F.lit("_"))
+    safe = F.trim(F.regexp_replace(raw, r"[^\p{L}\p{N}_\-]", "_"), F.lit("_"))
     return F.when(safe == "", "index").otherwise(safe)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.json import is_fallback
+from docloom.functions.json import FALLBACK_SUMMARY, FALLBACK_TITLE, is_fallback
 from docloom.functions.text import prompt_excerpt, squash, strip, words
 from docloom.functions.urls import document_path, url_path
 from docloom.schema import VECTOR_WIDTH
@@ -137,9 +137,11 @@ def _memo_hits(keyed: DataFrame, memo: DataFrame) -> DataFrame:
     """The memo's rows for the wanted keys.
 
     An inner join, so that the keys of a small batch can be sent to a large
-    memo rather than the memo be shuffled.
+    memo rather than the memo be shuffled. A key that was stored twice counts once.
     """
-    return memo.join(keyed.select("memo_key").distinct(), "memo_key")
+    values = [c for c in memo.columns if c != "memo_key"]
+    hits = memo.join(keyed.select("memo_key").distinct(), "memo_key")
+    return hits.groupBy("memo_key").agg(F.first(F.struct(*values)).alias("v")).select("memo_key", "v.*")
 
 
 def memoised(
@@ -184,30 +186,75 @@ def native_vectors(width: int) -> Callable[[DataFrame], DataFrame]:
             hashed_vector(F.col("content"), width).alias("embedding"),
             F.lit(0.0).alias("cost"),
             F.size(words(F.col("content"))).alias("tokens"),
+            # A text without words has the zero vector, and rightly so.
+            F.lit(False).alias("failed"),
         )
 
     return compute
 
 
+def _guarded(hook: Hook, reply: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``hook`` on one batch at a time: if it raises, that batch has no replies."""
+    names = [field.split()[0] for field in reply.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            try:
+                replies = list(hook(iter([batch])))
+            except Exception as error:  # any fault of a model call is the fault of its batch alone
+                replies = [pd.DataFrame({"memo_key": batch["memo_key"], "error": repr(error)[:1000]})]
+            for answer in replies:
+                # Plain objects: whatever types the hook's frame has, Arrow builds one array of each.
+                plain = answer.reindex(columns=[*names, "error"]).astype(object)
+                yield plain.where(plain.notna(), None)
+
+    return run
+
+
+def _replies(misses: DataFrame, asked: DataFrame, hook: Hook, reply: str) -> DataFrame:
+    """One row per missing key: its first reply, or NULLs if the hook gave none."""
+    given = asked.mapInPandas(_guarded(hook, reply), f"{reply}, error string")
+    values = [c for c in given.columns if c != "memo_key"]
+    one = given.groupBy("memo_key").agg(F.first(F.struct(*values)).alias("r")).select("memo_key", "r.*")
+    return misses.select("memo_key").join(one, "memo_key", "left")
+
+
 def hooked_titles(hook: Hook) -> Callable[[DataFrame], DataFrame]:
-    """Titles from a user's batch function over ``(memo_key, url, content, request)``."""
+    """Titles from a user's batch function over ``(memo_key, url, content, request)``.
+
+    A chunk without a reply, with half a reply, or in a batch for which the
+    hook raised gets both fallback texts, counts as failed and is not
+    memoised; ``error`` says what the hook raised.
+    """
 
     def compute(misses: DataFrame) -> DataFrame:
+        misses = cut_lineage(misses)
         asked = misses.withColumn("request", prompt_excerpt(F.col("url"), F.col("content")))
-        return asked.mapInPandas(hook, TITLE_REPLY)
+        replies = _replies(misses, asked, hook, TITLE_REPLY)
+        whole = F.col("title").isNotNull() & F.col("summary").isNotNull()
+        return replies.select(
+            "memo_key",
+            F.when(whole, F.col("title")).otherwise(FALLBACK_TITLE).alias("title"),
+            F.when(whole, F.col("summary")).otherwise(FALLBACK_SUMMARY).alias("summary"),
+            F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "error",
+        )
 
     return compute
 
 
 def hooked_vectors(hook: Hook, width: int) -> Callable[[DataFrame], DataFrame]:
-    """Vectors from a user's batch function; a missing or misshapen one becomes zero."""
+    """Vectors from a user's batch function; a missing or misshapen one becomes zero and is not memoised."""
 
     def compute(misses: DataFrame) -> DataFrame:
+        misses = cut_lineage(misses)
         zero = F.array_repeat(F.lit(0.0).cast("float"), width)
-        usable = F.coalesce(F.size("embedding") == width, F.lit(False))
-        return misses.mapInPandas(hook, VECTOR_REPLY).withColumn(
-            "embedding", F.when(usable, F.col("embedding")).otherwise(zero)
-        )
+        sound = (F.size("embedding") == width) & F.forall("embedding", lambda x: x.isNotNull())
+        return _replies(misses, misses, hook, VECTOR_REPLY).select(
+            "memo_key",
+            F.when(F.coalesce(sound, F.lit(False)), F.col("embedding")).otherwise(zero).alias("embedding"),
+            F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+            (~F.coalesce(sound, F.lit(False))).alias("failed"), "error",
+        )
 
     return compute
 
@@ -216,10 +263,6 @@ def titles_failed() -> Column:
     return is_fallback(F.col("title"), F.col("summary"))
 
 
-def vectors_failed() -> Column:
-    return F.forall("embedding", lambda x: x == 0)
-
-
 # --- chunk records ------------------------------------------------------------------------
 
 
@@ -272,7 +315,7 @@ def enrich_memoised(
     )
     embedded = memoised(
         titled.rows.drop("memo_hit").withColumn("memo_key", vector_key(content, vector_model)),
-        vector_memo, ["content"], vectors or native_vectors(width), "embedding", vectors_failed(),
+        vector_memo, ["content"], vectors or native_vectors(width), "embedding", F.col("failed"),
     )
     records = embedded.rows.drop("memo_key", "memo_hit").withColumn(
         "metadata", chunk_metadata(url, content, as_of)

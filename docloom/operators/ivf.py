@@ -10,10 +10,11 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.vectors import RANK_DECIMALS
 from docloom.operators.search import _query_matrix, nearest, with_similarity
-from docloom.operators.topk import NO_MATCH, Scores, cosine_keys, scan, top_k
+from docloom.operators.topk import Scores, cosine_keys, scan, top_k
 
 DEFAULT_LISTS = 100
 DEFAULT_PROBES = 1
@@ -42,20 +43,27 @@ def train(
     return KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10).fit(vectors)
 
 
-def assign(items: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add ``list_id``: the nearest centre. Narrow; only the centres are shared."""
-    placed = indexable(items).withColumn("features", array_to_vector("embedding"))
-    return (
-        model.transform(placed).withColumnRenamed("prediction", "list_id").drop("features")
-    )
+def assign(items: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add ``list_id``: the nearest centre, the first of equals. Narrow; only the centres are shared."""
+
+    @F.arrow_udf(T.IntegerType())
+    def nearest_list(vectors: pa.Array) -> pa.Array:
+        return pa.array(cosine_keys(centres, vectors, RANK_DECIMALS).argmin(axis=0).astype(np.int32))
+
+    return indexable(items).withColumn("list_id", nearest_list("embedding"))
 
 
 def build(
-    items: DataFrame, lists: int = DEFAULT_LISTS, seed: int = 0, sample: float = 1.0
+    items: DataFrame,
+    lists: int = DEFAULT_LISTS,
+    seed: int = 0,
+    sample: float = 1.0,
+    centres: np.ndarray | None = None,
 ) -> ListIndex:
-    model = train(items.select("id", "embedding"), lists, seed, sample)
-    rows = assign(items.select("id", "embedding"), model)
-    return ListIndex(rows, np.array(model.clusterCenters()))
+    """The index of ``items``; centres are trained unless they are given."""
+    if centres is None:
+        centres = np.array(train(items.select("id", "embedding"), lists, seed, sample).clusterCenters())
+    return ListIndex(assign(items.select("id", "embedding"), centres), centres)
 
 
 def write_index(index: ListIndex, path: str) -> None:
@@ -93,7 +101,9 @@ def _probed(matrix: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
 def search(index: ListIndex, queries: DataFrame, k: int, probes: int = DEFAULT_PROBES) -> DataFrame:
     """``(query_id, rank, id, similarity)`` from the nearest lists of each query.
 
-    With as many probes as lists the result is the exact one.
+    With as many probes as lists the result is the exact one over the vectors
+    that have a place in the index. A zero or missing query vector is equally
+    far from all: it gets the smallest ids of its lists.
     """
 
     def scan_block(block: list) -> DataFrame:
@@ -111,7 +121,7 @@ def search(index: ListIndex, queries: DataFrame, k: int, probes: int = DEFAULT_P
                     continue
                 part = batch.filter(pa.array(lists == one))
                 keys = cosine_keys(matrix[rows], part.column("embedding"), RANK_DECIMALS)
-                yield rows, np.where(keys <= 2, keys, NO_MATCH), part.column("id").to_numpy()
+                yield rows, keys, part.column("id").to_numpy()
 
         rows = index.rows.where(F.col("list_id").isin(wanted)).select("id", "list_id", "embedding")
         return scan(rows, ids, k, score)

@@ -17,6 +17,7 @@ def parse_robots(files: DataFrame) -> DataFrame:
     ).select(
         "netloc",
         "line_no",
+        "line",
         F.regexp_extract(F.regexp_replace("line", r"#.*$", ""), r"^\s*([A-Za-z\-]+)\s*:\s*(.*?)\s*$", 1)
         .alias("field"),
         F.regexp_extract(F.regexp_replace("line", r"#.*$", ""), r"^\s*([A-Za-z\-]+)\s*:\s*(.*?)\s*$", 2)
@@ -34,14 +35,16 @@ def parse_robots(files: DataFrame) -> DataFrame:
     def walk(state: Column, line: Column) -> Column:
         agent = line["field"] == "user-agent"
         rule = line["field"].isin("allow", "disallow")
+        # An empty line ends the group; rules after it belong to no agent.
+        blank = line["field"] == ""
         any_agent = line["value"] == "*"
         fresh = agent & ~state["open"]
         take = rule & state["mine"] & ~state["closed"]
         return F.struct(
-            F.when(fresh, any_agent).when(agent, state["mine"] | any_agent).otherwise(state["mine"])
-            .alias("mine"),
-            F.when(agent, True).when(rule, False).otherwise(state["open"]).alias("open"),
-            (state["closed"] | (fresh & state["mine"] & (F.size(state["rules"]) > 0))).alias("closed"),
+            F.when(blank, False).when(fresh, any_agent).when(agent, state["mine"] | any_agent)
+            .otherwise(state["mine"]).alias("mine"),
+            F.when(agent | blank, True).when(rule, False).otherwise(state["open"]).alias("open"),
+            (state["closed"] | ((fresh | blank) & state["mine"] & (F.size(state["rules"]) > 0))).alias("closed"),
             F.when(
                 take,
                 F.concat(
@@ -54,7 +57,7 @@ def parse_robots(files: DataFrame) -> DataFrame:
     rules = F.aggregate(records, start, walk, lambda s: s["rules"])
     # One robots file is one row to begin with; its lines come back together.
     return (
-        lines.where(F.col("field") != "")
+        lines.where((F.col("field") != "") | (F.col("line") == ""))
         .groupBy("netloc")
         .agg(rules.alias("rules"))
         .select("netloc", F.posexplode("rules").alias("rule_no", "rule"))

@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 
 from docloom.functions.json import contains_metadata
 from docloom.functions.vectors import RANK_DECIMALS
+from docloom.operators.enrichment import Memoised, memoised, native_vectors, vector_key
 from docloom.operators.topk import NAN_KEY, NULL_KEY, Scores, cosine_keys, scan, top_k
+from docloom.schema import VECTOR_WIDTH
+from docloom.session import cut_lineage
 
 SEARCH_COLUMNS = (
     "id", "url", "tool_name", "source_type", "chunk_number",
@@ -24,8 +27,6 @@ RESULT_COLUMNS = (
     "summary", "similarity", "chunk_number", "content",
 )
 DEFAULT_MATCHES = 10
-# Up to this many matches are looked up by id; more are joined.
-LOOKUP_IDS = 1000
 # Hits of this many rows take at most 10 MB; only so many are sent to every task.
 BROADCAST_HITS = 250_000
 
@@ -91,15 +92,17 @@ def match_chunks(
 
     Vectors are reduced to distances in the scan; ids and distances are all
     that is joined and ranked. Numbers come first, then NaN (zero vectors),
-    then NULL (chunks without a vector). The texts are read in a second step,
-    for the few ids found: files are ordered by id, so the ids prune row groups.
+    then NULL (chunks without a vector). Texts, page and tool of the ids found
+    are joined to them; nothing runs before the result is asked for. Chunks
+    must have a page and a tool: the store's references see to that.
     """
     ranked = kb.page_chunk.select("id", "page_id", _distance_to(vector)("embedding").alias("distance"))
     order = [F.asc_nulls_last("distance"), F.asc("id")]
     hits = _in_tools(ranked, kb, filter).orderBy(*order).limit(match_count)
-    if match_count <= LOOKUP_IDS:
-        hits, kb = _looked_up(hits, kb)
     hits = hits.select("id", "distance", (1 - F.col("distance")).alias("similarity"))
+    # Spark cannot foresee that a scan of all vectors ends in few rows; this bound is exact.
+    if match_count <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
     return _described(kb, hits, ["distance"]).orderBy(*order).drop("distance")
 
 
@@ -119,18 +122,6 @@ def _distance_to(vector: list[float]) -> Callable[[str], Column]:
     return distance
 
 
-def _looked_up(hits: DataFrame, kb: KnowledgeBase) -> tuple[DataFrame, KnowledgeBase]:
-    """The few hits as literals, and the tables cut down to them."""
-    rows = hits.collect()
-    chunk_ids = [row["id"] for row in rows]
-    page_ids = list({row["page_id"] for row in rows})
-    return F.broadcast(hits.sparkSession.createDataFrame(rows, hits.schema)), KnowledgeBase(
-        kb.tool_docs,
-        kb.page.where(F.col("id").isin(page_ids)),
-        kb.page_chunk.where(F.col("page_id").isin(page_ids) & F.col("id").isin(chunk_ids)),
-    )
-
-
 def search_result(matches: DataFrame, *extra: str) -> DataFrame:
     """The columns that a search answers with."""
     return matches.withColumnRenamed("url", "source_url").select(*extra, *RESULT_COLUMNS)
@@ -189,6 +180,32 @@ def match_chunks_batch(
     return _described(kb, hits, ["query_id", "rank"])
 
 
+def search_text(
+    kb: KnowledgeBase,
+    questions: DataFrame,
+    memo: DataFrame,
+    match_count: int = DEFAULT_MATCHES,
+    filter: dict | None = None,
+    vectors: Callable[[DataFrame], DataFrame] | None = None,
+    model: str = "native",
+    width: int = VECTOR_WIDTH,
+) -> tuple[DataFrame, Memoised]:
+    """Matches of ``questions(query_id, query)`` as ``(query_id, rank, *RESULT_COLUMNS)``, and the calls made.
+
+    Question texts are embedded as chunks are, through the memo of vectors:
+    a question that was asked before, or twice at once, costs no second call.
+    """
+    keyed = questions.select(
+        "query_id", F.col("query").alias("content"), vector_key(F.col("query"), model).alias("memo_key")
+    )
+    embedded = memoised(
+        keyed, memo, ["content"], vectors or native_vectors(width), "embedding", F.col("failed")
+    )
+    asked = cut_lineage(embedded.rows.select("query_id", F.col("embedding").alias("vector")))
+    matches = match_chunks_batch(kb, asked, match_count, filter)
+    return search_result(matches, "query_id", "rank"), embedded
+
+
 def context_pack(matches: DataFrame) -> DataFrame:
     """Per query, the matches in order as one text and their distinct source links.
 

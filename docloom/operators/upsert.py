@@ -22,7 +22,9 @@ def changed_rows(
     """
     keys = list(KEYS[table])
     latest = last_wins(incoming.select(*keys, *REPLACED[table], "seq"), keys, "seq").drop("seq")
-    known = existing.select(*keys, "id", "created_at")
+    latest = cut_lineage(latest)
+    # An inner join first: the keys of a small batch go to the stored ones, which then stay in place.
+    known = cut_lineage(existing.select(*keys, "id", "created_at").join(latest.select(*keys), keys))
     matched = cut_lineage(latest.join(known, keys, "left"))
     if top_id is None:
         top_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]

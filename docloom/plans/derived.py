@@ -17,12 +17,15 @@ from docloom.operators.enrichment import chunk_metadata, extract_summary, extrac
 from docloom.operators.ranking import number_rows
 from docloom.operators.search import KnowledgeBase
 from docloom.schema import SOURCE_TYPE
-from docloom.session import spread
+from docloom.session import cut_lineage, spread
 from docloom.sources.captures import resolve_redirects
 
 AS_OF = "2025-01-01 00:00:00"
 LATER = "2025-02-01 00:00:00"
 WIDTH = 64
+# Chunk ids leave this many numbers to each document. A text of 2^31 bytes, the most that a row can
+# hold, has under 2^21 chunks, as each but the last has at least 1500 characters.
+CHUNK_IDS = 1 << 21
 
 
 def moment(text: str = AS_OF) -> Column:
@@ -64,6 +67,10 @@ def source_number() -> Column:
     return F.substring("source", 4, 9).cast("long") + 1
 
 
+def chunk_id() -> Column:
+    return (F.col("doc_id") + 1) * CHUNK_IDS + F.col("chunk_number")
+
+
 def kb_tools(documents: DataFrame) -> DataFrame:
     return (
         documents.select("source").distinct()
@@ -96,7 +103,7 @@ def kb_chunks(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     )
     content = F.col("content")
     return chunks.select(
-        ((F.col("doc_id") + 1) * 1000 + F.col("chunk_number")).alias("id"),
+        chunk_id().alias("id"),
         (F.col("doc_id") + 1).alias("page_id"), "chunk_number",
         extract_title(content).alias("title"), extract_summary(content).alias("summary"),
         "content", vector.alias("embedding"),
@@ -253,19 +260,18 @@ def batch_rows(documents: DataFrame, batch: int) -> DataFrame:
 # --- questions ----------------------------------------------------------------------------
 
 
-def turn_id(turn: Column) -> Column:
-    return F.col("conv_id") * 1000 + turn
+def numbered_turns(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, turn_id)``: turns numbered densely, however many a conversation has."""
+    return number_rows(conversations.select("conv_id", "turn"), "turn_id", ["conv_id", "turn"])
 
 
 def questions_and_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """User turns are questions; an assistant's turn right after one is its accepted answer."""
-    answers = conversations.where("role = 'assistant'").select(
-        turn_id(F.col("turn")).alias("answer_id"), F.col("text").alias("body")
-    )
-    asked = conversations.where("role = 'user'").select(
-        turn_id(F.col("turn")).alias("question_id"),
-        turn_id(F.col("turn") + 1).alias("next_id"),
-        F.col("text").alias("title"),
+    turns = conversations.join(cut_lineage(numbered_turns(conversations)), ["conv_id", "turn"])
+    said = turns.where("role = 'assistant'")
+    answers = said.select(F.col("turn_id").alias("answer_id"), F.col("text").alias("body"))
+    asked = turns.where("role = 'user'").select(
+        F.col("turn_id").alias("question_id"), "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("title")
     )
-    accepted = answers.select(F.col("answer_id").alias("next_id"), F.col("answer_id").alias("accepted_answer_id"))
-    return asked.join(accepted, "next_id", "left").drop("next_id"), answers
+    accepted = said.select("conv_id", "turn", F.col("turn_id").alias("accepted_answer_id"))
+    return asked.join(accepted, ["conv_id", "turn"], "left").drop("conv_id", "turn"), answers

@@ -161,6 +161,16 @@ SELECT doc_id, hit AS memo_hit,
   NOT hit AND NOT fails AS added
 FROM d"""
 
+ORACLE["hook_titles"] = """
+SELECT doc_id, CASE WHEN ok THEN CAST(length(text) AS VARCHAR) ELSE 'Error processing title' END AS title,
+  CASE WHEN ok THEN 'done' ELSE 'Error processing summary' END AS summary, ok AS added
+FROM (SELECT doc_id, text, NOT contains(text, 'ción') AND NOT contains(text, 'é') AS ok FROM documents)"""
+
+ORACLE["hook_vectors"] = """
+SELECT doc_id, CASE WHEN ok THEN CAST(length(text) AS DOUBLE) ELSE 0.0::DOUBLE END AS first,
+  CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS second, ok AS added
+FROM (SELECT doc_id, text, NOT contains(text, 'ción') AND NOT contains(text, 'é') AS ok FROM documents)"""
+
 # --- replies and registry -----------------------------------------------------------------
 
 ORACLE["reply_parse"] = f"""
@@ -207,6 +217,9 @@ _FILE = f"""coalesce(nullif(trim(regexp_replace({_URLPATH} || '_' || split_part(
 
 ORACLE["url_to_filename"] = f"SELECT page_id, {_FILE} AS filename FROM pages"
 
+ORACLE["url_to_filename_wide"] = f"""
+SELECT page_id, {_FILE} AS filename FROM (SELECT page_id, url || 'café_x²½‿東-' AS url FROM pages)"""
+
 ORACLE["url_join"] = f"""
 SELECT page_id, split_part(url, '://', 1) || '://' || {_HOST} || '/robots.txt' AS robots_url FROM pages"""
 
@@ -247,6 +260,11 @@ def _text(x: str) -> str:
 _TEXT = _text(_SEEN)
 ORACLE["page_text"] = f"SELECT page_id, {_TEXT} AS content FROM pages"
 
+_CODE = r"def f(x):\n    if x < 1:\n\treturn 0"
+ORACLE["page_text_code"] = f"""
+SELECT page_id, replace({_TEXT}, '@@CODE@@', '```' || chr(10) || E'{_CODE}' || chr(10) || '```') AS content
+FROM (SELECT page_id, replace(html, '</h1>', '</h1><p>@@CODE@@</p>') AS html FROM pages)"""
+
 _ANCHOR = r"""(?is)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
 _MAIN = _SEEN
 for _part in ("nav", "header", "footer", "aside", "form"):
@@ -550,7 +568,7 @@ ORACLE["upsert_chunks"] = (
 
 _KB_CHUNK = f"""{_DOC_CHUNKS},
 kb AS MATERIALIZED (
-  SELECT (doc_id + 1) * 1000 + chunk_number AS id, doc_id + 1 AS page_id, chunk_number,
+  SELECT (doc_id + 1) * 2097152 + chunk_number AS id, doc_id + 1 AS page_id, chunk_number,
     {_title("content")} AS title, {_summary("content")} AS summary, content,
     {_metadata(_PATH, "content")} AS metadata,
     CASE WHEN chunk_number <> 0 THEN NULL
@@ -672,10 +690,47 @@ ORACLE["ivf_search"] = (
     + "SELECT query_id, rank, id, similarity FROM hit"
 )
 
+_LISTS = (
+    "centre AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS list_id, CAST(embedding AS DOUBLE[]) AS c"
+    " FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8))",
+    """place AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_id, row_number() OVER (
+    PARTITION BY vec_id ORDER BY round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), c), 12), list_id) AS near
+  FROM embeddings, centre
+)""",
+)
+_PROBED = (
+    """pair AS (
+  SELECT q.id AS query_id, i.id, 1 - list_cosine_similarity(q.v, i.v) AS far
+  FROM place q JOIN place i ON i.near = 1 AND i.list_id = q.list_id WHERE q.near <= 2
+)""",
+    """hit AS (
+  SELECT query_id, id, far, row_number() OVER (PARTITION BY query_id ORDER BY round(far, 12), id) AS rank FROM pair
+)""",
+)
+ORACLE["ivf_assign"] = _with(*_LISTS) + "SELECT id, CAST(list_id AS INTEGER) AS list_id FROM place WHERE near = 1"
+ORACLE["ivf_search_probed"] = (
+    _with(*_LISTS, *_PROBED)
+    + """SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(1 - far, 6) + 0.0 AS similarity
+FROM hit WHERE rank <= 10"""
+)
+ORACLE["ivf_recall"] = (
+    _with(
+        *_LISTS, *_PROBED,
+        """exact AS (
+  SELECT q.id AS query_id, i.id FROM place q JOIN place i ON i.near = 1 WHERE q.near = 1
+  QUALIFY row_number() OVER (
+    PARTITION BY q.id ORDER BY round(1 - list_cosine_similarity(q.v, i.v), 12), i.id) <= 10
+)""",
+    )
+    + """SELECT e.query_id, count(h.id) AS found, round(count(h.id) / count(*), 6) + 0.0 AS recall
+FROM exact e LEFT JOIN (SELECT * FROM hit WHERE rank <= 10) h USING (query_id, id) GROUP BY 1"""
+)
+
 ORACLE["kb_search_text"] = (
     _with(
         _DOC_CHUNKS,
-        "item AS (SELECT doc_id * 1000 + chunk_number AS id, content FROM chunk)",
+        "item AS (SELECT (doc_id + 1) * 2097152 + chunk_number AS id, content FROM chunk)",
         "asked AS (SELECT item_id AS query_id, text AS content FROM benchmark)",
         _vectors("iv", "item", "id"),
         _vectors("qv", "asked", "query_id"),
@@ -688,15 +743,20 @@ ORACLE["kb_search_text"] = (
 )""",
         recursive=True,
     )
-    + """SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(s, 6) + 0.0 AS similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - s, 12), id) AS rank FROM pair)
+    + f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, {_title("content")} AS title, {_URL} AS source_url,
+  source AS tool_name, 'official_package_documentation' AS source_type, {_summary("content")} AS summary,
+  round(s, 6) + 0.0 AS similarity, chunk_number, content
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - s, 12), id) AS rank FROM pair) r
+JOIN (SELECT (doc_id + 1) * 2097152 + chunk_number AS id, doc_id, chunk_number, content FROM chunk) c USING (id)
+JOIN documents USING (doc_id)
 WHERE rank <= 5"""
 )
 
 ORACLE["accepted_answer"] = r"""
-WITH question AS (
-  SELECT u.conv_id * 1000 + u.turn AS question_id, u.text AS title, a.text AS body
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WITH numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS turn_id FROM conversations),
+question AS (
+  SELECT u.turn_id AS question_id, u.text AS title, a.text AS body
+  FROM numbered u JOIN numbered a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'
 ),
 word AS (

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from docloom.operators.enrichment import (
     extract_summary,
     extract_title,
     hashed_vector,
+    hooked_titles,
+    hooked_vectors,
     memo_misses,
     memoised,
     title_key,
@@ -35,8 +39,8 @@ from docloom.operators.search import (
     joined_chunks,
     match_chunks,
     match_chunks_batch,
-    nearest,
     search_result,
+    search_text,
 )
 from docloom.operators.traversal import crawl, in_scope
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
@@ -53,6 +57,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 TEXT_WIDTH = 256
 LISTS = 8
+PROBES = 2
 MATCHES = 10
 SMALL = 1000
 
@@ -226,6 +231,72 @@ def memo_enrich(spark, sf_dir):
     )
 
 
+def _hooked_keys(spark, sf_dir) -> DataFrame:
+    return d.texts(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("").alias("url"), F.col("text").alias("content"), vector_key(F.col("text"), "hook").alias("memo_key")
+    )
+
+
+@registered("hook_titles")
+def hook_titles(spark, sf_dir):
+    """A model that leaves out texts with "ción", gives half a reply to those with "é" and no other one."""
+
+    def model(batches):
+        for batch in batches:
+            kept = batch[~batch["content"].str.contains("ción")]
+            half = kept["content"].str.contains("é")
+            yield pd.DataFrame(
+                {
+                    "memo_key": kept["memo_key"], "title": kept["content"].str.len().astype(str),
+                    "summary": pd.Series("done", kept.index).where(~half, None), "cost": 0.5, "tokens": 1,
+                }
+            )
+
+    memo = spark.createDataFrame([], "memo_key string, title string, summary string")
+    result = memoised(
+        _hooked_keys(spark, sf_dir), memo, ["url", "content"], hooked_titles(model), "completion", titles_failed()
+    )
+    stored = result.additions.select("memo_key", F.lit(True).alias("added"))
+    return result.rows.join(stored, "memo_key", "left").select(
+        "doc_id", "title", "summary", F.coalesce("added", F.lit(False)).alias("added")
+    )
+
+
+@registered("hook_vectors")
+def hook_vectors(spark, sf_dir):
+    """A model that raises for a batch with "ción", and gives a misshapen vector to texts with "é"."""
+
+    def model(batches):
+        for batch in batches:
+            if batch["content"].str.contains("ción").any():
+                raise RuntimeError("no answer")
+            sizes = batch["content"].str.len()
+            short = batch["content"].str.contains("é")
+            yield pd.DataFrame(
+                {
+                    "memo_key": batch["memo_key"],
+                    "embedding": [[float(n)] if bad else [float(n), 1.0] for n, bad in zip(sizes, short, strict=True)],
+                    "cost": 0.5, "tokens": 1,
+                }
+            )
+
+    memo = spark.createDataFrame([], "memo_key string, embedding array<float>")
+    # Languages apart, one text a batch: what the model fails at is then the same in every run.
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        result = memoised(
+            _hooked_keys(spark, sf_dir), memo, ["content"], hooked_vectors(model, 2), "embedding", F.col("failed")
+        )
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    stored = result.additions.select("memo_key", F.lit(True).alias("added"))
+    return result.rows.join(stored, "memo_key", "left").select(
+        "doc_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"),
+        F.coalesce("added", F.lit(False)).alias("added"),
+    )
+
+
 # --- replies and registry -----------------------------------------------------------------
 
 
@@ -313,6 +384,13 @@ def url_to_filename(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select("page_id", urls.url_to_filename(F.col("url")).alias("filename"))
 
 
+@registered("url_to_filename_wide")
+def url_to_filename_wide(spark, sf_dir):
+    """Letters and numbers of every script stay; joiners and other signs do not."""
+    url = F.concat("url", F.lit("café_x²½‿東-"))
+    return d.table(spark, sf_dir, "pages").select("page_id", urls.url_to_filename(url).alias("filename"))
+
+
 @registered("url_join")
 def url_join(spark, sf_dir):
     return d.table(spark, sf_dir, "pages").select("page_id", urls.robots_url(F.col("url")).alias("robots_url"))
@@ -355,6 +433,14 @@ def page_text(spark, sf_dir):
     return d.texts(spark, sf_dir, "pages").select("page_id", html.page_text(F.col("html")).alias("content"))
 
 
+@registered("page_text_code")
+def page_text_code(spark, sf_dir):
+    """Pages with a sample of code behind each first heading."""
+    code = '</h1><pre class="x"><code>def f(x):\n    if x &lt; 1:\n\treturn 0\n</code></pre>'
+    coded = F.replace("html", F.lit("</h1>"), F.lit(code))
+    return d.texts(spark, sf_dir, "pages").select("page_id", html.page_text(coded).alias("content"))
+
+
 @registered("page_text_pruned")
 def page_text_pruned(spark, sf_dir):
     return d.texts(spark, sf_dir, "pages").select(
@@ -577,7 +663,8 @@ def _flawed(spark, sf_dir) -> tuple[KnowledgeBase, DataFrame]:
     kb = d.knowledge_base(spark, sf_dir)
     pages = d.kb_pages(documents.where("lang <> 'es'"))
     marks = documents.select((F.col("doc_id") + 1).alias("page_id"), "lang", "source")
-    chunks = kb.page_chunk.join(marks, "page_id")
+    # Both the sound and the flawed chunks are made of these, which are cut once.
+    chunks = cut_lineage(kb.page_chunk.join(marks, "page_id"))
     flawed = (
         chunks.withColumn("title", F.when(F.col("lang") != "fr", F.col("title")))
         .withColumn("embedding", F.when(F.col("lang") == "de", F.slice("embedding", 1, 3))
@@ -659,15 +746,21 @@ def kb_search_batch(spark, sf_dir):
 
 @registered("kb_search_text")
 def kb_search_text(spark, sf_dir):
-    """Benchmark texts as queries over the hashed vectors of all chunks."""
-    chunks = _document_chunks(spark, sf_dir).select(
-        (F.col("doc_id") * 1000 + F.col("chunk_number")).alias("id"),
-        hashed_vector(F.col("content"), TEXT_WIDTH).alias("embedding"),
-    )
-    asked = d.table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), hashed_vector(F.col("text"), TEXT_WIDTH).alias("vector")
-    )
-    return _rounded(nearest(chunks, asked, 5))
+    """Benchmark texts as questions over the hashed vectors of all chunks; none is in the memo yet."""
+    documents = d.table(spark, sf_dir, "documents")
+    content = F.col("content")
+    chunks = cut_lineage(
+        _document_chunks(spark, sf_dir).select(
+            d.chunk_id().alias("id"), (F.col("doc_id") + 1).alias("page_id"), "chunk_number",
+            extract_title(content).alias("title"), extract_summary(content).alias("summary"), "content",
+            hashed_vector(content, TEXT_WIDTH).alias("embedding"), F.lit("{}").alias("metadata"),
+        )
+    )
+    kb = KnowledgeBase(d.kb_tools(documents), d.kb_pages(documents), chunks)
+    asked = d.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    memo = spark.createDataFrame([], "memo_key string, embedding array<float>")
+    found, _ = search_text(kb, asked, memo, 5, width=TEXT_WIDTH)
+    return _rounded(found)
 
 
 @registered("context_pack")
@@ -681,22 +774,39 @@ def _vectors(spark, sf_dir) -> DataFrame:
     return d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+def _fixed_index(spark, sf_dir) -> ivf.ListIndex:
+    """Lists around the first vectors by id, written and read again as partitions."""
+    vectors = _vectors(spark, sf_dir)
+    rows = vectors.orderBy("id").limit(LISTS).collect()
+    index = ivf.build(vectors, centres=np.array([row["embedding"] for row in rows], dtype=np.float64))
+    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    ivf.write_index(index, path)
+    return ivf.read_index(spark, path)
+
+
 @registered("ivf_assign")
 def ivf_assign(spark, sf_dir):
-    return ivf.build(_vectors(spark, sf_dir), LISTS).rows.select("id", "list_id")
+    return _fixed_index(spark, sf_dir).rows.select("id", F.col("list_id").cast("int").alias("list_id"))
 
 
 @registered("ivf_search")
 def ivf_search(spark, sf_dir):
-    """All lists probed: equal to the exact search."""
+    """Trained lists, all of them probed: equal to the exact search."""
     index = ivf.build(_vectors(spark, sf_dir), LISTS)
     return _rounded(ivf.search(index, d.vector_queries(spark, sf_dir), MATCHES, probes=LISTS))
 
 
+@registered("ivf_search_probed")
+def ivf_search_probed(spark, sf_dir):
+    """Two lists for each query; others are not read for it."""
+    index = _fixed_index(spark, sf_dir)
+    return _rounded(ivf.search(index, d.vector_queries(spark, sf_dir), MATCHES, probes=PROBES))
+
+
 @registered("ivf_recall")
 def ivf_recall(spark, sf_dir):
-    index = ivf.build(_vectors(spark, sf_dir), LISTS)
-    return ivf.recall(index, d.vector_queries(spark, sf_dir), MATCHES, probes=2)
+    found = ivf.recall(_fixed_index(spark, sf_dir), d.vector_queries(spark, sf_dir), MATCHES, probes=PROBES)
+    return found.select("query_id", "found", _r6(F.col("recall")).alias("recall"))
 
 
 @registered("accepted_answer")

@@ -67,11 +67,12 @@ def test_order_is_numbers_then_nan_then_null(kb):
     assert [r["id"] for r in match_chunks(kb, query.tolist(), 3).collect()] == ordered_ids(query)[:3]
 
 
-def test_many_matches_are_joined(kb, monkeypatch):
+@pytest.mark.parametrize("most", [3, 250_000])
+def test_many_matches_are_joined(kb, monkeypatch, most):
     from docloom.operators import search
 
     query = vectors(1, seed=9)[0].astype(float)
-    monkeypatch.setattr(search, "LOOKUP_IDS", 3)
+    monkeypatch.setattr(search, "BROADCAST_HITS", most)
     assert [r["id"] for r in match_chunks(kb, query.tolist(), 20).collect()] == ordered_ids(query)
 
 

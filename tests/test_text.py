@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import json
 
 from pyspark.sql import functions as F
@@ -54,16 +55,22 @@ def test_metadata_containment_is_strict(spark):
     assert hits({"v": 1}) == rows[1:2]
     assert hits({"x": None}) == rows[:1]
     assert hits({"v": "1", "n": 1}) == rows[:1]
+    more = ['{"a": 1.5, "o": {"p": 2.0, "q": "x\'y"}, "l": [1, {"k": null}], "it\'s": true}', '{"a": "1.5", "o": {}, "l": []}']
+    df = spark.createDataFrame([(r,) for r in more], "m string")
+    for wanted, found in (
+        ({"a": 1.5}, 1), ({"a": 1}, 0), ({"o": {"p": 2}}, 1), ({"o": {"q": "x\'y", "p": 2.0}}, 1), ({"o": {}}, 2),
+        ({"o": {"z": None}}, 0), ({"l": [1]}, 1), ({"l": [{"k": None}, 1.0]}, 1), ({"l": []}, 2), ({"l": [2]}, 0),
+        ({"it\'s": True}, 1), ({"it\'s": False}, 0),
+    ):
+        assert df.where(contains_metadata(F.col("m"), wanted)).count() == found, wanted
 
 
 def test_entities(spark):
-    for text in ("&copy; &amp;lt; &quot;x&quot; &#65;&#x42; &#233; &#128512; &#0; & &unknown; &#; a&#", "plain"):
-        wanted = text.replace("&#0;", "&#0;")
-        for name, char in page.ENTITIES.items():
-            wanted = wanted.replace(name, char) if name != "&amp;" else wanted
-        wanted = wanted.replace("&#65;", "A").replace("&#x42;", "B").replace("&#233;", "é")
-        wanted = wanted.replace("&#128512;", "😀").replace("&amp;", "&")
-        assert one(spark, text, page.unescape) == wanted
+    text = "caf&eacute; &rarr;&nbsp;&copy; &amp;lt; &quot;x&quot; &#65;&#x42; &#233; &#128512; &#0; & &unknown; &#; a&#"
+    assert one(spark, text, page.unescape) == 'café → © &lt; "x" AB é 😀 &#0; & &unknown; &#; a&#'
+    assert one(spark, "plain", page.unescape) == "plain"
+    every = [name for name in html.entities.html5 if name.endswith(";") and name != "nbsp;"]
+    assert one(spark, " ".join(f"&{n}" for n in every), page.unescape) == " ".join(html.entities.html5[n] for n in every)
     assert one(spark, "&copy;&#233;&amp;", page.unescape) == html.unescape("&copy;&#233;&amp;")
 
 
@@ -83,6 +90,13 @@ def test_page_text(spark):
     assert "hidden" not in text and "var x" not in text
 
 
+def test_code_keeps_its_white_space(spark):
+    markup = "<p>A  b</p><pre>\n<code>def f(x):\n    if x &amp;&amp; y:\n\t<b>return</b></code>\n</pre>c <code>d</code><PRE class='q'>  e</PRE><pre> </pre>"
+    assert one(spark, markup, page.page_text) == (
+        "A b\n\n```\ndef f(x):\n    if x && y:\n\treturn\n```\n\nc `d`\n\n```\n  e\n```"
+    )
+
+
 def test_pruned_text_and_title(spark):
     assert one(spark, SITE, page.page_text_pruned) == (
         "This paragraph holds more than ten words and so it is kept whole here."

@@ -123,6 +123,9 @@ ROBOTS = {
     "quoted": "User-agent: *\nDisallow: /caf%C3%A9\nDisallow: /q?a=\n",
     "second": "User-agent: *\nDisallow: /one\n\nUser-agent: *\nDisallow: /two\n",
     "none": "# nothing\n",
+    "blank": "User-agent: *\nDisallow: /one\n\nDisallow: /two\n",
+    "early": "User-agent: *\n\nDisallow: /one\nUser-agent: x\nDisallow: /two\n",
+    "comment": "User-agent: *\n# note\n \nDisallow: /one\n",
 }
 PATHS = ["/", "", "/blocked/x", "/docs", "/x/y/z", "/x/a", "/p1", "/café/1", "/caf%C3%A9", "/q?a=1", "/one", "/two", "/a+b"]
 
