@@ -70,20 +70,33 @@ def _numbers(text: str | None, words: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], known, [END]])
 
 
-def bigram_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
-    """How often each known word follows each, over all texts. Tasks sum up theirs, Spark the sums."""
+def numbered(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """(doc_id, numbers): each text as places in the vocabulary, two bytes a token."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            short = [_numbers(text, shared.value).astype(np.int16).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "numbers": short})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    return texts.mapInPandas(number, f"doc_id {kind}, numbers binary")
+
+
+def bigram_counts(texts: DataFrame) -> np.ndarray:
+    """How often each known word follows each in ``texts`` (numbers). Tasks sum up theirs, Spark the sums."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(VOCABULARY * VOCABULARY, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                n = _numbers(text, shared.value)
+            for numbers in batch["numbers"]:
+                n = np.frombuffer(numbers, np.int16).astype(np.int64)
                 np.add.at(total, n[:-1] * VOCABULARY + n[1:], 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"pair": at, "n": total[at]})
 
-    found = docs.where(F.col("text").isNotNull()).select("text").mapInPandas(count, "pair int, n long")
+    found = texts.select("numbers").mapInPandas(count, "pair int, n long")
     rows = found.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(VOCABULARY * VOCABULARY)
     table[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
@@ -112,34 +125,37 @@ class Models:
         return len(a), mean(self.target), mean(self.background)
 
 
-def fit(target: DataFrame, corpus: DataFrame) -> Models:
-    """Matched models of ``target`` and ``corpus`` (text): one vocabulary, one smoothing, one size.
+def good_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id): documents with label quality 1 and not toxic, each once."""
+    good = labels.where((F.col("quality") == 1) & ~(F.coalesce(F.col("toxic"), F.lit(0)) == 1))
+    return good.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+
+
+def fit(docs: DataFrame, target: DataFrame) -> Models:
+    """Matched models of all ``docs`` (doc_id, text) and of those in ``target`` (doc_id): one
+    vocabulary, one smoothing, one size.
 
-    The vocabulary and the background model count all of ``corpus``, the target model all of
-    ``target``. Background counts are scaled to the target's sum, so that smoothing weighs the same
-    in both: what a background sample of the target's size would hold, without its noise. Without
-    target texts both models are the background.
+    The vocabulary and the background model count all texts, the target model
+    those of its documents, each row once. Background counts are scaled to the
+    target's sum, so that smoothing weighs the same in both: what a background
+    sample of the target's size would hold, without its noise. Without target
+    texts both models are the background.
+
+    Target texts are found by an exact join. A Bloom filter of their ids leaves
+    most others in place, and what is moved are tokens of two bytes, not texts.
     """
-    words = vocabulary(corpus)
-    wanted, usual = bigram_counts(target, words), bigram_counts(corpus, words)
+    words = vocabulary(docs)
+    ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
+    flagged = bloom.build(ids, "_target").flag(docs.select("doc_id", "text"), F.col("doc_id"), "_maybe")
+    maybe = numbered(flagged.where(F.col("_maybe")), words)
+    wanted = bigram_counts(maybe.join(ids, F.col("doc_id") == F.col("_target"), "left_semi"))
+    usual = bigram_counts(numbered(docs, words))
     if not wanted.sum():
         wanted = usual
     scale = wanted.sum() / max(usual.sum(), 1)
     return Models(words, losses(wanted), losses(usual * scale))
 
 
-def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the documents with label quality 1 and not toxic, each once per row of ``docs``.
-
-    A Bloom filter of their ids leaves most other texts where they are before the join.
-    """
-    good = labels.where((F.col("quality") == 1) & ~(F.coalesce(F.col("toxic"), F.lit(0)) == 1))
-    ids = good.select(F.col("doc_id").alias("_good")).where(F.col("_good").isNotNull()).distinct()
-    flagged = bloom.build(ids, "_good").flag(docs.select("doc_id", "text"), F.col("doc_id"), "_maybe")
-    maybe = flagged.where(F.col("_maybe"))
-    return maybe.join(ids, F.col("doc_id") == F.col("_good"), "left_semi").select("text")
-
-
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, tokens, target_loss, background_loss and score of each row of ``docs`` (doc_id, text).
 

@@ -73,7 +73,7 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_entropy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled good. Background: all documents, which are all scored."""
     docs, labels = table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return cross_entropy.score(docs, cross_entropy.fit(cross_entropy.labelled_good(docs, labels), docs))
+    return cross_entropy.score(docs, cross_entropy.fit(docs, cross_entropy.good_ids(labels)))
 
 
 def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:

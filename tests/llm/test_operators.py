@@ -149,9 +149,9 @@ def test_url_verdicts(lines):
 
 def test_cross_entropy_of_odd_documents(lines, odd, empty):
     labels = lines.createDataFrame([(1, 1, 0), (1, 1, None), (2, 1, 1), (7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    target = cross_entropy.labelled_good(odd, labels)
-    assert [r["text"] for r in target.collect()] == [prose(1)]
-    models = cross_entropy.fit(target, odd)
+    target = cross_entropy.good_ids(labels)
+    assert [r["doc_id"] for r in target.collect()] == [1]
+    models = cross_entropy.fit(odd, target)
     rows = cross_entropy.score(odd, models).collect()
     assert len(rows) == len(ODD)
     by = {r["doc_id"]: r for r in rows}
@@ -161,7 +161,9 @@ def test_cross_entropy_of_odd_documents(lines, odd, empty):
     # Losses are those of a model of probabilities.
     assert np.allclose(np.exp(-cross_entropy.losses(np.random.default_rng(1).random((64, 64)) * 9)).sum(axis=1), 1, atol=1e-4)
     assert cross_entropy.score(empty, models).count() == 0
-    flat = cross_entropy.fit(target.limit(0), empty.select("text"))
+    for docs, ids in ((odd, target.limit(0)), (empty, target)):
+        flat = cross_entropy.fit(docs, ids)
+        assert (flat.target == flat.background).all()
     assert all(r["score"] == 0 for r in cross_entropy.score(odd, flat).collect())
 
 
