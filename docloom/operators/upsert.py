@@ -11,27 +11,35 @@ from docloom.session import cut_lineage
 
 
 def changed_rows(
-    table: str, existing: DataFrame, incoming: DataFrame, as_of: Column, top_id: int | None = None
+    table: str,
+    existing: DataFrame,
+    incoming: DataFrame,
+    as_of: Column,
+    top_id: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Rows of ``table`` after the upsert, for the keys of ``incoming`` only.
 
     ``incoming`` has the key, the replaced columns and ``seq``; of several rows
-    with one key the last wins. A known key keeps its id and creation time, new
-    keys get the ids after ``top_id`` (the greatest existing one) in key order.
-    Only key, id and time of the existing rows are read.
+    with one key the last wins, unless the caller knows them to be ``unique``.
+    A known key keeps its id and creation time, new keys get the ids after
+    ``top_id`` (the greatest existing one) in key order. Ids are found on keys
+    alone; of the existing rows only key, id and time are read, and an inner
+    join lets the keys of a small batch go to them, so that they stay in place.
     """
     keys = list(KEYS[table])
-    latest = last_wins(incoming.select(*keys, *REPLACED[table], "seq"), keys, "seq").drop("seq")
-    latest = cut_lineage(latest)
-    # An inner join first: the keys of a small batch go to the stored ones, which then stay in place.
-    known = cut_lineage(existing.select(*keys, "id", "created_at").join(latest.select(*keys), keys))
-    matched = cut_lineage(latest.join(known, keys, "left"))
+    latest = incoming.select(*keys, *REPLACED[table], "seq")
+    latest = latest.drop("seq") if unique else cut_lineage(last_wins(latest, keys, "seq").drop("seq"))
+    wanted = cut_lineage(latest.select(*keys))
+    known = cut_lineage(existing.select(*keys, "id", "created_at").join(wanted, keys))
     if top_id is None:
         top_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    added = number_rows(matched.where(F.col("id").isNull()).select(*keys), "_number", keys)
+    added = number_rows(wanted.join(known.select(*keys), keys, "left_anti"), "_number", keys)
+    placed = known.unionByName(
+        added.select(*keys, (F.col("_number") + top_id).alias("id"), F.lit(None).cast("timestamp").alias("created_at"))
+    )
     rows = (
-        matched.join(added, keys, "left")
-        .withColumn("id", F.coalesce("id", F.col("_number") + top_id))
+        latest.join(placed, keys)
         .withColumn("created_at", F.coalesce("created_at", as_of))
         .withColumn("updated_at", as_of)
     )
@@ -60,20 +68,26 @@ def prune_stale(chunks: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def reject_reasons(incoming: DataFrame, pages: DataFrame, width: int = VECTOR_WIDTH) -> DataFrame:
-    """Add ``reason``: why a chunk cannot be stored, NULL if it can.
-
-    One bad chunk does not hold up the others.
-    """
-    held = pages.select(F.col("id").alias("page_id"), F.lit(True).alias("_held"))
+def flaws(incoming: DataFrame, width: int = VECTOR_WIDTH) -> DataFrame:
+    """Add ``reason``: what is wrong with a chunk in itself, NULL if nothing is."""
     required = ("page_id", "chunk_number", "title", "summary", "content", "metadata")
     reason = F.coalesce(
         *[F.when(F.col(c).isNull(), f"null {c}") for c in required],
         F.when(F.size("embedding") != width, "vector size"),
         F.when(F.try_parse_json("metadata").isNull(), "bad metadata"),
-        F.when(F.col("_held").isNull(), "missing page"),
     )
-    return incoming.join(held, "page_id", "left").withColumn("reason", reason).drop("_held")
+    return incoming.withColumn("reason", reason)
+
+
+def reject_reasons(incoming: DataFrame, pages: DataFrame, width: int = VECTOR_WIDTH) -> DataFrame:
+    """Add ``reason``: why a chunk cannot be stored, NULL if it can.
+
+    One bad chunk does not hold up the others.
+    """
+    held = pages.select(F.col("id").alias("page_id"), F.lit(True).alias("_held"))
+    judged = flaws(incoming, width).join(held, "page_id", "left")
+    reason = F.coalesce("reason", F.when(F.col("_held").isNull(), "missing page"))
+    return judged.withColumn("reason", reason).drop("_held")
 
 
 def split_rejects(

@@ -566,6 +566,8 @@ ORACLE["upsert_chunks"] = (
     + "SELECT id, page_id, chunk_number, title, summary, content, metadata, created_at, updated_at FROM chunk2"
 )
 
+ORACLE["store_upsert"] = ORACLE["upsert_chunks"].replace(" FROM chunk2", ", CAST(2 AS BIGINT) AS reads FROM chunk2")
+
 _KB_CHUNK = f"""{_DOC_CHUNKS},
 kb AS MATERIALIZED (
   SELECT (doc_id + 1) * 2097152 + chunk_number AS id, doc_id + 1 AS page_id, chunk_number,

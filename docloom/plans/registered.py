@@ -599,12 +599,16 @@ def usage_summary(spark, sf_dir):
 # --- knowledge base -----------------------------------------------------------------------
 
 
-def _upsert(existing: dict, name: str, incoming: DataFrame, when: str) -> None:
-    existing[name] = upsert(name, existing[name], incoming, d.moment(when))
+def _stored(spark, sf_dir, until: str, store: KnowledgeStore | None = None) -> DataFrame:
+    """The table ``until`` after both batches, with all that it refers to; through ``store`` if there is one."""
 
+    def _upsert(existing: dict, name: str, incoming: DataFrame, when: str) -> None:
+        if store is None:
+            existing[name] = upsert(name, existing[name], incoming, d.moment(when))
+        else:
+            store.upsert(name, incoming, d.moment(when))
+            existing[name] = store.read(name)
 
-def _stored(spark, sf_dir, until: str) -> DataFrame:
-    """The table ``until`` after both batches, with all that it refers to."""
     documents = d.texts(spark, sf_dir, "documents")
     kb = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()}
     for batch, when, size in ((1, d.AS_OF, SMALL), (2, d.LATER, 5000)):
@@ -657,6 +661,19 @@ def upsert_chunks(spark, sf_dir):
     return _stamped(_stored(spark, sf_dir, "page_chunk").drop("embedding"))
 
 
+@registered("store_upsert")
+def store_upsert(spark, sf_dir):
+    """Both batches as commits to a store, read back before and after its changes are merged."""
+    store = KnowledgeStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    _stored(spark, sf_dir, "page_chunk", store)
+    before = cut_lineage(store.read("page_chunk"))
+    store.compact("page_chunk", least=1)
+    both = before.unionByName(store.read("page_chunk")).drop("embedding").groupBy(
+        *[c for c in before.columns if c != "embedding"]
+    )
+    return _stamped(both.agg(F.count("*").alias("reads")))
+
+
 def _flawed(spark, sf_dir) -> tuple[KnowledgeBase, DataFrame]:
     """A base without Spanish pages, and chunks with a flaw per language and source."""
     documents = d.table(spark, sf_dir, "documents")

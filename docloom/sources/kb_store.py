@@ -1,10 +1,12 @@
 """The knowledge base on shared storage: three parquet tables and the memos.
 
-A table is a set of segments by id range, each a parquet folder. A commit
-writes the segments it touches anew and then appends their folders to the
-manifest; readers take the latest folder of each segment. So a commit shows
-at once or not at all, new pages never rewrite old segments, and a lost job is
-simply run again. One writer at a time.
+A table is a set of segments by id range, each a list of parquet folders: a
+base and the changes since. A commit writes its own rows only, as one more
+folder for each segment that it touches, and then appends these folders to the
+manifest; so it shows at once or not at all, what it costs follows the batch,
+and a lost job is simply run again. Of rows with one id, readers take the
+latest. ``compact`` merges changes into a new base, ``vacuum`` removes folders
+that nothing refers to. One writer at a time.
 """
 
 from __future__ import annotations
@@ -14,13 +16,19 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators.search import KnowledgeBase
-from docloom.operators.upsert import apply_changes, changed_rows
+from docloom.operators.upsert import changed_rows
 from docloom.schema import TABLES
 from docloom.session import cut_lineage
+from docloom.sources.storage import folders, remove_folder
 
-MANIFEST = "version LONG, table_name STRING, segment LONG, path STRING, top_id LONG"
+# ``base``: the folder holds its whole segment, and those before it no longer count.
+MANIFEST = "version LONG, table_name STRING, segment LONG, path STRING, top_id LONG, base BOOLEAN"
+VERSION = "_version"
+# A segment with this many changes is worth a new base.
+CHANGES = 8
 MEMOS = {
     "title": "memo_key STRING, title STRING, summary STRING",
     "vector": "memo_key STRING, embedding ARRAY<FLOAT>",
@@ -48,21 +56,40 @@ class KnowledgeStore:
     # --- tables
 
     def _manifest(self) -> list[Row]:
-        """Latest entry of every segment: one small row each."""
+        """Live entries, the oldest first: one small row for each base and each change since."""
         entries = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
-        latest = F.max_by(F.struct("version", "path", "top_id"), "version").alias("e")
-        return entries.groupBy("table_name", "segment").agg(latest).select(
-            "table_name", "segment", "e.*"
-        ).collect()
-
-    def _entries(self, table: str) -> dict[int, Row]:
-        return {row["segment"]: row for row in self._manifest() if row["table_name"] == table}
-
-    def _scan(self, table: str, entries: list[Row]) -> DataFrame:
-        if not entries:
+        bases = entries.where("base").groupBy("table_name", "segment").agg(F.max("version").alias("since"))
+        live = entries.join(bases, ["table_name", "segment"]).where(F.col("version") >= F.col("since"))
+        return live.drop("since").orderBy("version").collect()
+
+    def _entries(self, table: str) -> dict[int, list[Row]]:
+        found: dict[int, list[Row]] = {}
+        for row in self._manifest():
+            if row["table_name"] == table:
+                found.setdefault(row["segment"], []).append(row)
+        return found
+
+    def _scan(self, table: str, segments: list[list[Row]]) -> DataFrame:
+        """The latest row of each id. Only ids of changes are moved; without changes nothing is."""
+        schema = T.StructType([*TABLES[table].fields, T.StructField(VERSION, T.LongType())])
+        if not segments:
             return self.spark.createDataFrame([], TABLES[table])
-        paths = [row["path"] for row in entries]
-        return self.spark.read.schema(TABLES[table]).parquet(*paths)
+
+        def rows(entries: list[Row]) -> DataFrame:
+            return self.spark.read.schema(schema).parquet(*[row["path"] for row in entries])
+
+        plain = [rows for rows in segments if len(rows) == 1]
+        changed = [rows for rows in segments if len(rows) > 1]
+        out = rows([row for entries in plain for row in entries]) if plain else None
+        if changed:
+            every = rows([row for entries in changed for row in entries])
+            later = rows([row for entries in changed for row in entries[1:]])
+            newest = later.groupBy("id").agg(F.max(VERSION).alias("_newest"))
+            kept = every.join(newest, "id", "left").where(
+                F.col("_newest").isNull() | (F.col(VERSION) == F.col("_newest"))
+            )
+            out = kept.drop("_newest") if out is None else out.unionByName(kept.drop("_newest"))
+        return out.select(*TABLES[table].fieldNames())
 
     def read(self, table: str) -> DataFrame:
         return self._scan(table, list(self._entries(table).values()))
@@ -74,7 +101,7 @@ class KnowledgeStore:
         column, size = SEGMENTS[table]
         return F.floor(F.col(column) / size).alias("segment")
 
-    def upsert(self, table: str, incoming: DataFrame, as_of: Column) -> DataFrame:
+    def upsert(self, table: str, incoming: DataFrame, as_of: Column, unique: bool = False) -> DataFrame:
         """Merge ``incoming`` by key and return the rows that were written."""
         entries = self._entries(table)
         matching = list(entries.values())
@@ -82,37 +109,47 @@ class KnowledgeStore:
             # A chunk's key holds its page, so only the pages' segments can match.
             found = incoming.select(self._segment(table)).distinct().collect()
             matching = [entries[row["segment"]] for row in found if row["segment"] in entries]
-        top_id = max((row["top_id"] for row in entries.values()), default=0)
+        top_id = max((row["top_id"] for rows in entries.values() for row in rows), default=0)
         existing = self._scan(table, matching)
-        changed = cut_lineage(changed_rows(table, existing, incoming, as_of, top_id))
-        self._commit(table, changed, entries)
+        changed = cut_lineage(changed_rows(table, existing, incoming, as_of, top_id, unique))
+        touched = changed.groupBy(self._segment(table)).agg(F.max("id").alias("top_id")).collect()
+        if touched:
+            self._commit(table, changed, [(r["segment"], r["top_id"], r["segment"] not in entries) for r in touched])
         return changed
 
-    def _commit(self, table: str, changed: DataFrame, entries: dict[int, Row]) -> None:
-        touched = changed.groupBy(self._segment(table)).agg(F.max("id").alias("top_id")).collect()
-        if not touched:
-            return
-        before = [entries[row["segment"]] for row in touched if row["segment"] in entries]
-        merged = apply_changes(self._scan(table, before), changed) if before else changed
-        version = 1 + max((row["version"] for row in entries.values()), default=0)
+    def _commit(self, table: str, rows: DataFrame, segments: list[tuple[int, int, bool]]) -> None:
+        """Write ``rows``, which lie in ``segments`` (number, greatest id, whether it is its base)."""
+        version = 1 + max((row["version"] for row in self._manifest()), default=0)
         folder = f"{self.root}/{table}/v{version:09d}-{uuid.uuid4().hex[:8]}"
         # Ranges by id: a segment with very many rows gets several files, each with narrow bounds.
         (
-            merged.withColumn("segment", self._segment(table))
+            rows.withColumn("segment", self._segment(table))
+            .withColumn(VERSION, F.lit(version).cast("long"))
             .repartitionByRange("segment", "id")
             .sortWithinPartitions("segment", "id")
             .write.partitionBy("segment")
             .parquet(folder)
         )
-        tops = {row["segment"]: row["top_id"] for row in before}
-        rows = [
-            (version, table, row["segment"], f"{folder}/segment={row['segment']}",
-             max(row["top_id"], tops.get(row["segment"], 0)))
-            for row in touched
-        ]
-        new = self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
+        entries = [(version, table, n, f"{folder}/segment={n}", top_id, base) for n, top_id, base in segments]
+        new = self.spark.createDataFrame(entries, MANIFEST).coalesce(1)
         new.write.mode("append").parquet(f"{self.root}/manifest")
 
+    def compact(self, table: str, least: int = CHANGES) -> int:
+        """Give each segment with at least ``least`` changes a new base; how many it did."""
+        due = {n: rows for n, rows in self._entries(table).items() if len(rows) > least}
+        if due:
+            segments = [(n, max(row["top_id"] for row in rows), True) for n, rows in due.items()]
+            self._commit(table, self._scan(table, list(due.values())), segments)
+        return len(due)
+
+    def vacuum(self) -> int:
+        """Remove table folders that no live entry refers to; how many it did. No one may be reading them."""
+        live = {row["path"].rsplit("/", 2)[1] for row in self._manifest()}
+        dead = [(name, f) for name in TABLES for f in folders(f"{self.root}/{name}") if f not in live]
+        for name, folder in dead:
+            remove_folder(f"{self.root}/{name}/{folder}")
+        return len(dead)
+
     # --- memos
 
     def memo(self, name: str) -> DataFrame:

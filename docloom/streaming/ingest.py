@@ -13,14 +13,19 @@ from docloom.functions.urls import url_netloc
 from docloom.plans.ingest import ingest_documents
 from docloom.schema import PAGES, SOURCE_TYPE
 from docloom.sources.kb_store import KnowledgeStore
+from docloom.sources.storage import remove_folder
 
+FILES_PER_BATCH = 100
 
-def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    """Page files of a folder as a stream, at most 100 new files per batch."""
+
+def page_stream(
+    spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
+    """Page files of a folder as a stream, at most ``files_per_batch`` new ones per batch."""
     return (
         spark.readStream.schema(PAGES)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 100)
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
 
@@ -59,6 +64,7 @@ def start_ingest(
         landed = f"{store.root}/landing/{batch_id}"
         to_documents(batch).write.mode("overwrite").parquet(landed)
         ingest_documents(store, store.spark.read.parquet(landed), as_of, **options)
+        remove_folder(landed)
 
     return (
         pages.writeStream.foreachBatch(write)

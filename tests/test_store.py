@@ -165,15 +165,26 @@ def test_ingest_twice_is_ingest_once(spark, store, monkeypatch):
         ("a", "https://a/1", "First page. " * 30, 1), ("a", "https://a/1", "Newer page. " * 30, 2),
         ("a", "https://a/2", "Second.", 1), ("b", "https://b/1", "Newer page. " * 30, 1), ("b", "https://b/2", "", 1),
     ])
-    done = ingest_documents(store, batch, T1(), size=100, width=16)
+    def title(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"memo_key": pdf["memo_key"], "title": "T", "summary": "S", "cost": 0.0, "tokens": 2})
+
+    def vector(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"memo_key": pdf["memo_key"], "embedding": [[1.0] * 16] * len(pdf), "cost": 0.0, "tokens": 3})
+
+    prices = spark.createDataFrame([("big", 0.5)], "model string, cost_per_token double")
+    hooks = {"titles": hooked_titles(title), "vectors": hooked_vectors(vector, 16), "title_model": "big", "prices": prices}
+    done = ingest_documents(store, batch, T1(), size=100, width=16, **hooks)
     assert done.rejects.count() == 0
+    assert {(r["kind"], r["cost"]) for r in done.usage.collect()} == {("completion", 1.0), ("embedding", 0.0)}
     # The copy on two pages has two titles (its URL counts) but one vector.
     calls = {r["kind"]: r["n"] for r in done.usage.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     assert calls["completion"] > calls["embedding"]
     first = base_rows(store)
     assert {r[2] for r in first} == {"https://a/1", "https://a/2", "https://b/1"}
     assert not any("First" in r[4] for r in first)
-    again = ingest_documents(store, batch, T2(), size=100, width=16)
+    again = ingest_documents(store, batch, T2(), size=100, width=16, **hooks)
     assert again.usage.count() == 0
     assert base_rows(store) == first
     # A shorter page keeps its old tail unless it is pruned.
@@ -202,6 +213,78 @@ def test_new_pages_leave_old_segments_alone(spark, store, monkeypatch):
     assert sorted(r["id"] for r in store.read("page").collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_a_commit_writes_its_own_rows_only(spark, store, tmp_path):
+    from docloom.sources.storage import folders
+
+    schema = "tool_id long, url string, seq int"
+    store.upsert("page", spark.range(3000).selectExpr("1L AS tool_id", "concat('u', id) AS url", "1 AS seq"), T1())
+    for i in range(3):
+        store.upsert("page", spark.createDataFrame([(1, f"u{i}", 1), (1, f"new{i}", 1)], schema), T2())
+    entries = store._entries("page")
+    assert [len(rows) for rows in entries.values()] == [4] and [r["base"] for r in entries[0]] == [True, False, False, False]
+    assert [spark.read.parquet(r["path"]).count() for r in entries[0]] == [3000, 2, 2, 2]
+
+    def rows():
+        return sorted(tuple(r) for r in store.read("page").selectExpr("id", "url", "CAST(updated_at AS date)").collect())
+
+    before = rows()
+    assert len(before) == 3003 and [r[0] for r in before] == list(range(1, 3004))
+    late = before[-1][2]
+    assert {u for _, u, at in before if at == late} == {"u0", "u1", "u2", "new0", "new1", "new2"}
+    assert store.compact("page", least=4) == 0 and store.compact("page", least=3) == 1
+    assert rows() == before and [len(r) for r in store._entries("page").values()] == [1]
+    assert store.vacuum() == 4 and rows() == before
+    assert len(folders(f"{store.root}/page")) == 1 and store.vacuum() == 0
+    # After a merge, ids go on from the greatest.
+    store.upsert("page", spark.createDataFrame([(1, "last", 1)], schema), T2())
+    assert rows()[-1][:2] == (3004, "last")
+
+
+def test_stored_keys_stay_in_place_for_a_small_batch(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    spark.range(200_000).selectExpr(
+        "id", "1L AS tool_id", "concat('u', id) AS url", "current_timestamp() AS created_at", "current_timestamp() AS updated_at"
+    ).write.parquet(path)
+    wanted = spark.createDataFrame([(1, "u5")], "tool_id long, url string")
+    plan = spark.read.parquet(path).select("tool_id", "url", "id").join(wanted, ["tool_id", "url"])
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("Initial Plan")[0]
+
+
+def test_hooks_lose_no_chunk(spark):
+    def titles(batches):
+        for pdf in batches:
+            if pdf["content"].str.contains("raise").any():
+                raise ValueError("down")
+            kept = pdf[~pdf["content"].str.contains("skip")]
+            half = kept["content"].str.contains("half")
+            yield pd.DataFrame(
+                {"memo_key": kept["memo_key"], "title": "t", "summary": pd.Series("s", kept.index).where(~half, None), "cost": 1.0, "tokens": 1}
+            )
+
+    rows = [(f"k{i}", "u", text) for i, text in enumerate(["fine", "skip", "half", "raise"])]
+    misses = spark.createDataFrame(rows, "memo_key string, url string, content string").repartition(4, "memo_key")
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        memo = spark.createDataFrame([], "memo_key string, title string, summary string")
+        result = memoised(misses, memo, ["url", "content"], hooked_titles(titles), "completion", titles_failed())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    got = {r["content"]: (r["title"], r["summary"]) for r in result.rows.collect()}
+    fallback = ("Error processing title", "Error processing summary")
+    assert got == {"fine": ("t", "s"), "skip": fallback, "half": fallback, "raise": fallback}
+    assert [r["memo_key"] for r in result.additions.collect()] == ["k0"]
+
+
+def test_a_key_twice_in_the_memo_counts_once(spark):
+    keyed = spark.createDataFrame([(1, "k", "u", "c")], "id int, memo_key string, url string, content string")
+    memo = spark.createDataFrame([("k", "t", "s"), ("k", "t", "s")], "memo_key string, title string, summary string")
+    result = memoised(keyed, memo, ["url", "content"], hooked_titles(lambda x: x), "completion", titles_failed())
+    assert result.rows.count() == 1
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"https://h{i % 3}.org/p{i}#x", f"<title>t</title><h1>Page {i}</h1><p>Text of {i}. More.</p>") for i in range(9)]
     folder = tmp_path / "pages"
