@@ -454,6 +454,41 @@ ORACLE["crawl_totals"] = (
     _crawl(_ALL_STARTS) + "SELECT crawl_id, depth, count(*) AS n_pages FROM stored GROUP BY ALL"
 )
 
+ORACLE["robots_parse"] = _with(f"host AS (SELECT DISTINCT {_HOST} AS netloc FROM pages)") + """
+SELECT netloc, CAST(r.n AS INTEGER) AS rule_no, '*' AS agent, r.d AS directive, r.p AS path
+FROM host, (VALUES ('www', 0, 'disallow', '/a'), ('www', 1, 'allow', '/b'), ('blog', 0, 'disallow', '/p'), ('', 0, 'disallow', ''))
+  AS r(kind, n, d, p)
+WHERE r.kind = CASE WHEN starts_with(netloc, 'www.') THEN 'www' WHEN starts_with(netloc, 'blog.') THEN 'blog'
+                    WHEN starts_with(netloc, 'm.') THEN 'm' ELSE '' END"""
+
+
+def _package_pages(kind: str, obeyed: bool = True, **bounds: int) -> str:
+    """``(host, url)`` of the crawls of one kind of host."""
+    sql = _crawl(f"SELECT * FROM ({_ALL_STARTS.replace('AS start_url', 'AS start_url, host')}) WHERE {kind}", **bounds)
+    return f"({sql if obeyed else sql.replace(' AND ' + _ALLOWED, '')} SELECT host, stored.url FROM stored JOIN start USING (crawl_id))"
+
+
+_KINDS = ("starts_with(host, 'www.')", "starts_with(host, 'blog.')", "starts_with(host, 'm.')")
+ORACLE["package_ingest"] = f"""
+WITH {_SITES},
+package AS (
+  SELECT host AS tool_name, url AS tool_url, '{{"version":null,"depth":' || CASE WHEN {_KINDS[0]} THEN '"1"' ELSE 'null' END
+    || ',"strategy":"bfs","ignore_robots":"' || CASE WHEN {_KINDS[2]} THEN 'true' ELSE 'false' END || '","limit":'
+    || CASE WHEN {_KINDS[1]} THEN '"3"' ELSE 'null' END || ',"caching_enabled":"true"}}' AS settings
+  FROM site WHERE place = 0
+),
+crawled AS (
+  SELECT * FROM {_package_pages(_KINDS[0], depth=1)}
+  UNION ALL SELECT * FROM {_package_pages(_KINDS[1], limit=3)}
+  UNION ALL SELECT * FROM {_package_pages(_KINDS[2], obeyed=False)}
+  UNION ALL SELECT * FROM {_package_pages("NOT " + " AND NOT ".join(_KINDS))}
+),
+text AS (
+  SELECT final_url AS url, arg_min(content, (url <> final_url, url)) AS content FROM site WHERE content <> '' GROUP BY 1
+)
+SELECT tool_name, tool_url, settings, c.url, CASE WHEN c.url IS NOT NULL THEN 0 END AS chunk_number, trim(content) AS content
+FROM package LEFT JOIN (crawled c JOIN text ON text.url = c.url) ON c.host = tool_name"""
+
 # --- catalog and usage --------------------------------------------------------------------
 
 _CATALOG = f"""host_page AS (SELECT DISTINCT {_HOST} AS host, {_BARE} AS url FROM pages),
@@ -481,6 +516,13 @@ ORACLE["usage_totals"] = (
     + """SELECT coalesce(kind, 'total') AS kind, round(sum(cost), 6) + 0.0 AS cost, CAST(sum(tokens) AS BIGINT) AS tokens
 FROM usage GROUP BY ROLLUP (kind)"""
 )
+ORACLE["usage_priced"] = """
+WITH priced AS (
+  SELECT CASE WHEN event_type IN ('click', 'view') THEN 'completion' ELSE 'embedding' END AS kind, user_id AS tokens,
+    user_id * CASE event_type WHEN 'click' THEN 0.25::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS cost
+  FROM events)
+SELECT coalesce(kind, 'total') AS kind, round(sum(cost), 6) + 0.0 AS cost, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM priced GROUP BY ROLLUP (kind)"""
 ORACLE["usage_summary"] = (
     _with(
         _USAGE,

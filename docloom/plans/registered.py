@@ -32,7 +32,7 @@ from docloom.operators.enrichment import (
     vector_key,
 )
 from docloom.operators.links import classify_links, page_links, queue_links
-from docloom.operators.robots import allowed
+from docloom.operators.robots import allowed, parse_robots
 from docloom.operators.search import (
     KnowledgeBase,
     context_pack,
@@ -45,6 +45,7 @@ from docloom.operators.search import (
 from docloom.operators.traversal import crawl, in_scope
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
 from docloom.plans import derived as d
+from docloom.plans.packages import ingest_packages
 from docloom.schema import TABLES
 from docloom.session import cut_lineage, shared_dir, tune
 from docloom.sources.captures import resolve_redirects, scan_captures
@@ -549,6 +550,45 @@ def crawl_totals(spark, sf_dir):
     return catalog.pages_per_depth(_crawled(spark, sf_dir))
 
 
+@registered("robots_parse")
+def robots_parse(spark, sf_dir):
+    """A robots file per host: comments, groups that an empty line ends, several agents."""
+    host = F.col("netloc")
+    body = (
+        F.when(F.startswith(host, F.lit("www.")), "User-agent: *\nDisallow: /a # x\n#\nAllow: /b\n\nDisallow: /c\n")
+        .when(F.startswith(host, F.lit("blog.")), "User-agent: x\nDisallow: /\n\nuser-agent: *\nUser-agent: y\nDisallow: /p")
+        .when(F.startswith(host, F.lit("m.")), "User-agent: *\n\nDisallow: /q\n")
+        .otherwise("User-agent: *\r\nDisallow:\r\n")
+    )
+    hosts = d.table(spark, sf_dir, "pages").select(urls.url_netloc(F.col("url")).alias("netloc")).distinct()
+    return parse_robots(hosts.select("netloc", body.alias("body")))
+
+
+@registered("package_ingest")
+def package_ingest(spark, sf_dir):
+    """A package per host, with bounds by kind of host, from its record to tools, pages and chunks."""
+    pages, links = _site(spark, sf_dir)
+    hrefs = F.sort_array(F.collect_list(F.struct("link_pos", "href")))
+    link = F.transform(hrefs, lambda x: F.struct(x["href"].alias("href"), F.lit("").alias("text")))
+    captures = pages.join(links.groupBy("url").agg(link.alias("links")), "url").select(
+        "url", "final_url", "content", "links"
+    )
+    host = F.col("host")
+    record = F.concat(F.lit('{"info":{"documentation_url":"'), F.col("start_url"), F.lit('"}}'))
+    packages = d.site_starts(pages).select(
+        host.alias("package"), F.lit(None).cast("string").alias("version"), record.alias("record"),
+        F.when(F.startswith(host, F.lit("www.")), 1).alias("depth"), F.lit("bfs").alias("strategy"),
+        F.startswith(host, F.lit("m.")).alias("ignore_robots"),
+        F.when(F.startswith(host, F.lit("blog.")), 3).alias("limit"), F.lit(True).alias("caching_enabled"),
+    )
+    store = KnowledgeStore(spark, f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}")
+    ingest_packages(store, packages, captures, d.site_rules(pages), d.moment(), width=d.WIDTH)
+    kb = store.knowledge_base()
+    tools = kb.tool_docs.select("tool_name", F.col("url").alias("tool_url"), F.col("metadata").alias("settings"))
+    found = joined_chunks(kb).select("tool_name", "url", "chunk_number", "content")
+    return tools.join(found, "tool_name", "left")
+
+
 # --- catalog and usage --------------------------------------------------------------------
 
 
@@ -591,6 +631,16 @@ def usage_totals(spark, sf_dir):
     return totals.select("kind", _r6(F.col("cost")).alias("cost"), "tokens")
 
 
+@registered("usage_priced")
+def usage_priced(spark, sf_dir):
+    """Calls with a model each; one model has no price."""
+    events = d.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("tokens"))
+    kind = F.when(F.col("model").isin("click", "view"), "completion").otherwise("embedding")
+    prices = spark.createDataFrame([("click", 0.25), ("view", 0.5)], "model string, cost_per_token double")
+    totals = catalog.usage_totals(catalog.priced(events.withColumn("kind", kind), prices).select("kind", "cost", "tokens"))
+    return totals.select("kind", _r6(F.col("cost")).alias("cost"), "tokens")
+
+
 @registered("usage_summary")
 def usage_summary(spark, sf_dir):
     return catalog.usage_summary(_usage(spark, sf_dir))

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.html import page_text
 from docloom.operators.links import internal_links
-from docloom.schema import PAGES
-
-
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Raw pages; the schema is given, so no file is opened to infer it."""
-    return spark.read.schema(PAGES).format(fmt).load(path)
 
 
 def resolve_redirects(requests: DataFrame, redirects: DataFrame, url: str = "url") -> DataFrame:
@@ -49,5 +43,11 @@ def with_content(captures: DataFrame) -> DataFrame:
 
 
 def documents_of(captures: DataFrame) -> DataFrame:
-    """``(url, content)`` documents under their final URLs."""
-    return with_content(captures).select(F.col("final_url").alias("url"), "content")
+    """``(url, content)`` documents under their final URLs, one each.
+
+    Of several requests that ended at one page, the page's own address goes
+    before others, then the smallest.
+    """
+    order = F.struct((F.col("url") != F.col("final_url")).alias("other"), "url")
+    best = with_content(captures).groupBy("final_url").agg(F.min_by("content", order).alias("content"))
+    return best.select(F.col("final_url").alias("url"), "content")

@@ -285,6 +285,22 @@ def test_a_key_twice_in_the_memo_counts_once(spark):
     assert result.rows.count() == 1
 
 
+def test_captures_are_read_once(spark, store):
+    from docloom.plans.packages import captured
+
+    redirects = spark.createDataFrame([("https://a/old", "https://a/1")], "url string, final_url string")
+    page = "<h1>{}</h1><a href='/2'>two</a><a href='https://b/x'>out</a>"
+    rows = [("https://a/1", page.format("One")), ("https://a/old", page.format("One")), ("https://a/3", None)]
+    first = captured(store, spark.createDataFrame(rows, "url string, html string"), redirects)
+    got = {r["url"]: (r["final_url"], r["content"], [x["href"] for x in r["links"]]) for r in first.collect()}
+    text = ("https://a/1", "# One\n\ntwoout", ["https://a/2"])
+    assert got == {"https://a/1": text, "https://a/old": text, "https://a/3": ("https://a/3", None, [])}
+    later = [("https://a/1", page.format("Changed")), ("https://a/4", "<p>New</p>")]
+    again = captured(store, spark.createDataFrame(later, "url string, html string"), redirects)
+    assert {r["url"]: r["content"] for r in again.collect()} == {"https://a/1": "# One\n\ntwoout", "https://a/4": "New"}
+    assert store.memo("capture").count() == 4
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"https://h{i % 3}.org/p{i}#x", f"<title>t</title><h1>Page {i}</h1><p>Text of {i}. More.</p>") for i in range(9)]
     folder = tmp_path / "pages"

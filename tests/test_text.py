@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions import html as page
 from docloom.functions.json import FALLBACK_SUMMARY, FALLBACK_TITLE, contains_metadata, reply_parse
 from docloom.functions.text import prompt_excerpt, unfence
-from docloom.sources.registry import resolve_documentation, split_resolved, tool_metadata
+from docloom.sources.registry import crawl_settings, resolve_documentation, split_resolved
 
 
 def one(spark, text, build):
@@ -129,8 +129,10 @@ def test_documentation_urls(spark):
     }
 
 
-def test_tool_metadata():
-    assert tool_metadata("1.0", 0, "dfs", True, 5, False) == {
-        "version": "1.0", "depth": None, "strategy": "dfs", "ignore_robots": "true", "limit": "5",
-        "caching_enabled": "false",
-    }
+def test_crawl_settings(spark):
+    schema = "version string, depth int, strategy string, ignore_robots boolean, `limit` int, caching_enabled boolean"
+    df = spark.createDataFrame([("1.0", 0, "dfs", True, 5, False), (None,) * 6], schema)
+    assert [json.loads(r["s"]) for r in df.select(crawl_settings().alias("s")).collect()] == [
+        {"version": "1.0", "depth": None, "strategy": "dfs", "ignore_robots": "true", "limit": "5", "caching_enabled": "false"},
+        {"version": None, "depth": None, "strategy": "bfs", "ignore_robots": "false", "limit": None, "caching_enabled": "true"},
+    ]
