@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import words
-from docloom.operators.topk import NO_MATCH, Scores, scan, top_k
+from docloom.operators.topk import NO_MATCH, Scores, Shared, scan, top_k
+from docloom.session import cut_lineage
 
 # Tasks get this module's code with their closures; executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,16 +26,26 @@ PACK_WORDS = 4096
 COUNT_CELLS = 4_000_000
 
 
+# What a query takes in a pack beside its words' weights; a weight is a double for each word and query.
+TERM_BYTES = 64
+
+
 def _with_terms(queries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Distinct words of each query with the number of questions that hold them."""
+    """Distinct words of each query with the number of questions that hold them.
+
+    Only words that a query holds are counted.
+    """
+    asked = cut_lineage(
+        queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
+    )
     found_in = (
         tokens.select(F.explode(F.array_distinct("tokens")).alias("word"))
+        .join(asked.select("word").distinct(), "word", "left_semi")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
     return (
-        queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word"))
-        .join(found_in, "word")
+        asked.join(found_in, "word")
         .groupBy("query_id")
         .agg(F.collect_list(F.struct("word", "n")).alias("terms"))
     )
@@ -71,13 +82,16 @@ def best_questions(questions: DataFrame, queries: DataFrame, k: int = 1) -> Data
     questions hold costs no join: tasks score their questions against a block
     of queries and keep the best.
     """
-    tokens = questions.select(F.col("question_id").alias("id"), words(F.col("title")).alias("tokens"))
+    # Questions are split into words once, for the totals, the counts and the scan.
+    tokens = cut_lineage(
+        questions.select(F.col("question_id").alias("id"), words(F.col("title")).alias("tokens"))
+    )
     size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean")).first()
     total, mean = size["n"], size["mean"] or 1.0
 
-    def scan_block(block: list) -> DataFrame:
+    def scan_block(block: list, share: Shared) -> DataFrame:
         ids = np.array([row["query_id"] for row in block], dtype=np.int64)
-        shared = questions.sparkSession.sparkContext.broadcast(_packs(block, total))
+        shared = share(_packs(block, total))
 
         def score(batch: pa.RecordBatch) -> Scores:
             for rows, vocabulary, weights in shared.value:
@@ -90,7 +104,7 @@ def best_questions(questions: DataFrame, queries: DataFrame, k: int = 1) -> Data
 
         return scan(tokens, ids, k, score)
 
-    ranked = top_k(_with_terms(queries, tokens), k, scan_block)
+    ranked = top_k(_with_terms(queries, tokens), k, F.size("terms") * TERM_BYTES, scan_block)
     return ranked.select(
         "query_id", "rank", F.col("item_id").alias("question_id"), (-F.col("rank_key")).alias("score")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from docloom.functions.vectors import RANK_DECIMALS
 from docloom.operators.search import _query_matrix, nearest, with_similarity
-from docloom.operators.topk import Scores, cosine_keys, scan, top_k
+from docloom.operators.topk import Scores, Shared, cosine_keys, scan, top_k, vector_bytes
 
 DEFAULT_LISTS = 100
 DEFAULT_PROBES = 1
@@ -106,10 +106,10 @@ def search(index: ListIndex, queries: DataFrame, k: int, probes: int = DEFAULT_P
     far from all: it gets the smallest ids of its lists.
     """
 
-    def scan_block(block: list) -> DataFrame:
+    def scan_block(block: list, share: Shared) -> DataFrame:
         ids, matrix = _query_matrix(block)
         probed = _probed(matrix, index.centres, probes)
-        shared = index.rows.sparkSession.sparkContext.broadcast((matrix, probed))
+        shared = share((matrix, probed))
         wanted = [int(i) for i in np.flatnonzero(probed.any(axis=0))]
 
         def score(batch: pa.RecordBatch) -> Scores:
@@ -126,7 +126,7 @@ def search(index: ListIndex, queries: DataFrame, k: int, probes: int = DEFAULT_P
         rows = index.rows.where(F.col("list_id").isin(wanted)).select("id", "list_id", "embedding")
         return scan(rows, ids, k, score)
 
-    return with_similarity(top_k(queries, k, scan_block))
+    return with_similarity(top_k(queries, k, vector_bytes(), scan_block))
 
 
 def recall(index: ListIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:

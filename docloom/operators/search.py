@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from docloom.functions.json import contains_metadata
 from docloom.functions.vectors import RANK_DECIMALS
 from docloom.operators.enrichment import Memoised, memoised, native_vectors, vector_key
-from docloom.operators.topk import NAN_KEY, NULL_KEY, Scores, cosine_keys, scan, top_k
+from docloom.operators.topk import NAN_KEY, NULL_KEY, Scores, Shared, cosine_keys, scan, top_k, vector_bytes
 from docloom.schema import VECTOR_WIDTH
 from docloom.session import cut_lineage
 
@@ -133,9 +133,9 @@ def nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     ``queries(query_id, vector)`` may be of any length; it is taken in blocks.
     """
 
-    def scan_block(block: list) -> DataFrame:
+    def scan_block(block: list, share: Shared) -> DataFrame:
         ids, matrix = _query_matrix(block)
-        shared = items.sparkSession.sparkContext.broadcast(matrix)
+        shared = share(matrix)
 
         def score(batch: pa.RecordBatch) -> Scores:
             keys = cosine_keys(shared.value, batch.column("embedding"), RANK_DECIMALS)
@@ -143,7 +143,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         return scan(items.select("id", "embedding"), ids, k, score)
 
-    return with_similarity(top_k(queries, k, scan_block))
+    return with_similarity(top_k(queries, k, vector_bytes(), scan_block))
 
 
 def _query_matrix(block: list) -> tuple[np.ndarray, np.ndarray]:
@@ -173,10 +173,8 @@ def match_chunks_batch(
 ) -> DataFrame:
     """``match_chunks`` for a table ``queries(query_id, vector)``."""
     chunks = _in_tools(kb.page_chunk.select("id", "page_id", "embedding"), kb, filter)
+    # The hits are a written table: Spark knows its size and chooses the joins by it.
     hits = nearest(chunks, queries, match_count)
-    # Spark cannot foresee that a scan of all vectors ends in few rows; this bound is exact.
-    if queries.count() * match_count <= BROADCAST_HITS:
-        hits = F.broadcast(hits)
     return _described(kb, hits, ["query_id", "rank"])
 
 

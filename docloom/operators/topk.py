@@ -9,25 +9,25 @@ pair of query and item is ever a row.
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.ranking import best_per_group
-from docloom.session import cut_lineage
+from docloom.session import cut_lineage, shared_dir
 
 # Tasks get this module's code with their closures; executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Queries that travel together: at 1536 dimensions, at most 24 MB a block.
+# Queries that travel together: so many at most, and about so many bytes.
 BLOCK_QUERIES = 2048
-# Plans of at most this many blocks are unioned; longer ones are written block by block.
-UNION_BLOCKS = 8
+BLOCK_BYTES = 24 << 20
 SLICE_ROWS = 1024
 
 # Sort keys of distances that are not numbers: a cosine distance is at most 2.
@@ -35,6 +35,9 @@ NAN_KEY = 3.0
 NULL_KEY = 4.0
 NO_MATCH = np.inf
 
+RESULT = ("query_id", "item_id", "rank_key", "rank")
+RESULT_TYPES = "query_id long, item_id long, rank_key double, rank int"
+
 Scores = Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]
 
 
@@ -70,21 +73,43 @@ class Best:
         return query, self.ids[query, place], self.keys[query, place]
 
 
-def query_blocks(queries: DataFrame) -> Iterator[list]:
-    """The query table in blocks of bounded size."""
-    total = queries.count()
-    if total <= BLOCK_QUERIES:
-        yield queries.collect()
+class Shared:
+    """Values sent to all tasks for one block of queries, and freed with it."""
+
+    def __init__(self, spark: SparkSession):
+        self._context, self._held = spark.sparkContext, []
+
+    def __call__(self, value: object) -> Broadcast:
+        self._held.append(self._context.broadcast(value))
+        return self._held[-1]
+
+    def free(self) -> None:
+        for value in self._held:
+            value.destroy()
+
+
+def query_blocks(queries: DataFrame, size: Column) -> Iterator[list]:
+    """The query table in blocks of bounded size; ``size`` is what a query takes in a task, in bytes.
+
+    The queries are evaluated once. One query larger than a block is a block.
+    """
+    held = cut_lineage(queries)
+    totals = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    if totals["n"] <= BLOCK_QUERIES and totals["b"] <= BLOCK_BYTES:
+        yield held.collect()
         return
     # Hashed blocks differ in size: aim at half a block.
-    blocks = -(-total * 2 // BLOCK_QUERIES)
-    placed = cut_lineage(
-        queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    )
+    blocks = max(-(-totals["n"] * 2 // BLOCK_QUERIES), int(-(-totals["b"] * 2 // BLOCK_BYTES)))
+    placed = held.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     for block in range(blocks):
         yield placed.where(F.col("_block") == block).drop("_block").collect()
 
 
+def vector_bytes() -> Column:
+    """What a query's vector takes as doubles."""
+    return F.lit(8) * F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(1))
+
+
 def scan(
     items: DataFrame, query_ids: np.ndarray, k: int, scorer: Callable[[pa.RecordBatch], Scores]
 ) -> DataFrame:
@@ -106,26 +131,32 @@ def scan(
 
 
 def top_k(
-    queries: DataFrame, k: int, scan_block: Callable[[list], DataFrame]
+    queries: DataFrame, k: int, size: Column, scan_block: Callable[[list, Shared], DataFrame]
 ) -> DataFrame:
-    """``(query_id, rank, item_id, rank_key)`` over all blocks of queries."""
-    parts = []
-    for block in query_blocks(queries):
+    """``(query_id, rank, item_id, rank_key)`` over all blocks of queries.
+
+    Each block's result is appended to one table in the shared folder, which is
+    read once: the plan does not grow with the blocks, and what a block sent to
+    the tasks is freed before the next.
+    """
+    spark = queries.sparkSession
+    path = f"{shared_dir(spark)}/topk-{uuid.uuid4().hex}"
+    for block in query_blocks(queries, size):
         if not block:
             continue
+        shared = Shared(spark)
         merged = best_per_group(
-            scan_block(block),
+            scan_block(block, shared),
             ["query_id"],
             [F.col("rank_key"), F.col("item_id")],
             k,
             spread="item_id",
             name="rank",
         )
-        parts.append(merged if len(parts) < UNION_BLOCKS else cut_lineage(merged))
-    if not parts:
-        empty = "query_id long, item_id long, rank_key double, rank int"
-        return queries.sparkSession.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, parts)
+        merged.select(*RESULT).write.mode("append").parquet(path)
+        shared.free()
+    spark.createDataFrame([], RESULT_TYPES).write.mode("append").parquet(path)
+    return spark.read.schema(RESULT_TYPES).parquet(path)
 
 
 def matrix_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -99,9 +99,10 @@ def test_wrong_width_is_an_error(kb):
         match_chunks(kb, [1.0, 2.0], 3).collect()
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_batch_equals_one_by_one(spark, kb, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(2048, 1 << 20), (3, 1 << 20), (1, 1 << 20), (2048, 40)])
+def test_batch_equals_one_by_one(spark, kb, monkeypatch, block, size):
     monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", size)
     queries = vectors(7, seed=9)
     table = spark.createDataFrame(
         [(i, q.tolist()) for i, q in enumerate(queries)], "query_id long, vector array<float>"
@@ -113,6 +114,26 @@ def test_batch_equals_one_by_one(spark, kb, monkeypatch, block):
         assert [x for _, x in mine] == ordered_ids(q.astype(float))
 
 
+def test_plan_does_not_grow_with_the_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, [1.0, i / 9]) for i in range(40)], "query_id long, vector array<float>")
+    plans, rows = [], []
+    for block in (100, 8, 2):
+        monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
+        got = nearest(items, queries, 3)
+        plans.append(len(got._jdf.queryExecution().analyzed().toString().splitlines()))
+        rows.append(sorted(map(tuple, got.collect())))
+    assert len(set(plans)) == 1 and rows[0] == rows[1] == rows[2] and len(rows[0]) == 120
+
+
+def test_a_query_without_direction_gets_its_lists_first_ids(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id long, embedding array<float>")
+    index = ivf.build(items, centres=np.array([[1.0, 0.0], [0.0, 1.0]]))
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, None)], "query_id long, vector array<float>")
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in ivf.search(index, queries, 2, probes=2).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 1)]
+
+
 def test_copies_tie_by_id(spark):
     items = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(3000, 0, -1)], "id long, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, vector array<float>")
@@ -176,7 +197,8 @@ def bm25(texts, query):
     return scores
 
 
-def test_best_question_by_bm25(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [4_000_000, 50])
+def test_best_question_by_bm25(spark, monkeypatch, cells):
     from docloom.operators import answers
 
     rng = random.Random(5)
@@ -184,6 +206,7 @@ def test_best_question_by_bm25(spark, monkeypatch):
     texts = {i: " ".join(rng.choices(words, k=rng.randint(1, 20))) for i in range(60)}
     asked = {i: " ".join(rng.choices(words, k=5)) for i in range(15)} | {99: "unknown words"}
     monkeypatch.setattr(answers, "PACK_WORDS", 8)
+    monkeypatch.setattr(answers, "COUNT_CELLS", cells)
     got = best_questions(
         spark.createDataFrame(list(texts.items()), "question_id long, title string").repartition(5),
         spark.createDataFrame(list(asked.items()), "query_id long, query string"),
