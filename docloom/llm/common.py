@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,9 @@ from docloom.session import shared_dir, tune
 # A word is a run of anything but these white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Hashes are taken modulo this where a share of them is chosen.
+SPAN = 1 << 52
+
 SETTINGS = {
     # Arrow batches of whole texts: bounded in rows and, for very long texts, in bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
@@ -43,14 +44,6 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """``docs`` with (``left_semi``) or without (``left_anti``) the ids of a narrow table."""
-    return docs.join(ids.select(key), key, how)
-
-
-def free_name(columns: Sequence[str], wish: str) -> str:
-    """``wish``, with underscores until no column has that name (names differ in more than case)."""
-    taken = {c.lower() for c in columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
+def below_share(hash_: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls in the first ``share`` of its range: a sample that reruns repeat."""
+    return F.pmod(hash_, F.lit(SPAN)) < F.lit(int(share * SPAN))

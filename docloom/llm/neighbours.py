@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import prepare
+from docloom.llm.common import below_share, prepare
 from docloom.operators.ranking import best_per_group
 from docloom.session import cut_lineage
 
@@ -154,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     share = min(1.0, SAMPLE / count)
-    chosen = base.where(F.pmod(hashed, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = base.where(below_share(hashed, share))
     sample = np.array([r["embedding"] for r in chosen.select("embedding").toLocalIterator()])
     codes = spark.sparkContext.broadcast(learn(sample) if len(sample) else learn(np.eye(2)))
 
