@@ -38,7 +38,10 @@ def last_index(text: Column, needle: str) -> Column:
 
 
 def prompt_excerpt(url: Column, content: Column) -> Column:
-    """The request text of one title/summary call: the first 1000 characters."""
+    """The request text of one title/summary call: the first 1000 characters.
+
+    Fixed values: its wording and that number.
+    """
     return F.concat(
         F.lit("URL: "), url, F.lit("\n\nContent:\n"), F.substring(content, 1, 1000), F.lit("...")
     )

@@ -64,6 +64,7 @@ def url_to_filename(url: Column) -> Column:
 
 
 def document_path(url: Column) -> Column:
+    # The folder and the ending of document files.
     return F.concat(F.lit("data/docs/"), url_to_filename(url), F.lit(".md"))
 
 
@@ -83,6 +84,7 @@ def robots_url(base: Column) -> Column:
 
 def registry_url(package: Column, version: Column | None = None) -> Column:
     """Address of a package's registry record; a missing or empty version is left out."""
+    # The registry's address and the form of its record paths.
     release = F.lit(None).cast("string") if version is None else F.nullif(version, F.lit(""))
     return F.concat_ws("/", F.lit("https://pypi.org/pypi"), package, release, F.lit("json"))
 

@@ -22,7 +22,10 @@ def tool_catalog(tools: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def catalog_line(catalog: DataFrame) -> DataFrame:
-    """The catalog as one sentence, in catalog order."""
+    """The catalog as one sentence, in catalog order: one row, so one task lists all tools.
+
+    Fixed values: the wording of the line and of its entries.
+    """
     entry = F.struct(
         (-F.col("page_count")).alias("order"),
         "tool_name",
@@ -59,6 +62,7 @@ def usage_summary(usage: DataFrame) -> DataFrame:
         of("tokens", "completion").cast("long").alias("ct"),
         of("tokens", "embedding").cast("long").alias("et"),
     )
+    # The lines of the report.
     layout = (
         "=== Cost and Token Usage Summary ===\n"
         "Completion Cost: $%.6f\nEmbedding Cost: $%.6f\nTotal Cost: $%.6f\n"

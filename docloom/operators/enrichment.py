@@ -271,11 +271,11 @@ def iso_utc(moment: Column) -> Column:
     return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
-def chunk_metadata(url: Column, content: Column, as_of: Column) -> Column:
-    """Compact JSON metadata of one chunk."""
+def chunk_metadata(url: Column, content: Column, as_of: Column, source: str = CHUNK_SOURCE) -> Column:
+    """Compact JSON metadata of one chunk; ``source`` names where its tool's documentation comes from."""
     return F.to_json(
         F.struct(
-            F.lit(CHUNK_SOURCE).alias("source"),
+            F.lit(source).alias("source"),
             F.length(content).alias("chunk_size"),
             iso_utc(as_of).alias("crawled_at"),
             url_path(url).alias("url_path"),
