@@ -34,6 +34,7 @@ SCRIPT_SHARE = 0.01
 OUT_OF_SCRIPT = -50.0  # per word
 SWITCH = 12.0  # what a change of language costs, in nats
 UNDETERMINED = "und"
+STEP = 4096  # words whose scores are plain numbers at once
 
 
 class Words(NamedTuple):
@@ -121,17 +122,27 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     floor = np.minimum.accumulate(np.vstack([np.zeros((1, languages)), gains[:-1]]), axis=0)
     if (gains - floor).max() <= switch / 2:
         return np.full(count, top)
-    came, best = np.zeros((count, languages), bool), np.zeros(count, np.int64)
-    value = scores[0].astype(np.float64)
-    for t in range(1, count):
-        best[t - 1] = value.argmax()
-        change = value[best[t - 1]] - switch
-        came[t] = value < change
-        value = np.maximum(value, change) + scores[t]
+    # For each word but the first: the best label before it, and a bit for each label that a change
+    # from that one improves. Plain numbers are quicker here than arrays of a few labels.
+    before, changed = [], []
+    value = scores[0].tolist()
+    for start in range(1, count, STEP):
+        for row in scores[start : start + STEP].tolist():
+            most = max(value)
+            change, flags = most - switch, 0
+            before.append(value.index(most))
+            if min(value) < change:
+                flags = sum(1 << i for i, v in enumerate(value) if v < change)
+                value = [(v if v >= change else change) + s for v, s in zip(value, row, strict=True)]
+            else:
+                value = [v + s for v, s in zip(value, row, strict=True)]
+            changed.append(flags)
     path = np.empty(count, np.int64)
-    path[-1] = value.argmax()
-    for t in range(count - 1, 0, -1):
-        path[t - 1] = best[t - 1] if came[t, path[t]] else path[t]
+    path[-1] = label = value.index(max(value))
+    for t in range(count - 2, -1, -1):
+        if changed[t] >> label & 1:
+            label = before[t]
+        path[t] = label
     return path
 
 
