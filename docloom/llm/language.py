@@ -99,7 +99,8 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, list[tuple[int, int, str, int]]]:
         """The language with most letters (ties: the first by name), its share of them, the spans."""
-        spans = self.spans(text)
+        # Marks alone, which words may hold, are no letters.
+        spans = self.spans(text) if any(map(str.isalpha, text or "")) else []
         if not spans:
             return UNDETERMINED, 0.0, spans
         letters: dict[str, int] = {}

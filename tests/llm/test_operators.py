@@ -320,6 +320,7 @@ def test_spans_of_mixed_and_odd_texts(lines, odd, empty):
     assert [by[i]["lang_pred"] for i in (1, 4, 5, 6, 7, 9, 10)] == ["en", "und", "und", "und", "und", "en", "ru"]
     assert all(0 <= r["score"] <= 1 for r in got) and by[5]["spans"] == []
     assert language.identify(empty, model).count() == 0
+    assert model.predict("\u0301 1 \u0308")[0] == model.predict("١٢")[0] == "und"
     none = language.learn(empty)
     assert {r["lang_pred"] for r in language.identify(odd, none).collect()} == {"und"}
 
