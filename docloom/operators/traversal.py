@@ -48,6 +48,34 @@ def crawl(
     ``links(url, link_pos, href)``. ``depth`` 0 keeps to the start page,
     ``limit`` counts final URLs in visit order; ``None`` means no bound.
     """
+    return _traverse(starts, captures, links, rules, depth, limit)[0]
+
+
+def links_per_page(
+    starts: DataFrame,
+    captures: DataFrame,
+    links: DataFrame,
+    rules: DataFrame | None = None,
+    depth: int | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """``(crawl_id, url, new_links)``: requests that each page added to its crawl, as its first finder.
+
+    Arguments are those of :func:`crawl`; pages that added none are left out.
+    """
+    requests = _traverse(starts, captures, links, rules, depth, limit)[1]
+    return requests.groupBy("crawl_id", F.col("via").alias("url")).agg(F.count("*").alias("new_links"))
+
+
+def _traverse(
+    starts: DataFrame,
+    captures: DataFrame,
+    links: DataFrame,
+    rules: DataFrame | None,
+    depth: int | None,
+    limit: int | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Pages that are stored, and the requests with the page that each was first found on."""
     pages = cut_lineage(_fetchable(captures, rules))
     targets = pages.select(F.col("url").alias("target"), F.col("final_url").alias("target_final"))
     edges = cut_lineage(
@@ -57,10 +85,11 @@ def crawl(
         .where(url_netloc(F.col("url")) == url_netloc(F.col("target")))
     )
     level = starts.join(pages, starts["start_url"] == pages["url"]).select(
-        "crawl_id", "url", "final_url", F.array().cast("array<int>").alias("path")
-    )
+        "crawl_id", "url", "final_url", F.array().cast("array<int>").alias("path"),
+        F.lit(None).cast("string").alias("via"),
+    )
     level = cut_lineage(_marked(level, [], limit))
-    requested = [level.select("crawl_id", "url")]
+    requested = [level.select("crawl_id", "url", "via")]
     stored = [_stored(level, 0)]
     reached = 0
     while depth is None or reached < depth:
@@ -70,9 +99,10 @@ def crawl(
         level = cut_lineage(_marked(found, stored, limit))
         if level.isEmpty():
             break
-        requested = _compact([*requested, level.select("crawl_id", "url")])
+        requested = _compact([*requested, level.select("crawl_id", "url", "via")])
         stored = _compact([*stored, _stored(level, reached)])
-    return _all(stored).select("crawl_id", F.col("final_url").alias("url"), "depth")
+    found = _all(requested).where(F.col("via").isNotNull())
+    return _all(stored).select("crawl_id", F.col("final_url").alias("url"), "depth"), found
 
 
 def _stored(level: DataFrame, depth: int) -> DataFrame:
@@ -97,7 +127,7 @@ def _marked(level: DataFrame, stored: list[DataFrame], limit: int | None) -> Dat
         level.join(marks, ["crawl_id", "final_url"])
         .where((F.col("url") != F.col("final_url")) | is_first)
         .withColumn("stores", is_first & F.coalesce("_fresh", F.lit(False)))
-        .select("crawl_id", "url", "final_url", "path", "stores")
+        .select("crawl_id", "url", "final_url", "path", "via", "stores")
     )
 
 
@@ -114,18 +144,23 @@ def _next_level(
     level: DataFrame, edges: DataFrame, requested: list[DataFrame], stored: list[DataFrame]
 ) -> DataFrame:
     """Requests found on this level that were never made before, by first discovery."""
+    made = _all(requested).select("crawl_id", "url")
     known = _all(stored).select("crawl_id", F.col("final_url").alias("url"))
     return (
         level.join(edges, "url")
         .select(
             "crawl_id",
+            F.col("final_url").alias("via"),
             F.col("target").alias("url"),
             F.col("target_final").alias("final_url"),
             F.concat("path", F.array("link_pos")).alias("path"),
         )
         .groupBy("crawl_id", "url")
-        .agg(F.min("path").alias("path"), F.any_value("final_url").alias("final_url"))
-        .join(_all(requested).unionByName(known), ["crawl_id", "url"], "left_anti")
+        .agg(
+            F.min("path").alias("path"), F.any_value("final_url").alias("final_url"),
+            F.min_by("via", "path").alias("via"),
+        )
+        .join(made.unionByName(known), ["crawl_id", "url"], "left_anti")
     )
 
 

@@ -405,7 +405,8 @@ def _crawl(starts: str, depth: int = _LEVELS, limit: int | None = None) -> str:
 )""",
         f"start AS ({starts})",
         """level0 AS MATERIALIZED (
-  SELECT crawl_id, url, final_url, CAST([] AS INTEGER[]) AS path FROM start JOIN ok ON start_url = url
+  SELECT crawl_id, url, final_url, CAST([] AS INTEGER[]) AS path, CAST(NULL AS VARCHAR) AS via
+  FROM start JOIN ok ON start_url = url
 )""",
     ]
     for i in range(depth + 1):
@@ -425,7 +426,8 @@ def _crawl(starts: str, depth: int = _LEVELS, limit: int | None = None) -> str:
         if limit is not None:
             open_ = f"WHERE (SELECT count(*) FROM ({kept}) k WHERE k.crawl_id = l.crawl_id) < {limit}"
         parts.append(f"""found{i + 1} AS MATERIALIZED (
-  SELECT l.crawl_id, e.target AS url, e.target_final AS final_url, min(list_append(l.path, e.link_pos)) AS path
+  SELECT l.crawl_id, e.target AS url, e.target_final AS final_url, min(list_append(l.path, e.link_pos)) AS path,
+    arg_min(l.final_url, list_append(l.path, e.link_pos)) AS via
   FROM level{i} l JOIN edge e ON e.url = l.url {open_} GROUP BY ALL
 )""")
         parts.append(f"""level{i + 1} AS MATERIALIZED (
@@ -450,6 +452,12 @@ ORACLE["crawl_bfs"] = _crawl(_ONE_START) + _STORED
 ORACLE["crawl_bfs_multi"] = _crawl(_ALL_STARTS) + _STORED
 ORACLE["crawl_bfs_depth"] = _crawl(_ALL_STARTS, depth=1) + _STORED
 ORACLE["crawl_bfs_limited"] = _crawl(_ALL_STARTS, limit=3) + _STORED
+ORACLE["links_per_page"] = (
+    _crawl(_ALL_STARTS)
+    + "SELECT crawl_id, via AS url, count(*) AS new_links FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM level{i}" for i in range(1, _LEVELS + 1))
+    + ") GROUP BY ALL"
+)
 ORACLE["crawl_totals"] = (
     _crawl(_ALL_STARTS) + "SELECT crawl_id, depth, count(*) AS n_pages FROM stored GROUP BY ALL"
 )

@@ -42,7 +42,7 @@ from docloom.operators.search import (
     search_result,
     search_text,
 )
-from docloom.operators.traversal import crawl, in_scope
+from docloom.operators.traversal import crawl, in_scope, links_per_page
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
 from docloom.plans import derived as d
 from docloom.plans.packages import ingest_packages
@@ -514,7 +514,7 @@ def robots_filter(spark, sf_dir):
     return allowed(pages.select("page_id", "url"), d.site_rules(pages)).select("page_id", "url", "allowed")
 
 
-def _crawled(spark, sf_dir, one: bool = False, **bounds) -> DataFrame:
+def _crawled(spark, sf_dir, one: bool = False, what=crawl, **bounds) -> DataFrame:
     pages, links = _site(spark, sf_dir)
     starts = d.site_starts(pages)
     if one:
@@ -522,7 +522,7 @@ def _crawled(spark, sf_dir, one: bool = False, **bounds) -> DataFrame:
             pages.groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(1)
         )
         starts = starts.join(largest, "host", "left_semi")
-    return crawl(starts.drop("host"), pages, links, d.site_rules(pages), **bounds)
+    return what(starts.drop("host"), pages, links, d.site_rules(pages), **bounds)
 
 
 @registered("crawl_bfs")
@@ -589,6 +589,11 @@ def package_ingest(spark, sf_dir):
     return tools.join(found, "tool_name", "left")
 
 
+@registered("links_per_page")
+def links_per_page_query(spark, sf_dir):
+    return _crawled(spark, sf_dir, what=links_per_page)
+
+
 # --- catalog and usage --------------------------------------------------------------------
 
 
