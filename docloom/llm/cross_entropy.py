@@ -1,26 +1,39 @@
-"""Language-model scores: cross-entropy of a target model less that of a background model."""
+"""Language-model scores: cross-entropy of a target model less that of a background model.
+
+The models are tables of counts of all words and of all pairs of words, and grow
+with the corpus. Frequent pairs are held by every task; the others are joined.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import bloom
-from docloom.llm.chars import code_points, tokens
+from docloom.llm.chars import code_points, mixed, tokens
+from docloom.session import shared_dir
 
-# Words that both models know, two of which stand for all others and for the ends of a text. The
-# tables of bigrams have this many rows and columns: 4 MB each, for any corpus.
-VOCABULARY = 1024
-OTHER, END = 0, 1
+# The word that stands for both ends of a text.
+END = np.int64(0x5851F42D4C957F2D)
 # Weight of the unigram model in a word's followers, in counts.
 BACK_OFF = 50.0
-# Different words that a task holds before it hands on their counts.
-HELD = 1 << 19
+# Words that a task holds before it hands on the counts of their pairs.
+HELD = 1 << 21
+# Pairs whose losses are brought to every task: the most frequent ones, at most this many rows of
+# three numbers. All others are rarer than one in ``HEAD`` pairs, so none is a hot key of the join.
+HEAD = 1 << 18
+# Classes of counts to each doubling, by which the frequent pairs are told from the rest.
+STEPS = 4
+
+# Texts that are looked up at once.
+TEXTS = 64
+LOSSES = ("target_loss", "background_loss")
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -28,101 +41,95 @@ def _hashes(text: str | None) -> np.ndarray:
     return tokens(code_points(text or ""), symbols=True).hash.view(np.int64)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each word, by its hash, stands in all texts."""
+def _ended(text: str | None) -> np.ndarray:
+    """The words between two ends."""
+    return np.concatenate([[END], _hashes(text), [END]])
+
+
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A hash of each word with the one before it: the latter turned by a bit, so that their order counts."""
+    turned = before.view(np.uint64)
+    return ((turned << np.uint64(1) | turned >> np.uint64(63)) ^ word.view(np.uint64)).view(np.int64)
+
+
+def _pair_column() -> Column:
+    """The same by columns ``before`` and ``word``."""
+    turned = F.shiftleft("before", 1).bitwiseOR(F.shiftrightunsigned("before", 63))
+    return turned.bitwiseXOR(F.col("word"))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder: columns of counts shrink there, as they do not in a checkpoint."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/models-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(before, word, n): how often each word follows each, in parts that are yet to be summed."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         waiting = 0
         for batch in batches:
             for text in batch["text"]:
-                held.append(_hashes(text))
+                held.append(_ended(text))
                 waiting += len(held[-1])
-                if waiting >= 8 * HELD:
+                if waiting >= HELD:
                     yield _counted(held)
                     held, waiting = [], 0
         yield _counted(held)
 
-    return (
-        docs.where(F.col("text").isNotNull()).select("text")
-        .mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    )
+    texts = docs.where(F.col("text").isNotNull()).select("text")
+    return texts.mapInPandas(count, "before long, word long, n long")
 
 
 def _counted(held: list[np.ndarray]) -> pd.DataFrame:
-    words, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-    return pd.DataFrame({"word": words, "n": n})
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all texts, sorted; their count is a setting of the model."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY - 2)
-    return np.sort(np.array([r["word"] for r in top.collect()], np.int64))
-
-
-def _numbers(text: str | None, words: np.ndarray) -> np.ndarray:
-    """The words' places in the vocabulary, between two ends."""
-    hashes = _hashes(text)
-    known = np.zeros(len(hashes), np.int64)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        known = np.where(words[at] == hashes, at + 2, OTHER)
-    return np.concatenate([[END], known, [END]])
-
+    before = np.concatenate([np.zeros(0, np.int64), *[h[:-1] for h in held]])
+    word = np.concatenate([np.zeros(0, np.int64), *[h[1:] for h in held]])
+    _, first, n = np.unique(_pairs(before, word), return_index=True, return_counts=True)
+    return pd.DataFrame({"before": before[first], "word": word[first], "n": n})
 
-def numbered(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, numbers): each text as places in the vocabulary, two bytes a token."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            short = [_numbers(text, shared.value).astype(np.int16).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "numbers": short})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.mapInPandas(number, f"doc_id {kind}, numbers binary")
-
-
-def bigram_counts(texts: DataFrame) -> np.ndarray:
-    """How often each known word follows each in ``texts`` (numbers). Tasks sum up theirs, Spark the sums."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(VOCABULARY * VOCABULARY, np.int64)
-        for batch in batches:
-            for numbers in batch["numbers"]:
-                n = np.frombuffer(numbers, np.int16).astype(np.int64)
-                np.add.at(total, n[:-1] * VOCABULARY + n[1:], 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": at, "n": total[at]})
+def loss(pair, before, word, total, kinds, log=np.log):
+    """Loss, in nats, of a word after another: pairs, backed off to words with one added to each.
 
-    found = texts.select("numbers").mapInPandas(count, "pair int, n long")
-    rows = found.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(VOCABULARY * VOCABULARY)
-    table[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return table.reshape(VOCABULARY, VOCABULARY)
+    ``pair`` and ``before`` count the pair and its first word, ``word`` the second one among
+    ``total`` of so many ``kinds``. Numbers, arrays or, with their logarithm, columns.
+    """
+    return log(before + BACK_OFF) - log(pair + (word + 1.0) * BACK_OFF / (total + kinds))
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
-    """Loss, in nats, of each word after each: bigrams, backed off to unigrams with one added to each."""
-    single = counts.sum(axis=0) + 1
-    single /= single.sum()
-    after = counts.sum(axis=1, keepdims=True)
-    return -np.log((counts + BACK_OFF * single) / (after + BACK_OFF)).astype(np.float32)
+    """The loss of each word after each, of a table of counts."""
+    single = counts.sum(axis=0)
+    return loss(counts, counts.sum(axis=1, keepdims=True), single, single.sum(), len(single))
 
 
 @dataclass(frozen=True)
 class Models:
-    words: np.ndarray
-    target: np.ndarray
-    background: np.ndarray
+    """Counts of pairs and words in the target (``_t``) and in all texts (``_b``)."""
+
+    docs: DataFrame
+    pairs: DataFrame  # before, word, pair_t, pair_b
+    words: DataFrame  # kind, kind_t, kind_b
+    target_total: int
+    total: int
+    kinds: int  # different words, and one more for all others
+    flat: bool  # whether there are no target texts, so that both models are the background
+
+    @property
+    def scale(self) -> float:
+        return 1.0 if self.flat else self.target_total / max(self.total, 1)
+
+    @property
+    def target(self) -> np.ndarray:
+        """The target's loss of a word that no text holds, after another."""
+        return np.array([loss(0.0, 0.0, 0.0, self.total if self.flat else self.target_total, self.kinds)])
 
-    def score(self, text: str | None) -> tuple[int, float, float]:
-        """Predicted tokens (the end is one), and the mean losses of both models."""
-        n = _numbers(text, self.words)
-        a, b = n[:-1], n[1:]
-        mean = lambda table: float(table[a, b].mean(dtype=np.float64))
-        return len(a), mean(self.target), mean(self.background)
+    @property
+    def background(self) -> np.ndarray:
+        return np.array([loss(0.0, 0.0, 0.0, self.total * self.scale, self.kinds)])
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -132,28 +139,63 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, target: DataFrame) -> Models:
-    """Matched models of all ``docs`` (doc_id, text) and of those in ``target`` (doc_id): one
-    vocabulary, one smoothing, one size.
+    """Matched models of all ``docs`` (doc_id, text) and of those in ``target`` (doc_id): all
+    words, and one smoothing.
 
-    The vocabulary and the background model count all texts, the target model
-    those of its documents, each row once. Background counts are scaled to the
-    target's sum, so that smoothing weighs the same in both: what a background
-    sample of the target's size would hold, without its noise. Without target
-    texts both models are the background.
+    The background model counts all texts, the target model those of its
+    documents, each row once. Background counts are scaled to the target's
+    sum, so that smoothing weighs the same in both: what a background sample
+    of the target's size would hold, without its noise. Without target texts
+    both models are the background.
 
-    Target texts are found by an exact join. A Bloom filter of their ids leaves
-    most others in place, and what is moved are tokens of two bytes, not texts.
+    Tasks sum up the counts of theirs, Spark the sums. Target texts are found
+    by an exact join; a Bloom filter of their ids leaves most others in place.
     """
-    words = vocabulary(docs)
     ids = target.select(F.col("doc_id").alias("_target")).where(F.col("_target").isNotNull()).distinct()
     flagged = bloom.build(ids, "_target").flag(docs.select("doc_id", "text"), F.col("doc_id"), "_maybe")
-    maybe = numbered(flagged.where(F.col("_maybe")), words)
-    wanted = bigram_counts(maybe.join(ids, F.col("doc_id") == F.col("_target"), "left_semi"))
-    usual = bigram_counts(numbered(docs, words))
-    if not wanted.sum():
-        wanted = usual
-    scale = wanted.sum() / max(usual.sum(), 1)
-    return Models(words, losses(wanted), losses(usual * scale))
+    wanted = flagged.where(F.col("_maybe")).join(ids, F.col("doc_id") == F.col("_target"), "left_semi")
+    none = F.lit(0).cast("long")
+    parts = pair_counts(wanted).select("before", "word", F.col("n").alias("pair_t"), none.alias("pair_b")).unionByName(
+        pair_counts(docs).select("before", "word", none.alias("pair_t"), F.col("n").alias("pair_b"))
+    )
+    pairs = _stored(parts.groupBy("before", "word").agg(F.sum("pair_t").alias("pair_t"), F.sum("pair_b").alias("pair_b")))
+    # Every word but the last end follows another, and the first end stands for it.
+    words = _stored(
+        pairs.groupBy(F.col("word").alias("kind")).agg(F.sum("pair_t").alias("kind_t"), F.sum("pair_b").alias("kind_b"))
+    )
+    sums = words.agg(F.sum("kind_t").alias("t"), F.sum("kind_b").alias("b"), F.count("*").alias("n")).first()
+    return Models(docs, pairs, words, sums["t"] or 0, sums["b"] or 0, sums["n"] + 1, not sums["t"])
+
+
+def pair_losses(models: Models, pairs: DataFrame) -> DataFrame:
+    """pair, pair_b and the losses by both models of ``pairs`` (before, word, pair_t, pair_b)."""
+    first = models.words.select(F.col("kind").alias("before"), F.col("kind_t").alias("before_t"), F.col("kind_b").alias("before_b"))
+    second = models.words.select(F.col("kind").alias("word"), F.col("kind_t").alias("word_t"), F.col("kind_b").alias("word_b"))
+    both = pairs.join(first, "before", "left").join(second, "word", "left")
+    at = {c: F.coalesce(c, F.lit(0)).cast("double") for c in both.columns}
+    scaled = [at[c] * models.scale for c in ("pair_b", "before_b", "word_b")]
+    usual = loss(*scaled, models.total * models.scale, models.kinds, F.log)
+    wanted = usual if models.flat else loss(at["pair_t"], at["before_t"], at["word_t"], models.target_total, models.kinds, F.log)
+    return both.select(_pair_column().alias("pair"), "pair_b", wanted.alias(LOSSES[0]), usual.alias(LOSSES[1]))
+
+
+def _step() -> Column:
+    """The class of a pair's count."""
+    return F.floor(F.log2("pair_b") * STEPS)
+
+
+def _head(table: DataFrame) -> pd.DataFrame:
+    """The most frequent pairs, whole classes of counts: ``HEAD`` at most."""
+    seen = table.where(F.col("pair_b") > 0)
+    classes = seen.groupBy(_step().alias("step")).agg(F.count("*").alias("n")).collect()
+    least, rows = None, 0
+    for r in sorted(classes, key=lambda r: -r["step"]):
+        rows += r["n"]
+        if rows > HEAD:
+            break
+        least = r["step"]
+    chosen = seen.limit(0) if least is None else seen.where(_step() >= least)
+    return chosen.select("pair", *LOSSES).toPandas().sort_values("pair", ignore_index=True)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -163,17 +205,73 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     lower, the more a text is like the target. Null and empty texts are scored
     on their end alone. Repeated rows are each given; other columns are left
     out, whatever their names.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A text's frequent pairs are looked up where it is read. Each of its others
+    is one row with its number, joined to the losses and summed up again.
+    """
+    pairs = models.pairs
+    if not docs.sameSemantics(models.docs):
+        # Pairs that the models never counted still have losses, by their words.
+        none = F.lit(0).cast("long")
+        new = pair_counts(docs).select("before", "word").distinct().join(pairs, ["before", "word"], "left_anti")
+        pairs = pairs.unionByName(new.select("before", "word", none.alias("pair_t"), none.alias("pair_b")))
+    table = _stored(pair_losses(models, pairs))
+    head = _head(table)
+    known = head["pair"].to_numpy(np.int64), [head[c].to_numpy(np.float64) for c in LOSSES]
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [shared.value.score(text) for text in batch["text"]]
-            out = pd.DataFrame(rows, columns=["tokens", "target_loss", "background_loss"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out["score"] = out["target_loss"] - out["background_loss"]
-            yield out
-
+            for start in range(0, len(batch), TEXTS):
+                yield _looked_up(batch.iloc[start : start + TEXTS], *shared.value)
+
+    # The id is a string on its way, since numbers with nulls would lose digits.
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text")
+    rows = numbered.mapInPandas(look_up, "row long, pair long, m int, doc_id string, tokens long, known_t double, known_b double")
+    # The row of a text itself has its id, and what was looked up; its pair stands in it no times.
+    joined = rows.join(table.select("pair", *LOSSES), "pair", "left")
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"),
+        *[
+            F.sum(F.when(F.col("m") > 0, F.col("m") * F.col(c)).otherwise(F.col(k))).alias(c)
+            for c, k in zip(LOSSES, ("known_t", "known_b"), strict=True)
+        ],
+    )
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, tokens long, target_loss double, background_loss double, score double"
-    return docs.select("doc_id", "text").mapInPandas(measure, schema)
+    means = sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "tokens", *[(F.col(c) / F.col("tokens")).alias(c) for c in LOSSES])
+    return means.withColumn("score", F.col(LOSSES[0]) - F.col(LOSSES[1]))
+
+
+def _looked_up(batch: pd.DataFrame, known: np.ndarray, losses_: list[np.ndarray]) -> pd.DataFrame:
+    """A row for each text, with the losses of its frequent pairs, and one for each of its other pairs."""
+    texts = [_ended(text) for text in batch["text"]]
+    n = np.array([len(t) - 1 for t in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), n)
+    pair = np.concatenate([np.zeros(0, np.int64), *[_pairs(t[:-1], t[1:]) for t in texts]])
+    sums = [np.zeros(len(texts)) for _ in LOSSES]
+    if len(known):
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        found = known[at] == pair
+        sums = [np.bincount(of[found], loss_[at[found]], len(texts)) for loss_ in losses_]
+        of, pair = of[~found], pair[~found]
+    first, m = _different(of, pair)
+    of, pair = of[first], pair[first]
+    row, none = batch["row"].to_numpy(np.int64), np.zeros(len(of))
+    texts_rows = pd.DataFrame({
+        "row": row, "pair": mixed(row.view(np.uint64)).view(np.int64), "m": 0, "doc_id": batch["doc_id"].to_numpy(object),
+        "tokens": n, "known_t": sums[0], "known_b": sums[1],
+    })
+    rare = pd.DataFrame({
+        "row": row[of], "pair": pair, "m": m, "doc_id": np.full(len(of), None), "tokens": none.astype(np.int64),
+        "known_t": none, "known_b": none,
+    })
+    return pd.concat([texts_rows, rare])
+
+
+def _different(of: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the different values of each text, and how often each stands there."""
+    order = np.lexsort((values, of))
+    starts = np.ones(len(order), bool)
+    starts[1:] = (np.diff(of[order]) != 0) | (np.diff(values[order]) != 0)
+    at = np.flatnonzero(starts)
+    return order[at], np.diff(np.append(at, len(order)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,6 +168,44 @@ def test_cross_entropy_of_odd_documents(lines, odd, empty):
     assert all(r["score"] == 0 for r in cross_entropy.score(odd, flat).collect())
 
 
+def plain_scores(docs: list[str], target: list[int]) -> list[float]:
+    """Scores of all documents by counts in dictionaries."""
+    words = [["<>", *text.split(), "<>"] for text in docs]
+    pairs = [Counter(zip(w, w[1:], strict=False)) for w in words]
+    all_, good = sum(pairs, Counter()), sum((pairs[i] for i in target), Counter())
+    kinds, scale = len({b for _, b in all_}) + 1, sum(good.values()) / sum(all_.values())
+
+    def mean(counts: Counter, scale: float, i: int) -> float:
+        total, before, word = sum(counts.values()) * scale, Counter(), Counter()
+        for (a, b), n in counts.items():
+            before[a] += n * scale
+            word[b] += n * scale
+        chances = [
+            (counts[a, b] * scale + 50 * (word[b] + 1) / (total + kinds)) / (before[a] + 50) for a, b in pairs[i].elements()
+        ]
+        return -sum(map(math.log, chances)) / len(chances)
+
+    return [mean(good, 1.0, i) - mean(all_, scale, i) for i in range(len(docs))]
+
+
+@pytest.mark.parametrize("head", [0, 100, 1 << 18])
+def test_cross_entropy_counts_every_word(lines, monkeypatch, head):
+    """Over 1024 words are common; texts that differ in rarer words alone must still differ."""
+    monkeypatch.setattr(cross_entropy, "HEAD", head)
+    common = " ".join(f"w{i}" for i in range(1200))
+    rare = ["amber birch", "amber birch", "cobalt delta", "cobalt delta", "echo", ""]
+    texts = [f"{common} {common} {r}".strip() for r in rare] + ["", "amber birch amber birch"]
+    docs = lines.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = cross_entropy.fit(docs, docs.where("doc_id in (0, 4)").select("doc_id"))
+    got = {r["doc_id"]: r["score"] for r in cross_entropy.score(docs, models).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], plain_scores(texts, [0, 4]))
+    assert got[1] < got[2] - 1e-6
+    # Texts that are not among those of the models.
+    other = lines.createDataFrame([(1, "amber birch"), (2, "never seen"), (None, "cobalt delta")], "doc_id long, text string")
+    by = {r["doc_id"]: r["score"] for r in cross_entropy.score(other, models).collect()}
+    assert len(by) == 3 and by[1] < by[None] and all(map(math.isfinite, by.values()))
+
+
 # --- 4 mixing --------------------------------------------------------------------------
 
 
