@@ -2,8 +2,9 @@
 
 A text becomes a template: numbers, names and units turn into typed
 placeholders, and what stood there is the slot's value. A question with other
-numbers and names keeps its template, so windows of templates find it; a match
-counts where equal slots of the item stay equal in the document.
+numbers and names keeps its template, so windows of templates find it; a window
+counts where its values are the item's own, or where equal slots of the item stay
+equal in the document as they do in most of their places.
 """
 
 from __future__ import annotations
@@ -82,15 +83,13 @@ def window_hashes(t: Template, size: int) -> np.ndarray:
     return np.where(enough, whole, windows(t.value, size) ^ VERBATIM)
 
 
-_WINDOWS = "size int, at long, window long, slots array<struct<kind:int,value:long>>"
+_WINDOWS = "size int, at long, window long, slots array<struct<place:int,value:long>>"
 
 
 def _rows(t: Template, size: int, at: np.ndarray, hashes: np.ndarray) -> Iterator[tuple]:
     signed, value = hashes.view(np.int64), t.value.view(np.int64)
     for i in at.tolist():
-        slots = [
-            {"kind": int(k), "value": int(v)} for k, v in zip(t.kind[i : i + size], value[i : i + size], strict=True) if k
-        ]
+        slots = [{"place": int(k), "value": int(value[i + k])} for k in np.flatnonzero(t.kind[i : i + size])]
         yield size, i, int(signed[i]), slots
 
 
@@ -140,7 +139,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``matched`` counts the different windows of the item that the document
     (doc_id, text) has in one line: at one distance between the places in the
-    two. Only lines in which equal slots of the item stay equal count;
+    two. Windows count whose values are the item's own, or those that the line
+    has in most places of each value; a line in which two values or more, and
+    over half of those that the item repeats there, do not stay equal counts not at all.
     ``same_slots`` says that all values are the item's own. A document may
     hold several items, each is given once, with its best line.
 
@@ -178,25 +179,40 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     paired = cut_lineage(joined)
     counted = paired.groupBy(*line).agg(F.count_distinct("item_at").alias("matched"))
-    # One row per pair of an item's value and the document's value in its place.
-    slot = F.explode(F.arrays_zip("item_slots", "slots"))
-    values = (
-        paired.select(*line, slot.alias("s"))
-        .select(*line, F.col("s.item_slots").alias("theirs"), F.col("s.slots").alias("ours"))
-        .distinct()
-    )
-    changed = (
-        values.groupBy(*line, "theirs")
-        .agg(F.count("*").alias("n"), F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("differ"))
-        .groupBy(*line)
-        .agg(F.max("n").alias("most"), F.max("differ").alias("differ"))
+    # A row for each place of an item's value, with the document's value in that place. A window of
+    # words has the item's own values, whatever is a slot in the document.
+    ours = F.map_from_entries("slots")
+    slots = paired.select(*line, "item_at", ours.alias("ours"), F.explode("item_slots").alias("s")).select(
+        *line, "item_at", (F.col("item_at") + F.col("s.place")).alias("place"), F.col("s.value").alias("theirs"),
+        F.coalesce(F.try_element_at("ours", F.col("s.place")), F.col("s.value")).alias("ours"),
+    )
+    met = (
+        slots.groupBy(*line, "theirs", "ours").agg(F.count_distinct("place").alias("places"))
+        .groupBy(*line, "theirs")
+        .agg(
+            F.count("*").alias("n"), F.sum("places").alias("places"),
+            F.max((F.col("theirs") != F.col("ours")).cast("int")).alias("differ"),
+            F.max(F.struct("places", (F.col("theirs") == F.col("ours")).alias("own"), "ours")).alias("usual"),
+        )
+    )
+    met = cut_lineage(met.select(*line, "theirs", "n", "places", "differ", F.col("usual.ours").alias("usual")))
+    changed = met.groupBy(*line).agg(
+        F.max("differ").alias("differ"), F.count_if(F.col("n") > 1).alias("split"), F.count_if(F.col("places") > 1).alias("repeated")
     )
+    # Only lines with a value that meets several are counted again, window by window.
+    split = met.where(F.col("n") > 1).select(*line, "theirs", "usual")
+    odd = slots.join(split, [*line, "theirs"]).where(F.col("ours") != F.col("usual")).select(*line, "item_at").distinct()
+    moved = slots.where(F.col("ours") != F.col("theirs")).select(*line, "item_at").distinct()
+    apart = odd.join(moved, [*line, "item_at"], "left_semi").groupBy(*line).agg(F.count("*").alias("apart"))
+    agreed = (F.col("matched") - F.coalesce("apart", F.lit(0))).alias("matched")
+    even = (F.coalesce("split", F.lit(0)) < 2) | (F.col("split") * 2 <= F.col("repeated"))
     best = (
-        counted.join(changed, line, "left")
-        .where((F.coalesce("most", F.lit(1)) == 1) & (F.col("matched") >= F.least(F.lit(float(RUN)), SHARE * F.col("item_windows"))))
+        counted.join(changed, line, "left").join(apart, line, "left").where(even)
+        .select(*line, agreed, "differ")
+        .where(F.col("matched") >= F.least(F.lit(float(RUN)), SHARE * F.col("item_windows")))
         .groupBy("doc_id", "item_id", "item_windows")
         .agg(F.max(F.struct("matched", (F.coalesce("differ", F.lit(0)) == 0).alias("same"))).alias("best"))
-    )
+    )
     return best.select(
         "doc_id", "item_id", F.col("best.matched").alias("matched"), "item_windows", F.col("best.same").alias("same_slots")
     )
