@@ -36,11 +36,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark; those with a null id have no match and stay."""
+    """Documents that hold no item of the benchmark. A row is judged by its own text, whatever its id."""
     prepare(spark)
-    held = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    ids = held.select(F.col("doc_id").alias("held_id")).distinct()
-    return docs.join(ids, ids["held_id"] == docs["doc_id"], "left_anti")
+    # Null ids count, and texts that share an id are told apart.
+    key = F.xxhash64(docs["doc_id"], docs["text"])
+    keyed = docs.select(key.alias("doc_id"), "text")
+    held = decontaminate.matches(keyed, table(spark, sf_dir, "benchmark"))
+    keys = held.select(F.col("doc_id").alias("held_key")).distinct()
+    return docs.join(keys, keys["held_key"] == key, "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,14 @@ def test_planted_cases_go_and_clean_documents_stay(lines, sf_dir, tmp_path):
     assert kept == {i for i, *_ in [*clean, *copies]}
     found = decontaminate.matches(docs, lines.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(d[0], t["item_id"]) for d, t in zip(leaks, items, strict=True)}
+
+
+def test_decontamination_judges_each_row_by_its_text(lines, sf_dir):
+    item = lines.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    leak = f"{prose(5000)} {item} {prose(5001)}"
+    docs = lines.createDataFrame(
+        [(None, leak, "en", "a"), (None, prose(5002), "en", "a"), (1, leak, "en", "b"), (1, prose(5003), "en", "b"), (2, None, "en", "b")],
+        SCHEMA,
+    )
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](lines, docs, sf_dir).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(None, prose(5002)), (1, prose(5003)), (2, None)}
