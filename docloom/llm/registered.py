@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    cross_entropy, decontaminate, language, licenses, mixing, neighbours, quality, simhash, url_filter, warc,
+    cross_entropy, decontaminate, language, licenses, merkle, mixing, neighbours, quality, simhash, url_filter, warc,
 )
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
@@ -87,6 +87,12 @@ def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.fit(docs))
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree per language; rows where 7 divides the crc32 of the id are checked with a changed n_chars."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    return merkle.verify_documents(docs, F.coalesce(remainder(F.col("doc_id"), 7) == 0, F.lit(False)))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_query,
     "op2_url_filter": url_filter_query,
@@ -98,6 +104,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc_query,
     "op9_licenses": licenses_query,
     "op10_quality": quality_query,
+    "op11_merkle": merkle_query,
 }
 
 _HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +112,14 @@ _CANONICAL = r"""
     CASE WHEN contains(url, '://') THEN
         host || regexp_replace(path, '/+$', '') || CASE WHEN kept = '' THEN '' ELSE '?' || kept END END
 """
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "({chars})", "text")) + ")"
+# crc32 bit by bit: the reversed polynomial, over the digits of the id.
+_CRC32 = """
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)
+"""
 
 LLM_SQL: dict[str, str] = {
     "op2_url_filter": rf"""
@@ -197,4 +212,51 @@ LLM_SQL: dict[str, str] = {
                CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
         FROM referring
     """,
+    "op11_merkle": f"""
+        WITH RECURSIVE hashed AS (
+            SELECT doc_id, lang, {_LEAF.format(chars="n_chars")} AS leaf,
+                   CASE WHEN ({_CRC32}) % 7 = 0 THEN {_LEAF.format(chars="n_chars + 1")}
+                        ELSE {_LEAF.format(chars="n_chars")} END AS claimed
+            FROM documents),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                   count(*) OVER (PARTITION BY lang) AS n
+            FROM hashed),
+        nodes(lang, level, pos, digest, n) AS (
+            SELECT lang, 0, pos, leaf, n FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+            FROM nodes WHERE n > 1 GROUP BY lang, level + 1, pos // 2, (n + 1) // 2),
+        trees AS (
+            SELECT lang, level AS height, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos,
+                   count(*) OVER () AS n
+            FROM nodes WHERE n = 1),
+        tops(level, pos, digest, n) AS (
+            SELECT 0, pos, digest, n FROM trees
+            UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+            FROM tops WHERE n > 1 GROUP BY level + 1, pos // 2, (n + 1) // 2),
+        placed AS (
+            SELECT l.*, t.pos AS tree, t.height, t.digest AS subroot, (SELECT max(level) FROM tops) AS over,
+                   row_number() OVER () AS id
+            FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang),
+        folds AS (
+            SELECT *, 0 AS level, claimed AS reached, '' AS seen FROM placed
+            UNION ALL
+            SELECT f.doc_id, f.lang, f.leaf, f.claimed, f.pos, f.n, f.tree, f.height, f.subroot, f.over, f.id, f.level + 1,
+                   CASE WHEN coalesce(s.digest, p.digest) IS NULL THEN sha256(f.reached)
+                        WHEN coalesce(s.pos, p.pos) % 2 = 1 THEN sha256(f.reached || coalesce(s.digest, p.digest))
+                        ELSE sha256(coalesce(s.digest, p.digest) || f.reached) END,
+                   f.seen || coalesce(s.digest, p.digest, '')
+            FROM folds f
+            LEFT JOIN nodes s ON f.level < f.height AND s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level
+                 AND s.pos = xor(f.pos >> f.level, 1)
+            LEFT JOIN tops p ON f.level >= f.height AND p.level = f.level - f.height
+                 AND p.pos = xor(f.tree >> (f.level - f.height), 1)
+            WHERE f.level < f.height + f.over),
+        root AS (SELECT digest FROM tops WHERE n = 1)
+        SELECT doc_id, leaf, subroot, (SELECT digest FROM root) AS root, sha256(seen) AS proof_sha256,
+               reached AS folded_root, reached = (SELECT digest FROM root) AS verified
+        FROM folds WHERE level = height + over
+    """,
 }
