@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    cross_entropy, decontaminate, language, licenses, merkle, mixing, neighbours, quality, simhash, url_filter, warc,
+    cross_entropy, decontaminate, language, licenses, merkle, mixing, negatives, neighbours, quality, simhash, url_filter, warc,
 )
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
@@ -93,6 +93,12 @@ def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(docs, F.coalesce(remainder(F.col("doc_id"), 7) == 0, F.lit(False)))
 
 
+def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; where 7 divides the id the label is moved."""
+    vectors = table(prepare(spark), sf_dir, "embeddings")
+    return negatives.mine_embeddings(vectors, F.col("vec_id") % 100 == 0, F.col("vec_id") % 7 == 0)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash_query,
     "op2_url_filter": url_filter_query,
@@ -105,6 +111,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses_query,
     "op10_quality": quality_query,
     "op11_merkle": merkle_query,
+    "op13_hard_negatives": negatives_query,
 }
 
 _HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -259,4 +266,28 @@ LLM_SQL: dict[str, str] = {
                reached AS folded_root, reached = (SELECT digest FROM root) AS verified
         FROM folds WHERE level = height + over
     """,
+    "op13_hard_negatives": """
+        WITH kept AS (
+            SELECT row_number() OVER () AS uid, vec_id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                   list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM kept a JOIN kept b ON a.uid <> b.uid
+            WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT *, row_number() OVER () AS place FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+               (row_number() OVER (PARTITION BY p.place ORDER BY n.score DESC, n.vec_id))::INTEGER AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n
+          ON n.anchor = p.anchor AND NOT n.same
+         AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY rank <= 5
+    """,
 }
