@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
-    cross_entropy, decontaminate, language, licenses, merkle, mixing, negatives, neighbours, quality, simhash, url_filter, warc,
+    cross_entropy, decontaminate, language, licenses, merkle, mixing, negatives, neighbours, quality, simhash, toxicity,
+    url_filter, warc,
 )
 from docloom.llm.common import prepare, remainder, table, word_count
 from docloom.session import cut_lineage
@@ -93,6 +94,16 @@ def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(docs, F.coalesce(remainder(F.col("doc_id"), 7) == 0, F.lit(False)))
 
 
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn where crc32 of the id modulo 4 is not 2 (a null id has no label), score everywhere."""
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    learnt = remainder(F.col("doc_id"), 4) != 2
+    model = toxicity.fit(docs.where(learnt), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    scored = toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score")
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors are the rows whose id is divisible by 100; where 7 divides the id the label is moved."""
     vectors = table(prepare(spark), sf_dir, "embeddings")
@@ -111,6 +122,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses_query,
     "op10_quality": quality_query,
     "op11_merkle": merkle_query,
+    "op12_toxicity": toxicity_query,
     "op13_hard_negatives": negatives_query,
 }
 
