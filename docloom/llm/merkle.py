@@ -114,48 +114,50 @@ class Manifest:
     trees: DataFrame
     paths: DataFrame
     root: bytes | None
+    levels: int
 
 
-def build(leaves: DataFrame, folder: str | None = None) -> Manifest:
+def build(leaves: DataFrame, folder: str | None = None, levels: int = BLOCK_LEVELS) -> Manifest:
     """Manifest of ``leaves`` (tree, at, digest): ``at`` runs from 0 in each tree, which have any names but null.
 
     Trees are ordered by name, bytewise. Blocks are written under ``folder``, a
-    new one in the shared folder if none is named. No rows give no root.
+    new one in the shared folder if none is named; one spans ``levels`` levels. No rows give no root.
     """
     folder = folder or f"{shared_dir(leaves.sparkSession).rstrip('/')}/merkle-{uuid.uuid4().hex}"
-    tiers, roots = _climb(leaves, f"{folder}/trees")
+    tiers, roots = _climb(leaves, f"{folder}/trees", levels)
     trees = cut_lineage(number_rows(roots.select("tree", "digest"), "_number", ["tree"]))
     named = trees.select("tree", (F.col("_number") - 1).alias("at"), F.col("digest").alias("subroot"))
-    top, over = _climb(named.select(F.lit("").alias("tree"), "at", F.col("subroot").alias("digest")), f"{folder}/forest")
+    top, over = _climb(named.select(F.lit("").alias("tree"), "at", F.col("subroot").alias("digest")), f"{folder}/forest", levels)
     found = over.select("digest").first()
     start = over.select("tree", F.lit(0).cast("long").alias("at"), F.col("digest").alias("subroot"), F.lit(b"").alias("path"))
-    above = _descend(top, start).select("at", "path")
+    above = _descend(top, start, levels).select("at", "path")
     upper = named.join(above, "at").select("tree", F.lit(0).cast("long").alias("at"), "subroot", "path")
-    return Manifest(tiers, named, _descend(tiers[1:], upper), None if found is None else bytes(found["digest"]))
+    root = None if found is None else bytes(found["digest"])
+    return Manifest(tiers, named, _descend(tiers[1:], upper, levels), root, levels)
 
 
-def _climb(level: DataFrame, folder: str) -> tuple[list[DataFrame], DataFrame]:
+def _climb(level: DataFrame, folder: str, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """Blocks of all tiers over ``level`` (tree, at, digest), and the root of each tree (tree, at, digest)."""
     spark, tiers = level.sparkSession, []
     while True:
         at = f"{folder}/tier={len(tiers)}"
-        _blocks(level).write.parquet(at)
+        _blocks(level, levels).write.parquet(at)
         tiers.append(spark.read.parquet(at))
         level = tiers[-1].select("tree", F.col("block").alias("at"), F.col("root").alias("digest"))
         if not level.where(F.col("at") > 0).limit(1).count():
             return tiers, level
 
 
-def _blocks(level: DataFrame) -> DataFrame:
-    """One row per aligned block: at most 1024 digests are ever brought together."""
+def _blocks(level: DataFrame, levels: int) -> DataFrame:
+    """One row per aligned block: at most 2^levels digests are ever brought together."""
     member = F.struct("at", "digest")
-    gathered = level.groupBy("tree", F.shiftright("at", BLOCK_LEVELS).alias("block")).agg(
+    gathered = level.groupBy("tree", F.shiftright("at", levels).alias("block")).agg(
         F.sort_array(F.collect_list(member)).alias("_rows")
     )
     # The last block of a tree of several climbs as high as the others; a lone one ends at one node.
     last = level.groupBy("tree").agg(F.max("at").alias("_last"))
     joined = gathered.join(last, "tree").select(
-        "tree", "block", F.col("_rows.digest").alias("_digests"), (F.shiftright("_last", BLOCK_LEVELS) > 0).alias("_several")
+        "tree", "block", F.col("_rows.digest").alias("_digests"), (F.shiftright("_last", levels) > 0).alias("_several")
     )
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +165,7 @@ def _blocks(level: DataFrame) -> DataFrame:
             rows = []
             for tree, block, digests, several in batch.itertuples(index=False):
                 leaves = [bytes(d) for d in digests]
-                height = BLOCK_LEVELS if several else (len(leaves) - 1).bit_length()
+                height = levels if several else (len(leaves) - 1).bit_length()
                 nodes = subtree(leaves, height)
                 root = int(address(height + 1, 0, np.zeros(1))[0]) * BYTES
                 rows.append((tree, block, len(leaves), height, nodes, nodes[root : root + BYTES]))
@@ -172,7 +174,7 @@ def _blocks(level: DataFrame) -> DataFrame:
     return joined.mapInPandas(built, "tree string, block long, leaves int, height int, nodes binary, root binary")
 
 
-def _descend(tiers: list[DataFrame], paths: DataFrame) -> DataFrame:
+def _descend(tiers: list[DataFrame], paths: DataFrame, levels: int) -> DataFrame:
     """Paths of the leaves of ``tiers``' lowest, given those of the roots of its highest."""
 
     def lengthened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +184,7 @@ def _descend(tiers: list[DataFrame], paths: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "tree": tree,
-                        "at": (block << BLOCK_LEVELS) + np.arange(leaves),
+                        "at": (block << levels) + np.arange(leaves),
                         "subroot": [subroot] * leaves,
                         "path": [p + path for p in own],
                     }
@@ -205,9 +207,9 @@ def prove(manifest: Manifest, claims: DataFrame, claimed: str) -> DataFrame:
     Claims meet their block, never each other's; a claim with a place that the
     manifest lacks gives no row.
     """
-    others = [c for c in claims.columns if c not in ("tree", "at")]
+    levels, others = manifest.levels, [c for c in claims.columns if c not in ("tree", "at")]
     kept = F.struct("at", *others)
-    grouped = claims.groupBy("tree", F.shiftright("at", BLOCK_LEVELS).alias("block")).agg(F.collect_list(kept).alias("_rows"))
+    grouped = claims.groupBy("tree", F.shiftright("at", levels).alias("block")).agg(F.collect_list(kept).alias("_rows"))
     blocks = manifest.tiers[0].join(manifest.paths.withColumnRenamed("at", "block"), ["tree", "block"])
     joined = blocks.join(grouped, ["tree", "block"]).select("_rows", "leaves", "height", "nodes", "subroot", "path")
     fields = {f.name: f.dataType.simpleString() for f in claims.schema.fields if f.name in others}
@@ -216,7 +218,7 @@ def prove(manifest: Manifest, claims: DataFrame, claimed: str) -> DataFrame:
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows, leaves, height, nodes, subroot, path in batch.itertuples(index=False):
-                places = np.array([r["at"] for r in rows], np.int64) & ((1 << BLOCK_LEVELS) - 1)
+                places = np.array([r["at"] for r in rows], np.int64) & ((1 << levels) - 1)
                 inside = places < leaves
                 rows = [r for r, i in zip(rows, inside, strict=True) if i]
                 folded = [

@@ -22,7 +22,7 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in LLM_QUERIES}
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry_module.queries())
 
 
