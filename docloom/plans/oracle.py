@@ -230,7 +230,7 @@ _SEEN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(
 
 def _entities(x: str) -> str:
     for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return x
 
 
@@ -265,6 +265,15 @@ ORACLE["page_text_code"] = f"""
 SELECT page_id, replace({_TEXT}, '@@CODE@@', '```' || chr(10) || E'{_CODE}' || chr(10) || '```') AS content
 FROM (SELECT page_id, replace(html, '</h1>', '</h1><p>@@CODE@@</p>') AS html FROM pages)"""
 
+# Markup that patterns misread is planted behind each first heading; what a reader sees of it is written here.
+_ODD_TEXT = (
+    "1 < 2 and 3 > 2\n\nt © B\n\nx&y &unknown; €\n\n```\nif a < b:\n    return \"<p>\"\n```\n\n* in < b\n* last"
+)
+ORACLE["page_text_odd"] = f"""
+SELECT page_id, replace({_TEXT}, '@@ODD@@', E'{_ODD_TEXT}') AS content
+FROM (SELECT page_id, replace(html, '</h1>', '</h1><p>@@ODD@@</p>') AS html FROM pages)"""
+
+_BLOCK_TAG = f"(?i)</?(?:{_BLOCKS})(?: [^>]*)?>"
 _ANCHOR = r"""(?is)<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
 _MAIN = _SEEN
 for _part in ("nav", "header", "footer", "aside", "form"):
@@ -272,17 +281,30 @@ for _part in ("nav", "header", "footer", "aside", "form"):
 
 ORACLE["page_text_pruned"] = f"""
 WITH block AS (
-  SELECT page_id, unnest(b) AS b, unnest(range(len(b))) AS i FROM (
-    SELECT page_id, regexp_split_to_array({_MAIN}, '(?i)</?(?:{_BLOCKS})(?: [^>]*)?>') AS b FROM pages)
+  SELECT page_id, unnest(b) AS b, unnest(list_concat([''], tags)) AS tag, unnest(range(len(b))) AS i FROM (
+    SELECT page_id, regexp_split_to_array(main, '{_BLOCK_TAG}') AS b, regexp_extract_all(main, '{_BLOCK_TAG}') AS tags
+    FROM (SELECT page_id, {_MAIN} AS main FROM pages))
 ),
 scored AS (
   SELECT page_id, i, {_inline("regexp_replace(b, '(?i)<br */?>', ' ', 'g')")} AS t,
-    length({_inline("array_to_string(regexp_extract_all(b, '" + _ANCHOR + "', 2), ' ')")}) AS linked
+    length({_inline("array_to_string(regexp_extract_all(b, '" + _ANCHOR + "', 2), ' ')")}) AS linked,
+    length(tag) + length(b) - length(regexp_replace(b, '</?[A-Za-z][^>]*>', '', 'g')) AS markup,
+    CASE WHEN lower(tag) SIMILAR TO '</?(p|blockquote|article|main|section|dd)[ >].*' THEN 1.0::DOUBLE
+      WHEN lower(tag) SIMILAR TO '</?(h[1-6]|li|td|th|dt|figcaption)[ >].*' THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS weight
   FROM block
+),
+leveled AS (
+  SELECT *, 0.5::DOUBLE * (0.5::DOUBLE + sum(length(t)) OVER page / greatest(sum(length(t) + markup) OVER page, 1)) AS threshold
+  FROM scored WINDOW page AS (PARTITION BY page_id)
 )
 SELECT page_id, coalesce(c, '') AS content FROM pages LEFT JOIN (
-  SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS c FROM scored
-  WHERE len(string_split(t, ' ')) >= 10 AND linked <= 0.5 * length(t) GROUP BY page_id) USING (page_id)"""
+  SELECT page_id, string_agg(t, chr(10) || chr(10) ORDER BY i) AS c FROM leveled
+  WHERE len(string_split(t, ' ')) >= 10 AND linked <= 0.5 * length(t)
+    AND 0.5::DOUBLE * length(t) / greatest(length(t) + markup, 1) + 0.3::DOUBLE * (1 - linked / greatest(length(t), 1))
+        + 0.2::DOUBLE * weight >= threshold
+  GROUP BY page_id) USING (page_id)"""
+# What is planted into nested side parts does not show.
+ORACLE["page_text_pruned_nested"] = ORACLE["page_text_pruned"]
 
 ORACLE["page_title"] = f"""
 SELECT page_id, nullif({_inline("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title
@@ -299,6 +321,29 @@ ORACLE["page_links"] = (
     + f" {_inline('raw')} AS text FROM anchor"
 )
 
+# Anchors before the heading keep their places, those behind it move on by the three that are planted.
+ORACLE["page_links_odd"] = (
+    _with(_LINKS)
+    + f"""SELECT a.page_id, CAST(link_pos + CASE WHEN link_pos >= before AND before < total THEN 3 ELSE 0 END AS INTEGER) AS link_pos,
+  {_entities('href')} AS href, {_inline('raw')} AS text
+FROM anchor a JOIN (SELECT page_id, len(regexp_extract_all(split_part({_SEEN}, '</h1>', 1), '{_ANCHOR}')) AS before,
+  len(regexp_extract_all({_SEEN}, '{_ANCHOR}')) AS total FROM pages) USING (page_id)
+UNION ALL
+SELECT page_id, CAST(before + n AS INTEGER), href, text
+FROM (SELECT page_id, len(regexp_extract_all(split_part({_SEEN}, '</h1>', 1), '{_ANCHOR}')) AS before FROM pages
+      WHERE contains(html, '</h1>')),
+  (VALUES (0, '/x?a=1&copy=2', 't © B'), (1, '/y', ''), (2, 'z', 'in < b')) AS planted(n, href, text)"""
+)
+# Some pages get metadata, by their number; the planted title in a drawing is none.
+ORACLE["page_meta"] = f"""
+SELECT page_id, nullif({_inline("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title,
+  regexp_extract(html, '<html lang="([a-z]*)"', 1) AS language,
+  CASE WHEN page_id % 3 = 1 THEN 'https://example.org/p/' || page_id || '?a=1&b=2' END AS canonical,
+  CASE WHEN page_id % 3 = 0 THEN 'first > ' || page_id END AS description,
+  CASE WHEN page_id % 3 = 2 THEN 'article' END AS og_type,
+  CASE WHEN page_id % 3 = 0 THEN 2 WHEN page_id % 3 = 2 THEN 1 ELSE 0 END AS names
+FROM pages"""
+
 _SITE = f"split_part(url, '://', 1) || '://' || {_HOST}"
 ORACLE["link_class"] = (
     _with(_LINKS)

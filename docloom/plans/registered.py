@@ -449,6 +449,62 @@ def page_text_pruned(spark, sf_dir):
     )
 
 
+# Quotes that hold a ">", a "<" that opens nothing, references without semicolon, comments that hold tags.
+ODD_MARKUP = (
+    '<p title="a > b">1 < 2 and 3 > 2</p><p><a title="a > b" href="/x?a=1&copy=2">t &copy B</a><img alt=\'x>y\'></p>'
+    "<!-- > <a href='/no'>no</a> --><p>x&ampy &unknown; &#128;<a name=q></a><a class='>' href=/y></a></p>"
+    '<script>if (a < b) document.write("<p>no</p>")</script><svg><title>no</title><svg></svg>no</svg>'
+    '<pre title=">">if a &lt; b:\n    return "&lt;p>"\n</pre><ul><li><a href = "z" >in < b</a></li><li>last</li></ul>'
+)
+
+
+def _with_odd_markup(html_: Column) -> Column:
+    return F.replace(html_, F.lit("</h1>"), F.lit("</h1>" + ODD_MARKUP))
+
+
+@registered("page_text_odd")
+def page_text_odd(spark, sf_dir):
+    """Pages with markup that patterns misread behind their first heading."""
+    odd = _with_odd_markup(F.col("html"))
+    return d.texts(spark, sf_dir, "pages").select("page_id", html.page_text(odd).alias("content"))
+
+
+@registered("page_links_odd")
+def page_links_odd(spark, sf_dir):
+    pages = d.texts(spark, sf_dir, "pages").select("page_id", _with_odd_markup(F.col("html")).alias("html"))
+    return page_links(pages)
+
+
+@registered("page_text_pruned_nested")
+def page_text_pruned_nested(spark, sf_dir):
+    """Pages with side parts inside of side parts."""
+    long = "eleven words that would stay if this were no side part"
+    inner = f"<nav title='</nav>'><aside><p>{long}</p></aside><nav><p>{long}</p></nav><p>{long}</p></nav>"
+    nested = F.replace("html", F.lit("</h1>"), F.lit(f"</h1><header>{inner}<header><p>{long}</p></header><p>{long}</p></header>"))
+    return d.texts(spark, sf_dir, "pages").select("page_id", html.page_text_pruned(nested).alias("content"))
+
+
+@registered("page_meta")
+def page_meta(spark, sf_dir):
+    """Pages with names, repeated names and a canonical address planted in their heads, by their number."""
+    number = F.col("page_id").cast("string")
+    planted = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(
+            F.lit('<meta name="Description" content="first > '), number, F.lit('"><META content=second NAME=description>'),
+            F.lit("<meta property='og:title' content=''><meta name=empty><svg><title>no</title></svg>")))
+        .when(F.col("page_id") % 3 == 1, F.concat(
+            F.lit("<link rel='alternate' href='/no'><link href=\"https://example.org/p/"), number,
+            F.lit('?a=1&amp;b=2" rel="me Canonical"><link rel=canonical href=/later>')))
+        .otherwise(F.lit("<!-- <meta name=no content=no> --><meta property=og:type content=article />"))
+    )
+    pages = d.texts(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("<title>"), F.concat(planted, F.lit("<title>"))))
+    found = pages.select("page_id", html.page_meta(F.col("html")).alias("m"))
+    return found.select(
+        "page_id", "m.title", "m.language", "m.canonical", F.col("m.meta")["description"].alias("description"),
+        F.col("m.meta")["og:type"].alias("og_type"), F.size("m.meta").alias("names"),
+    )
+
+
 @registered("page_title")
 def page_title(spark, sf_dir):
     return d.texts(spark, sf_dir, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
