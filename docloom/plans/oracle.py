@@ -542,6 +542,17 @@ text AS (
 SELECT tool_name, tool_url, settings, c.url, CASE WHEN c.url IS NOT NULL THEN 0 END AS chunk_number, trim(content) AS content
 FROM package LEFT JOIN (crawled c JOIN text ON text.url = c.url) ON c.host = tool_name"""
 
+def _own_bounds(kind: str, **bounds: int) -> str:
+    return _package_pages(kind, **bounds).replace("SELECT host, stored.url", "SELECT crawl_id, stored.url, stored.depth")
+
+
+ORACLE["crawl_own_bounds"] = f"""
+WITH {_SITES}
+SELECT * FROM {_own_bounds(_KINDS[0], depth=0)}
+UNION ALL SELECT * FROM {_own_bounds(_KINDS[1], limit=0)}
+UNION ALL SELECT * FROM {_own_bounds(_KINDS[2], obeyed=False)}
+UNION ALL SELECT * FROM {_own_bounds("NOT " + " AND NOT ".join(_KINDS))}"""
+
 # --- catalog and usage --------------------------------------------------------------------
 
 _CATALOG = f"""host_page AS (SELECT DISTINCT {_HOST} AS host, {_BARE} AS url FROM pages),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +34,11 @@ def captured(store: KnowledgeStore, pages: DataFrame, redirects: DataFrame) -> D
 
 
 def _crawled(starts: DataFrame, captures: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(crawl_id, url, depth)`` of crawls with bounds of their own.
-
-    Crawls that share bounds run together, whatever their number; there are as
-    many rounds as different bounds.
-    """
+    """``(crawl_id, url, depth)`` of crawls with bounds of their own, which run together."""
     links = captures.select("url", F.posexplode("links").alias("link_pos", "link")).select(
         "url", "link_pos", F.col("link.href").alias("href")
     )
-    bounds = ["depth", "limit", "ignore_robots"]
-    parts = []
-    for row in starts.select(*bounds).distinct().orderBy(*bounds).collect():
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in bounds])
-        own = starts.where(same).select("crawl_id", "start_url")
-        obeyed = None if row["ignore_robots"] else rules
-        parts.append(crawl(own, captures, links, obeyed, row["depth"] or None, row["limit"] or None))
-    return reduce(DataFrame.unionByName, parts) if parts else starts.select("crawl_id", F.col("start_url").alias("url"), "depth")
+    return crawl(starts, captures, links, rules)
 
 
 def ingest_packages(
@@ -65,9 +52,9 @@ def ingest_packages(
     """Store the documentation of ``packages``; also the packages that name none.
 
     ``packages(package, version, record, depth, strategy, ignore_robots, limit,
-    caching_enabled)``: a registry record and the settings of its crawl; a bound
-    of 0 is none. ``captures(url, final_url, content, links)``, as
-    :func:`captured` gives them. A package becomes a tool with its settings as
+    caching_enabled)``: a registry record and the settings of its crawl; depth 0
+    is the start page alone, limit 0 stores no page, null is no bound.
+    ``captures(url, final_url, content, links)``, as :func:`captured` gives them. A package becomes a tool with its settings as
     metadata, even if no page of it was captured; its pages are those a crawl
     from its documentation URL stores.
     """

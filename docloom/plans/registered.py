@@ -645,6 +645,18 @@ def package_ingest(spark, sf_dir):
     return tools.join(found, "tool_name", "left")
 
 
+@registered("crawl_own_bounds")
+def crawl_own_bounds(spark, sf_dir):
+    """Crawls from all hosts at once, each with bounds of its own: depth 0, no page at all, without robots, or none."""
+    pages, links = _site(spark, sf_dir)
+    host = F.col("host")
+    starts = d.site_starts(pages).select(
+        "crawl_id", "start_url", F.when(F.startswith(host, F.lit("www.")), 0).alias("depth"),
+        F.when(F.startswith(host, F.lit("blog.")), 0).alias("limit"), F.startswith(host, F.lit("m.")).alias("ignore_robots"),
+    )
+    return crawl(starts, pages, links, d.site_rules(pages))
+
+
 @registered("links_per_page")
 def links_per_page_query(spark, sf_dir):
     return _crawled(spark, sf_dir, what=links_per_page)

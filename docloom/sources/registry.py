@@ -51,7 +51,7 @@ def crawl_settings() -> Column:
 
     Columns are named as the settings. A missing setting takes its usual value:
     breadth first, robots obeyed, captures remembered, no bounds; a bound of 0
-    is no bound.
+    is stored as null, though the crawl keeps to it.
     """
     usual = {"strategy": "bfs", "ignore_robots": False, "caching_enabled": True}
     members = []
