@@ -10,6 +10,7 @@ equal in the document as they do in most of their places.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -59,15 +60,25 @@ def template(text: str | None) -> Template:
     flags = tables().kind[codes]
     first, second = flags[words.start], flags[np.minimum(words.start + 1, words.end - 1)]
     number = (first & DIGIT) != 0
-    ends = np.concatenate([[0], np.cumsum(np.isin(codes, SENTENCE_ENDS), dtype=np.int32)])
+    ends = np.concatenate([[0], np.cumsum(_ending()[codes], dtype=np.int32)])
     begins = np.ones(len(number), bool)
     begins[1:] = ends[words.start[1:]] > ends[words.end[:-1]]
     name = ((first & UPPER) != 0) & ((second & UPPER) == 0) & ~begins
     unit = np.zeros(len(number), bool)
-    unit[1:] = number[:-1] & np.isin(words.hash[1:], _unit_hashes())
+    after = np.flatnonzero(number[:-1]) + 1
+    unit[after] = np.isin(words.hash[after], _unit_hashes())
     return Template(np.select([number, unit, name], [NUMBER, UNIT, NAME], 0).astype(np.int8), words.hash)
 
 
+@cache
+def _ending() -> np.ndarray:
+    """Whether each code point ends a sentence."""
+    flags = np.zeros(len(tables().kind), bool)
+    flags[SENTENCE_ENDS] = True
+    return flags
+
+
+@cache
 def _unit_hashes() -> np.ndarray:
     return tokens(code_points(" ".join(UNITS))).hash
 
@@ -80,6 +91,8 @@ def window_hashes(t: Template, size: int) -> np.ndarray:
         return whole
     literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
     enough = literal[size:] - literal[:-size] >= LITERAL * size
+    if enough.all():
+        return whole
     return np.where(enough, whole, windows(t.value, size) ^ VERBATIM)
 
 
