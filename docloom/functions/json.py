@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,6 +76,18 @@ def _holds(value: Column, wanted: object) -> Column:
         return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
     if isinstance(wanted, str):
         return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
-    number = kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
-    exact = F.try_variant_get(value, "$", "decimal(38,9)") == F.lit(str(wanted)).cast("decimal(38,9)")
-    return number & F.coalesce(exact, F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))
+    # Exact numbers are compared as text without needless zeros, which no scale rounds; others as doubles.
+    text = F.try_variant_get(value, "$", "string")
+    short = F.regexp_replace(F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text), "^-0$", "0")
+    return (
+        F.when(kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL)"), short == F.lit(_plain_number(wanted)))
+        .when(kind.rlike("^(FLOAT|DOUBLE)"), F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))
+        .otherwise(False)
+    )
+
+
+def _plain_number(wanted: int | float | Decimal) -> str:
+    """A number in full, without exponent or needless zeros; "0" for either zero."""
+    text = format(Decimal(str(wanted)), "f")
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text == "-0" else text

@@ -65,6 +65,18 @@ def test_metadata_containment_is_strict(spark):
         assert df.where(contains_metadata(F.col("m"), wanted)).count() == found, wanted
 
 
+def test_numbers_are_compared_in_full(spark):
+    def found(member: str, wanted) -> bool:
+        df = spark.createDataFrame([('{"a":' + member + "}",)], "m string")
+        return df.where(contains_metadata(F.col("m"), {"a": wanted})).count() == 1
+
+    equal = [("1", 1.0), ("1.50", 1.5), ("100", 1e2), ("1e2", 100), ("1e-10", 1e-10), ("0.0000000001", 1e-10), ("-0", 0), ("-0.0", 0.0),
+             ("0.1234567891", 0.1234567891), ("12345678901234567", 12345678901234567), ("10", 10), ("1200.0", 1200)]
+    other = [("1e-10", 0), ("0.1234567894", 0.1234567891), ("0", 1e-10), ("1", 10), ("100", 1), ("12345678901234567", 12345678901234568), ("0.1", 0.10000000001)]
+    assert [m for m, w in equal if not found(m, w)] == []
+    assert [m for m, w in other if found(m, w)] == []
+
+
 def test_entities(spark):
     text = "caf&eacute; &rarr;&nbsp;&copy; &amp;lt; &quot;x&quot; &#65;&#x42; &#233; &#128512; &#0; & &unknown; &#; a&#"
     assert one(spark, text, page.unescape) == 'café → © &lt; "x" AB é 😀 &#0; & &unknown; &#; a&#'
