@@ -33,12 +33,15 @@ _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>
 _ATTRIBUTES = rf"(?:[\s/]++|{_ATTRIBUTE}){{0,800}}+[^>]*+>"
 TAG = rf"</?[A-Za-z][^\s/>]*+{_ATTRIBUTES}"
 # Comments, also those that end early or never, declarations, and tags that are none.
-_COMMENT = r"<!--(?:-?+>|.*?(?:--!?>|\z))|<[!?][^>]*+>|</(?:[^A-Za-z>][^>]*+)?>"
+_COMMENT = r"<!--(?:-?+>|.*?(?:--!?>|\z))"
+# A last tag that is never closed is text, and is taken whole.
+_UNCLOSED = r"<(?=[A-Za-z/!?])[^>]*+\z"
+_NO_TAG = r"<[!?][^>]*+>|</(?:[^A-Za-z>][^>]*+)?>"
 # Elements whose content is no markup, and code, whose white space counts; each is one token with its content,
 # which goes on to the end of the page if it is never closed.
 _WHOLE = ("script", "style", "title", "textarea", "pre")
 _ELEMENT = rf"<({'|'.join(_WHOLE)})(?=[\s/>]){_ATTRIBUTES}(?:.*?</\1(?=[\s/>])[^>]*+>|.*+)"
-TOKEN = rf"(?is){_COMMENT}|{_ELEMENT}|{TAG}|[^<]++|<"
+TOKEN = rf"(?is){_COMMENT}|{_UNCLOSED}|{_NO_TAG}|{_ELEMENT}|{TAG}|[^<]++|<"
 
 UNSEEN = ("head", "noscript", "template", "svg")
 SIDE_PARTS = ("nav", "header", "footer", "aside", "form")
@@ -104,8 +107,8 @@ def tokens(html: Column) -> Column:
 
 
 def is_text(token: Column) -> Column:
-    """A text, or a ``<`` on its own; no tag, comment or element."""
-    return ~F.startswith(token, F.lit("<")) | (token == "<")
+    """A text, or a ``<`` that opens nothing; no tag, comment or element."""
+    return ~F.startswith(token, F.lit("<")) | token.rlike(r"^<(?!!--)[^>]*+$")
 
 
 def _is_tag(token: Column) -> Column:
@@ -379,7 +382,7 @@ def anchors(html: Column) -> Column:
 def _anchors(toks: Column) -> Column:
     """An anchor ends at its end tag, at the next anchor, or with the page."""
     marks = F.filter(
-        F.transform(toks, lambda t, i: F.when(t.rlike(r"(?i)^</?a(?=[\s/>])"), i + 1).otherwise(0)), lambda i: i > 0
+        F.transform(toks, lambda t, i: F.when(t.rlike(r"(?i)^</?a(?=[\s/>])") & F.endswith(t, F.lit(">")), i + 1).otherwise(0)), lambda i: i > 0
     )
 
     def found(places: Column) -> Column:

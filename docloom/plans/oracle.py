@@ -380,6 +380,15 @@ ORACLE["page_capture_scan"] = (
 FROM held"""
 )
 
+ORACLE["capture_lines"] = """
+SELECT CASE WHEN k IN (2, 3, 4, 6) THEN url END AS url,
+  CASE WHEN k = 2 THEN url || '/end' WHEN k IN (3, 4, 6) THEN url END AS final_url,
+  CASE WHEN k IN (2, 4, 6) THEN CAST(length(html) AS INTEGER) END AS n_chars,
+  CASE WHEN k IN (2, 3, 6) THEN 2 WHEN k = 4 THEN 0 END AS n_links,
+  CASE WHEN k IN (2, 3, 6) THEN url END AS first_link,
+  CASE WHEN k IN (0, 5) THEN 'broken record' WHEN k = 1 THEN 'no URL' END AS reason
+FROM (SELECT *, page_id % 7 AS k FROM pages)"""
+
 ORACLE["doc_file_sink"] = f"""
 SELECT file_path, arg_max(content, page_id) AS content FROM (
   SELECT page_id, 'data/docs/' || {_FILE} || '.md' AS file_path, {_TEXT} AS content FROM pages)
@@ -772,6 +781,8 @@ ORACLE["kb_search_filtered"] = (
     )
     + f"SELECT {_COLUMNS} FROM hit JOIN kb USING (id)"
 )
+ORACLE["kb_search_sql"] = ORACLE["kb_search"]
+ORACLE["kb_search_sql_filtered"] = ORACLE["kb_search_filtered"]
 ORACLE["kb_search_result"] = (
     _with(_KB_CHUNK, _FIRST, _ranked("kb", "query", 10), recursive=True)
     + """SELECT title, url AS source_url, tool_name, source_type, summary, similarity, chunk_number, content

@@ -42,13 +42,14 @@ from docloom.operators.search import (
     search_result,
     search_text,
 )
+from docloom.operators.sql_search import register_search
 from docloom.operators.traversal import crawl, in_scope, links_per_page
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
 from docloom.plans import derived as d
 from docloom.plans.packages import ingest_packages
 from docloom.schema import TABLES
 from docloom.session import cut_lineage, shared_dir, tune
-from docloom.sources.captures import resolve_redirects, scan_captures
+from docloom.sources.captures import read_capture_lines, resolve_redirects, scan_captures
 from docloom.sources.files import document_files
 from docloom.sources.kb_store import KnowledgeStore
 from docloom.sources.registry import resolve_documentation
@@ -518,6 +519,31 @@ def page_capture_scan(spark, sf_dir):
     return scanned.select("url", "final_url", "content", hrefs.alias("links"))
 
 
+@registered("capture_lines")
+def capture_lines(spark, sf_dir):
+    """Captures as JSON lines, some cut off, mistyped or without an address, written and read again."""
+    number, url = F.col("page_id") % 7, F.col("url")
+    text = F.struct(F.col("html").alias("raw_markdown"))
+    links = F.struct(F.array(F.struct(F.lit("/a").alias("href"), url.alias("text")), F.struct(F.lit("/b").alias("href"), F.lit("b").alias("text"))).alias("internal"))
+    record = F.to_json(F.struct(
+        F.when(number != 1, url).alias("url"), F.when(number == 2, F.concat(url, F.lit("/end"))).alias("final_url"),
+        F.when(number != 3, text).alias("markdown_v2"), F.when(number != 4, links).alias("links"), F.lit(200).alias("status_code"),
+    ))
+    line = (
+        F.when(number == 0, F.expr("substring(record, 1, length(record) - 3)"))
+        .when(number == 5, F.lit('{"url": ["no", "text"], "links": 3}'))
+        .otherwise(F.col("record"))
+    )
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    d.texts(spark, sf_dir, "pages").withColumn("record", record).select(line.alias("value")).write.text(folder)
+    good, rejects = read_capture_lines(spark.read.text(folder))
+    held = good.select(
+        "url", "final_url", F.length("content").alias("n_chars"), F.size("links").alias("n_links"),
+        F.get("links", F.lit(0))["text"].alias("first_link"), F.lit(None).cast("string").alias("reason"),
+    )
+    return held.unionByName(rejects.select("reason"), allowMissingColumns=True)
+
+
 @registered("doc_file_sink")
 def doc_file_sink(spark, sf_dir):
     pages = d.texts(spark, sf_dir, "pages").select(
@@ -869,6 +895,26 @@ def kb_search_filtered(spark, sf_dir):
     return _rounded(found)
 
 
+def _vector_literal(vector: list[float]) -> str:
+    return f"CAST(array({', '.join(f'{x!r}D' for x in vector)}) AS ARRAY<FLOAT>)"
+
+
+def _sql_search(spark, sf_dir, arguments: str) -> DataFrame:
+    name = register_search(spark, d.knowledge_base(spark, sf_dir), "match_chunks")
+    return _rounded(spark.sql(f"SELECT * FROM {name}({_vector_literal(_first_vector(spark, sf_dir))}{arguments})"))
+
+
+@registered("kb_search_sql")
+def kb_search_sql(spark, sf_dir):
+    """The same search, called from SQL."""
+    return _sql_search(spark, sf_dir, "")
+
+
+@registered("kb_search_sql_filtered")
+def kb_search_sql_filtered(spark, sf_dir):
+    return _sql_search(spark, sf_dir, f", {MATCHES}, map('version', '2', 'strategy', 'bfs')")
+
+
 @registered("kb_search_result")
 def kb_search_result(spark, sf_dir):
     kb = d.knowledge_base(spark, sf_dir)

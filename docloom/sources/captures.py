@@ -37,6 +37,37 @@ def scan_captures(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     )
 
 
+# The names in a stored capture record.
+LINK = "struct<href:string,text:string>"
+CAPTURE_RECORD = (
+    f"url string, final_url string, markdown_v2 struct<raw_markdown:string>, links struct<internal:array<{LINK}>>"
+)
+
+
+def read_capture_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Captures ``(url, final_url, content, links)`` of ``lines(value)``, a JSON record each; and the rejects.
+
+    ``lines`` is what ``spark.read.text`` gives. Only the members of ``CAPTURE_RECORD``
+    are read. A record without text has NULL content, one without internal links an
+    empty list, one without a final address ended where it was requested.
+    Rejects ``(line, reason)`` are lines that are no such record, or that name no URL;
+    blank lines are neither. Nothing is dropped in silence, and no line ends the job.
+    """
+    schema = f"{CAPTURE_RECORD}, _broken string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    read = lines.where(F.trim("value") != "").select("value", F.from_json("value", schema, options).alias("r"))
+    named = F.coalesce(F.col("r.url"), F.lit("")) != ""
+    reason = F.when(F.col("r").isNull() | F.col("r._broken").isNotNull(), "broken record").when(~named, "no URL")
+    judged = read.withColumn("reason", reason)
+    good = judged.where(F.col("reason").isNull()).select(
+        F.col("r.url").alias("url"),
+        F.coalesce(F.nullif(F.col("r.final_url"), F.lit("")), F.col("r.url")).alias("final_url"),
+        F.col("r.markdown_v2.raw_markdown").alias("content"),
+        F.coalesce(F.col("r.links.internal"), F.array().cast(f"array<{LINK}>")).alias("links"),
+    )
+    return good, judged.where(F.col("reason").isNotNull()).select(F.col("value").alias("line"), "reason")
+
+
 def with_content(captures: DataFrame) -> DataFrame:
     """Pages without text are neither stored, counted nor expanded."""
     return captures.where(F.length("content") > 0)
