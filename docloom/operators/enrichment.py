@@ -130,16 +130,34 @@ def memo_misses(keyed: DataFrame, memo: DataFrame, inputs: list[str]) -> DataFra
     many there are.
     """
     wanted = keyed.groupBy("memo_key").agg(*[F.any_value(c).alias(c) for c in inputs])
-    return wanted.join(_memo_hits(keyed, memo).select("memo_key"), "memo_key", "left_anti")
+    return wanted.join(memo_hits(keyed, memo).select("memo_key"), "memo_key", "left_anti")
 
 
-def _memo_hits(keyed: DataFrame, memo: DataFrame) -> DataFrame:
+# A stored memo is laid out by this column, a hash of the key: so many folders, whatever its size.
+MEMO_PART = "memo_part"
+MEMO_PARTS = 64
+
+
+def memo_part(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MEMO_PARTS)).cast("int")
+
+
+def memo_values(memo: DataFrame) -> list[str]:
+    return [c for c in memo.columns if c not in ("memo_key", MEMO_PART)]
+
+
+def memo_hits(keyed: DataFrame, memo: DataFrame) -> DataFrame:
     """The memo's rows for the wanted keys.
 
     An inner join, so that the keys of a small batch can be sent to a large
-    memo rather than the memo be shuffled. A key that was stored twice counts once.
+    memo rather than the memo be shuffled. Of a stored memo only the folders are
+    read that the keys fall in; their numbers, at most ``MEMO_PARTS``, are found first.
+    A key that was stored twice counts once.
     """
-    values = [c for c in memo.columns if c != "memo_key"]
+    values = memo_values(memo)
+    if MEMO_PART in memo.columns:
+        wanted = [r["part"] for r in keyed.select(memo_part(F.col("memo_key")).alias("part")).distinct().collect()]
+        memo = memo.where(F.col(MEMO_PART).isin(wanted)).drop(MEMO_PART)
     hits = memo.join(keyed.select("memo_key").distinct(), "memo_key")
     return hits.groupBy("memo_key").agg(F.first(F.struct(*values)).alias("v")).select("memo_key", "v.*")
 
@@ -156,8 +174,8 @@ def memoised(
 
     Failed calls give their fallback to their rows but do not enter the memo.
     """
-    values = [c for c in memo.columns if c != "memo_key"]
-    hits = cut_lineage(_memo_hits(keyed, memo).select("memo_key", *values))
+    values = memo_values(memo)
+    hits = cut_lineage(memo_hits(keyed, memo).select("memo_key", *values))
     computed = cut_lineage(compute(memo_misses(keyed, hits, inputs)))
     known = hits.withColumn("memo_hit", F.lit(True)).unionByName(
         computed.select("memo_key", *values, F.lit(False).alias("memo_hit"))

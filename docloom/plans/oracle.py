@@ -555,6 +555,15 @@ def _own_bounds(kind: str, **bounds: int) -> str:
     return _package_pages(kind, **bounds).replace("SELECT host, stored.url", "SELECT crawl_id, stored.url, stored.depth")
 
 
+ORACLE["package_recrawl"] = f"""
+WITH {_SITES},
+crawled AS (SELECT * FROM {_package_pages("true", depth=1)}),
+shown AS (
+  SELECT final_url AS url, arg_min('page ' || place || ' of its host', (url <> final_url, url)) AS content
+  FROM site WHERE content <> '' GROUP BY 1)
+SELECT host AS tool_name, c.url, CASE WHEN {_KINDS[0]} THEN 'new ' ELSE '' END || content AS content,
+  NOT {_KINDS[0]} AS remembered
+FROM crawled c JOIN shown USING (url)"""
 ORACLE["crawl_own_bounds"] = f"""
 WITH {_SITES}
 SELECT * FROM {_own_bounds(_KINDS[0], depth=0)}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.enrichment import capture_key
+from docloom.functions.urls import url_netloc
+from docloom.operators.enrichment import capture_key, memo_hits
 from docloom.operators.ranking import number_rows
 from docloom.operators.traversal import crawl
 from docloom.plans.ingest import Ingested, ingest_documents
@@ -20,17 +21,40 @@ def captured(store: KnowledgeStore, pages: DataFrame, redirects: DataFrame) -> D
     """``(url, final_url, content, links)`` of ``pages(url, html)``; a URL seen before keeps its first capture.
 
     Only pages that the capture memo lacks are read as HTML, and are then
-    remembered.
+    remembered. With a column ``cached``, rows where it is false are read anew
+    each time, and the memo is left alone.
     """
-    keyed = pages.select("url", "html", capture_key(F.col("url")).alias("memo_key"))
-    memo = store.memo("capture")
-    # The narrow keys meet first; a key that was stored twice counts once.
-    hits = memo.join(keyed.select("memo_key").distinct(), "memo_key").dropDuplicates(["memo_key"])
-    hits = cut_lineage(hits.drop("memo_key"))
-    fresh = keyed.join(hits.select("url"), "url", "left_anti").select("url", "html")
-    scanned = cut_lineage(scan_captures(fresh, redirects))
-    store.remember("capture", scanned.select(capture_key(F.col("url")).alias("memo_key"), "*"))
-    return hits.unionByName(scanned)
+    flag = F.col("cached") if "cached" in pages.columns else F.lit(True)
+    keyed = cut_lineage(pages.select("url", "html", capture_key(F.col("url")).alias("memo_key"), flag.alias("cached")))
+    hits = cut_lineage(memo_hits(keyed.where("cached").select("memo_key"), store.memo("capture")).drop("memo_key"))
+    fresh = keyed.join(hits.select("url", F.lit(True).alias("cached")), ["url", "cached"], "left_anti")
+    scanned = cut_lineage(scan_captures(fresh.select("url", "html", "cached"), redirects))
+    lasting = scanned.where("cached").drop("cached")
+    store.remember("capture", lasting.select(capture_key(F.col("url")).alias("memo_key"), "*"))
+    return hits.unionByName(scanned.drop("cached"))
+
+
+def ingest_package_pages(
+    store: KnowledgeStore,
+    packages: DataFrame,
+    pages: DataFrame,
+    redirects: DataFrame,
+    rules: DataFrame,
+    as_of: Column,
+    **options,
+) -> tuple[Ingested, DataFrame]:
+    """:func:`ingest_packages` over ``pages(url, html)`` as they are now, by way of the capture memo.
+
+    Pages on the host of a package with ``caching_enabled`` false are read anew and not
+    remembered; of packages that share a host, one is enough. Null is true.
+    """
+    named = resolve_documentation(packages).join(packages.select("package", "caching_enabled"), "package")
+    off = named.where(~F.coalesce("caching_enabled", F.lit(True))).select(
+        url_netloc(F.col("documentation_url")).alias("host"), F.lit(False).alias("cached")
+    )
+    flagged = pages.withColumn("host", url_netloc(F.col("url"))).join(off.distinct(), "host", "left")
+    held = flagged.select("url", "html", F.coalesce("cached", F.lit(True)).alias("cached"))
+    return ingest_packages(store, packages, captured(store, held, redirects), rules, as_of, **options)
 
 
 def _crawled(starts: DataFrame, captures: DataFrame, rules: DataFrame) -> DataFrame:

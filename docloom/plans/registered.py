@@ -46,7 +46,7 @@ from docloom.operators.sql_search import register_search
 from docloom.operators.traversal import crawl, in_scope, links_per_page
 from docloom.operators.upsert import constraint_report, reject_reasons, upsert
 from docloom.plans import derived as d
-from docloom.plans.packages import ingest_packages
+from docloom.plans.packages import ingest_package_pages, ingest_packages
 from docloom.schema import TABLES
 from docloom.session import cut_lineage, shared_dir, tune
 from docloom.sources.captures import read_capture_lines, resolve_redirects, scan_captures
@@ -683,6 +683,36 @@ def crawl_own_bounds(spark, sf_dir):
     return crawl(starts, pages, links, d.site_rules(pages))
 
 
+@registered("package_recrawl")
+def package_recrawl(spark, sf_dir):
+    """Packages stored twice, the second time from changed pages: where captures are remembered, nothing changes."""
+    pages, links = _site(spark, sf_dir)
+    anchor = F.concat(F.lit('<a href="'), F.col("href"), F.lit('"></a>'))
+    marked = links.where("href <> ''").groupBy("url").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("link_pos", anchor.alias("a")))), lambda x: x["a"]), "").alias("links")
+    )
+    place = F.concat(F.lit("page "), F.col("place").cast("string"), F.lit(" of its host"))
+    body = F.concat(F.lit("<p>"), F.when(F.col("content") == "", "").otherwise(place), F.lit("</p>"), "links")
+    first = pages.join(marked, "url").select("url", body.alias("html"))
+    later = first.withColumn("html", F.replace("html", F.lit("page "), F.lit("new page ")))
+    host = F.col("host")
+    packages = d.site_starts(pages).select(
+        host.alias("package"), F.lit(None).cast("string").alias("version"),
+        F.concat(F.lit('{"info":{"documentation_url":"'), F.col("start_url"), F.lit('"}}')).alias("record"),
+        F.lit(1).alias("depth"), F.lit("bfs").alias("strategy"), F.lit(False).alias("ignore_robots"),
+        F.lit(None).cast("int").alias("limit"), F.when(F.startswith(host, F.lit("www.")), False).alias("caching_enabled"),
+    )
+    redirects = d.redirects(pages.select("url"))
+    store = KnowledgeStore(spark, f"{shared_dir(spark)}/recrawl-{uuid.uuid4().hex}")
+    for held, as_of in ((first, d.AS_OF), (later, d.LATER)):
+        ingest_package_pages(store, packages, held, redirects, d.site_rules(pages), d.moment(as_of), width=d.WIDTH)
+    remembered = store.memo("capture").select(F.col("final_url").alias("seen")).distinct()
+    found = joined_chunks(store.knowledge_base()).select("tool_name", "url", "content")
+    return found.join(remembered, found["url"] == remembered["seen"], "left").select(
+        "tool_name", "url", "content", F.col("seen").isNotNull().alias("remembered")
+    )
+
+
 @registered("links_per_page")
 def links_per_page_query(spark, sf_dir):
     return _crawled(spark, sf_dir, what=links_per_page)

@@ -23,7 +23,7 @@ def resolve_redirects(requests: DataFrame, redirects: DataFrame, url: str = "url
 
 
 def scan_captures(pages: DataFrame, redirects: DataFrame) -> DataFrame:
-    """``(url, final_url, content, links)`` of every captured page.
+    """``(url, final_url, content, links)`` of every captured page, after its other columns.
 
     A page without HTML has NULL content and no links.
     """
@@ -32,8 +32,9 @@ def scan_captures(pages: DataFrame, redirects: DataFrame) -> DataFrame:
         internal_links(F.col("final_url"), F.col("html")),
         F.array().cast("array<struct<href:string,text:string>>"),
     )
+    others = [c for c in pages.columns if c not in ("url", "html")]
     return placed.select(
-        "url", "final_url", page_text(F.col("html")).alias("content"), links.alias("links")
+        *others, "url", "final_url", page_text(F.col("html")).alias("content"), links.alias("links")
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.operators.enrichment import MEMO_PART, memo_part
 from docloom.operators.search import KnowledgeBase
 from docloom.operators.upsert import changed_rows
 from docloom.schema import TABLES
@@ -45,13 +46,13 @@ class KnowledgeStore:
         self.root = root.rstrip("/")
         self._create_if_absent(f"{self.root}/manifest", MANIFEST)
         for name, schema in MEMOS.items():
-            self._create_if_absent(f"{self.root}/memo/{name}", schema)
+            self._create_if_absent(f"{self.root}/memo/{name}", f"{schema}, {MEMO_PART} INT", MEMO_PART)
 
-    def _create_if_absent(self, path: str, schema: str) -> None:
+    def _create_if_absent(self, path: str, schema: str, *parts: str) -> None:
         try:
             self.spark.read.schema(schema).parquet(path)
         except AnalysisException:
-            self.spark.createDataFrame([], schema).write.parquet(path)
+            self.spark.createDataFrame([], schema).write.partitionBy(*parts).parquet(path)
 
     # --- tables
 
@@ -153,7 +154,12 @@ class KnowledgeStore:
     # --- memos
 
     def memo(self, name: str) -> DataFrame:
-        return self.spark.read.schema(MEMOS[name]).parquet(f"{self.root}/memo/{name}")
+        """What is remembered, with the folder that each key lies in; see ``memo_hits``."""
+        schema = f"{MEMOS[name]}, {MEMO_PART} INT"
+        return self.spark.read.schema(schema).parquet(f"{self.root}/memo/{name}")
 
     def remember(self, name: str, additions: DataFrame) -> None:
-        additions.write.mode("append").parquet(f"{self.root}/memo/{name}")
+        """Add rows: each folder that they fall in gets one more file, sorted by key."""
+        placed = additions.withColumn(MEMO_PART, memo_part(F.col("memo_key")))
+        ordered = placed.repartition(MEMO_PART).sortWithinPartitions(MEMO_PART, "memo_key")
+        ordered.write.mode("append").partitionBy(MEMO_PART).parquet(f"{self.root}/memo/{name}")
