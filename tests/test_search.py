@@ -230,3 +230,23 @@ def test_accepted_answers(spark):
     assert {tuple(r) for r in got} == {
         (1, "how to sort a list", "use sort", "https://stackoverflow.com/q/1"), (2, None, None, None),
     }
+
+
+def test_search_from_sql_equals_the_function(spark, kb):
+    from docloom.operators.sql_search import register_search
+
+    name = register_search(spark, kb, "match_test")
+    query = vectors(1, seed=9)[0].tolist()
+    literal = f"CAST(array({', '.join(f'{x!r}D' for x in query)}) AS ARRAY<FLOAT>)"
+    for arguments, count, wanted in ((", 7", 7, None), (", 20", 20, None), ("", 10, None), (", 20, map('version', '2')", 20, {"version": "2"})):
+        called = spark.sql(f"SELECT * FROM {name}({literal}{arguments}) ORDER BY similarity DESC, id")
+        plain = match_chunks(kb, query, count, wanted)
+        assert called.columns == plain.columns
+        key = lambda r: (r["id"], str(round(r["similarity"], 9) if r["similarity"] is not None else None), r["url"], r["tool_name"])
+        assert sorted(map(key, called.collect())) == sorted(map(key, plain.collect()))
+    assert spark.sql(f"SELECT * FROM {name}({literal}, 5, map('none', 'x'))").count() == 0
+    # The count of a call becomes a top-k of the scan, not a sort of all rows in one task.
+    plan = spark.sql(f"SELECT * FROM {name}({literal}, 7)")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=7" in plan
+    with pytest.raises(Exception, match="different vector dimensions"):
+        spark.sql(f"SELECT * FROM {name}(array(1F, 2F))").collect()

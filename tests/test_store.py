@@ -301,6 +301,51 @@ def test_captures_are_read_once(spark, store):
     assert store.memo("capture").count() == 4
 
 
+def test_pages_that_are_not_cached_are_read_anew(spark, store):
+    from docloom.plans.packages import captured
+
+    redirects = spark.createDataFrame([], "url string, final_url string")
+    schema = "url string, html string, cached boolean"
+    rows = [("https://a/1", "<p>one</p>", True), ("https://b/1", "<p>one</p>", False)]
+    captured(store, spark.createDataFrame(rows, schema), redirects).count()
+    later = [("https://a/1", "<p>two</p>", True), ("https://b/1", "<p>two</p>", False)]
+    again = captured(store, spark.createDataFrame(later, schema), redirects)
+    assert {r["url"]: r["content"] for r in again.collect()} == {"https://a/1": "one", "https://b/1": "two"}
+    assert [r["url"] for r in store.memo("capture").collect()] == ["https://a/1"]
+
+
+def test_lookups_read_the_folders_of_their_keys_only(spark, store):
+    from docloom.operators.enrichment import MEMO_PART, memo_hits, memo_part
+
+    rows = spark.range(500).select(F.concat(F.lit("k"), "id").alias("memo_key"), F.lit("t").alias("title"), F.lit("s").alias("summary"))
+    store.remember("title", rows)
+    store.remember("title", rows.where("memo_key = 'k7'"))
+    keyed = spark.createDataFrame([("k7",), ("k7",), ("none",)], "memo_key string")
+    hits = memo_hits(keyed, store.memo("title"))
+    assert [tuple(r) for r in hits.collect()] == [("k7", "t", "s")]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    wanted = {r[0] for r in keyed.select(memo_part(F.col("memo_key"))).distinct().collect()}
+    assert len(wanted) == 2 and f"PartitionFilters: [{MEMO_PART}" in plan
+
+
+def test_capture_lines_that_are_broken_are_rejected(spark):
+    from docloom.sources.captures import read_capture_lines
+
+    link = '{"href": "/x", "text": "t", "title": "more"}'
+    lines = [
+        '{"url": "https://a/", "final_url": "https://a/end", "markdown_v2": {"raw_markdown": "# A", "fit_markdown": ""},'
+        f' "links": {{"internal": [{link}], "external": []}}, "status_code": 200}}',
+        '{"url": "https://b/", "markdown_v2": null, "links": {}}', '{"url": "https://b/", "final_url": ""}',
+        "", "   ", '{"url": "https://c/"', '{"url": 3, "links": "x"}', "[]", "no json", '{"url": ""}', '{"final_url": "https://d/"}', "null",
+    ]
+    good, rejects = read_capture_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [(r["url"], r["final_url"], r["content"], [x["href"] for x in r["links"]]) for r in good.collect()] == [
+        ("https://a/", "https://a/end", "# A", ["/x"]), ("https://b/", "https://b/", None, []), ("https://b/", "https://b/", None, []),
+    ]
+    got = [tuple(r) for r in rejects.collect()]
+    assert {x for x, _ in got} == set(lines[5:]) and all(reason in ("broken record", "no URL") for _, reason in got)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, f"https://h{i % 3}.org/p{i}#x", f"<title>t</title><h1>Page {i}</h1><p>Text of {i}. More.</p>") for i in range(9)]
     folder = tmp_path / "pages"

@@ -81,6 +81,33 @@ def test_same_pages_as_a_sequential_queue(spark, depth, limit):
     assert len(got) == sum(map(len, expected.values()))
 
 
+def test_crawls_of_different_bounds_run_together(spark):
+    own = [(None, None, False), (0, None, False), (2, None, True), (None, 0, False), (None, 4, True), (3, 7, None), (None, 1, False)]
+    starts, captures, edges, rules, expected = [], [], [], [], {}
+    for seed, (depth, limit, ignores) in enumerate(own):
+        names, pages, links, blocked = random_site(seed % 4)
+        host = f"h{seed}.org"
+
+        def move(url, host=host):
+            return url.replace("h.org", host)
+
+        starts.append((seed, move(names[0]), depth, limit, ignores))
+        captures += [(move(u), move(f), c) for u, (f, c) in pages.items()]
+        edges += [(move(u), i, move(h)) for u, hs in links.items() for i, h in enumerate(hs)]
+        rules += [(host, i, "*", "Disallow", urlparse(u).path) for i, u in enumerate(sorted(blocked))]
+        shut = set() if ignores else blocked
+        expected[seed] = {move(u) for u in sequential(names[0], pages, links, shut, depth, limit)}
+    got = crawl(
+        spark.createDataFrame(starts, "crawl_id long, start_url string, depth int, limit long, ignore_robots boolean"),
+        spark.createDataFrame(captures, "url string, final_url string, content string"),
+        spark.createDataFrame(edges, "url string, link_pos int, href string"),
+        spark.createDataFrame(rules, "netloc string, rule_no int, agent string, directive string, path string"),
+    ).collect()
+    for seed in expected:
+        assert {r["url"] for r in got if r["crawl_id"] == seed} == expected[seed], seed
+    assert expected[3] == set() and len(expected[1]) == len(expected[6]) == 1
+
+
 def test_fragments_foreign_hosts_and_empty_links_are_skipped(spark):
     start = f"{H}/start"
     hrefs = [f"{H}/page1", f"{H}/page2", f"{H}/page2#section", "https://other.org/x", "", start]
