@@ -22,7 +22,7 @@ from docloom.llm.chars import DIGIT, UPPER, code_points, mixed, tables, tokens,
 from docloom.session import cut_lineage
 
 WINDOW = 8
-# Shorter items are one window of their own length, if they have at least this many tokens.
+# Shorter items are one window of their own length; those under this many tokens are only looked for word by word.
 SHORTEST = 4
 # A window is a template if at least this share of it is literal; otherwise it is taken word by word.
 LITERAL = 0.5
@@ -84,7 +84,9 @@ def _unit_hashes() -> np.ndarray:
 
 
 def window_hashes(t: Template, size: int) -> np.ndarray:
-    """A hash of every window of ``size`` tokens: of the template, or of the words if it is mostly slots."""
+    """A hash of every window of ``size`` tokens: of the template, or of the words if it is mostly slots or short."""
+    if size < SHORTEST:
+        return windows(t.value, size) ^ VERBATIM
     shown = np.where(t.kind == 0, t.value, PLACEHOLDER[t.kind])
     whole = windows(shown, size)
     if not len(whole):
@@ -115,7 +117,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(batch["item_id"], batch["text"], strict=True):
                 t = template(text)
                 size = min(WINDOW, len(t.kind))
-                if size < SHORTEST:
+                if not size:
                     continue
                 hashes = window_hashes(t, size)
                 rows += [(item, len(hashes), *row) for row in _rows(t, size, np.arange(len(hashes)), hashes)]
@@ -160,14 +162,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Documents are scanned once and only windows that a small bit map lets
     through are moved, to an exact hash join. A null or empty text, and a null
-    doc_id, match nothing; null items, and those under four tokens, are left
-    out. Repeated rows of a document give the same result once. Other columns
+    doc_id, match nothing; null items, and those without tokens, are left out. Items
+    under four tokens are found as they stand, but for case and marks. Repeated rows of a document give the same result once. Other columns
     are left out, whatever their names.
     """
     spark = docs.sparkSession
     items = cut_lineage(item_windows(benchmark))
     bits = spark.sparkContext.broadcast(window_map(items))
-    # At most WINDOW - SHORTEST + 1 different numbers.
+    # At most WINDOW different numbers.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

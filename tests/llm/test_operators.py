@@ -319,6 +319,12 @@ def test_reparameterised_questions_are_found_if_slots_agree(lines):
     assert got == {(0, 5): True, (1, 5): False, (6, 5): True}
 
 
+def test_items_of_few_tokens_are_found_as_they_stand(lines):
+    texts = ["We saw Silver OTTERS, dance there.", "silver otters sing", "otters dance", "Silver 12 otters dance", "x 42 y", "x 43 y"]
+    got = held(lines, texts, [(1, "silver otters dance"), (2, "Otters dance"), (3, "42"), (4, "?!")])
+    assert set(got) == {(0, 1), (0, 2), (2, 2), (3, 2), (4, 3)}
+
+
 def test_short_items_and_passages(lines):
     short = "silver otters dance quietly tonight"
     got = held(lines, [f"{prose(1)} {short} {prose(2)}", prose(1), " ".join(prose(9).split()[10:30])], [(1, short), (2, prose(9))])
