@@ -23,10 +23,12 @@ B = 0.75
 SCORE_DECIMALS = 9
 # One dense query matrix has at most this many words (or one query).
 PACK_WORDS = 4096
+# And so many numbers, 8 MB; the matrix is made in the task, from the weights that are not zero.
+PACK_CELLS = 1 << 20
 COUNT_CELLS = 4_000_000
 
 
-# What a query takes in a pack beside its words' weights; a weight is a double for each word and query.
+# What a word of a query takes in a pack: its letters, its place, and its weight.
 TERM_BYTES = 64
 
 
@@ -51,29 +53,33 @@ def _with_terms(queries: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def _packs(block: list, total: int) -> list[tuple[np.ndarray, list[str], np.ndarray]]:
-    """Queries in packs of ``(rows, vocabulary, weights[word, query])`` of bounded size."""
+def _packs(block: list, total: int) -> list[tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries in packs of ``(rows, vocabulary, word, query, weight)``, a weight for each word of each query."""
     packs, rows, held = [], [], 0
     for row, query in enumerate(block):
-        if rows and held + len(query["terms"]) > PACK_WORDS:
+        more = held + len(query["terms"])
+        if rows and (more > PACK_WORDS or more * (len(rows) + 1) > PACK_CELLS):
             packs.append(rows)
-            rows, held = [], 0
+            rows, more = [], len(query["terms"])
         rows.append(row)
-        held += len(query["terms"])
+        held = more
     packs.append(rows)
     out = []
     for rows in packs:
         counts = {t["word"]: t["n"] for r in rows for t in block[r]["terms"]}
         position = {word: i for i, word in enumerate(counts)}
-        weights = np.zeros((len(counts), len(rows)))
-        for column, r in enumerate(rows):
-            for t in block[r]["terms"]:
-                rarity = np.log(1 + (total - t["n"] + 0.5) / (t["n"] + 0.5))
-                weights[position[t["word"]], column] = rarity
-        out.append((np.array(rows), list(counts), weights))
+        placed = [(position[t["word"]], column, t["n"]) for column, r in enumerate(rows) for t in block[r]["terms"]]
+        word, query, found = np.array(placed, dtype=np.int64).reshape(-1, 3).T
+        out.append((np.array(rows), list(counts), word, query, np.log(1 + (total - found + 0.5) / (found + 0.5))))
     return out
 
 
+def _matrix(words_: int, queries: int, word: np.ndarray, query: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    weights = np.zeros((words_, queries))
+    weights[word, query] = weight
+    return weights
+
+
 def best_questions(questions: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
     """``(query_id, rank, question_id, score)``: the k questions that match a query best.
 
@@ -94,7 +100,8 @@ def best_questions(questions: DataFrame, queries: DataFrame, k: int = 1) -> Data
         shared = share(_packs(block, total))
 
         def score(batch: pa.RecordBatch) -> Scores:
-            for rows, vocabulary, weights in shared.value:
+            for rows, vocabulary, *places in shared.value:
+                weights = _matrix(len(vocabulary), len(rows), *places)
                 step = max(1, COUNT_CELLS // len(vocabulary))
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)

@@ -100,7 +100,9 @@ def query_blocks(queries: DataFrame, size: Column) -> Iterator[list]:
         return
     # Hashed blocks differ in size: aim at half a block.
     blocks = max(-(-totals["n"] * 2 // BLOCK_QUERIES), int(-(-totals["b"] * 2 // BLOCK_BYTES)))
-    placed = held.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    # By the row, not by the id alone: rows that share an id do not fill one block.
+    row = F.monotonically_increasing_id()
+    placed = held.withColumn("_block", F.pmod(F.xxhash64("query_id", row), F.lit(blocks)).cast("int"))
     for block in range(blocks):
         yield placed.where(F.col("_block") == block).drop("_block").collect()
 
