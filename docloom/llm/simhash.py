@@ -12,7 +12,7 @@ dropped with all its members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -283,14 +283,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _classes(docs).select("doc_id", hex_column(F.col("print")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, classed: Callable[[DataFrame], DataFrame] = _classes) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component, with all their columns.
 
+    ``classed`` gives doc_id, text_hash and root of every row.
+
     The smallest doc_id stays; of several rows with it, the text with the
     smallest hash; of rows alike in both, any. Null ids come last, so one stays only of
     a component without others.
     """
-    classes = cut_lineage(_classes(docs))
+    classes = cut_lineage(classed(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = classes.groupBy("root").agg(F.min(place).alias("b"), F.count("*").alias("n"))
     kept = best.select(F.col("b.doc_id").alias("_kept"), F.col("b.text_hash").alias("_hash")).distinct()
