@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, language, mixing, quality, simhash
+from docloom.llm import decontaminate, language, mixing, near_copies, quality
 from docloom.llm.common import prepare, table, word_count
 from docloom.session import shared_dir
 
@@ -30,9 +30,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of texts that share at least 0.8 of their five-word shingles."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
