@@ -4,13 +4,14 @@ SimHash prints of texts that share 0.8 of their shingles lie about ten bits
 apart, further than the Gray-order index can prune. So its links (prints at
 most ``simhash.RADIUS`` bits apart) are one source of candidates, and runs are
 the other: the different shingles of a text are sorted by hash, as a ring, and
-each ``RUN`` neighbours of that ring make a run. If two texts share at least
-``RUN / (RUN + 1)`` of their shingles, the shared ones outnumber the others
-``RUN`` to 1, so between two of the others somewhere lie ``RUN`` shared ones in
-line, in both rings: similar texts have a run in common. Large texts keep the
-runs that start at every second or fourth hash, which leaves many in common.
-A text holds a run of a passage that it shares with unlike texts only if four
-shingles of the passage meet in the ring, so such groups stay small.
+neighbours of that ring make a run. If two texts share at least 0.8 of their
+shingles, the shared ones outnumber the others four to one, so between two
+of the others somewhere lie four shared ones in line, in both rings. Texts of
+fewer than ``SMALL`` shingles keep all runs of four, so similar ones always have
+one in common. From there on texts are in tiers of four times the size each;
+a tier's runs are three longer and start at half as many of the hashes, by
+which similar texts have 7 to 30 in common on average, and unlike ones, that
+share a passage or a third of their shingles, hardly any.
 
 Candidates whose prints or sizes are too far apart go first; what remains is
 decided on the whole sets of shingles.
@@ -33,8 +34,7 @@ from docloom.session import cut_lineage
 WORDS = 5
 SIMILARITY = 0.8
 RUN = 4
-# Texts from this many different shingles on keep runs of every second, of every fourth starting hash.
-HALF, QUARTER = 64, 256
+SMALL = 32
 # Bits between the prints of a candidate. At a similarity of 0.8 prints differ in 9.7 of 64 on average;
 # 18 is 2.9 standard deviations above.
 FAR = 18
@@ -66,15 +66,30 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _tier(size: float) -> int:
+    """0 below ``SMALL`` shingles, then one more at each four times the size."""
+    tier = 0
+    while size >= SMALL * 4**tier:
+        tier += 1
+    return tier
+
+
 def runs(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each ``RUN`` neighbours in the ring of sorted hashes; none below ``RUN``, where only equal sets are alike."""
+    """Hashes of the runs in the ring of sorted hashes; none below ``RUN``, where only equal sets are alike.
+
+    A text near the lower end of its tier has the runs of the tier below as
+    well, as texts alike to it may be there.
+    """
     if len(hashes) < RUN:
         return np.zeros(0, np.uint64)
     spread = hashes * MIX
     spread ^= spread >> np.uint64(29)
-    total = reduce(np.add, (np.roll(spread, -i) for i in range(RUN)))
-    step = np.uint64(1 if len(hashes) < HALF else 2 if len(hashes) < QUARTER else 4)
-    return np.unique(total[hashes % step == 0])
+    found = []
+    for tier in {_tier(len(hashes)), _tier(SIMILARITY * len(hashes))}:
+        length = RUN + 3 * max(tier - 1, 0)
+        total = reduce(np.add, (np.roll(spread, -i) for i in range(length)))
+        found.append(total[hashes % np.uint64(2**tier) == 0] + np.uint64(tier))
+    return np.unique(np.concatenate(found))
 
 
 def _described(text: Column) -> Column:
@@ -152,33 +167,63 @@ def _index_links(sets: DataFrame) -> DataFrame:
     return _possible(across.unionByName(within))
 
 
+def _grouped(described: DataFrame) -> DataFrame:
+    """run, id, n: the different sets in each group with a common run, of which there are ``n``."""
+    chosen = described.groupBy("id").agg(F.min("row").alias("row"))
+    rows = described.join(chosen, ["id", "row"], "left_semi").select("id", F.explode("runs").alias("run"))
+    # Dealt once, for the counts and for the join with them.
+    dealt = rows.repartition("run")
+    counts = dealt.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return cut_lineage(dealt.join(counts, "run").select("run", "id", "n"))
+
+
 def links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """(a, b): links between different sets whose components are those of all similar pairs.
+    """(a, b): links between different sets.
 
-    In a group of texts with a common run, each is checked against the least
-    of them. Whatever is then not in that one's component is checked against
-    all of the group outside its own component.
+    Every group of sets with a common run is led by the one most of whose runs
+    are widely shared, such as the text that the others were made from. All
+    others are checked against it. Rounds go on with the next leader, of those
+    not yet in a leader's component, as long as they find links. A round's pairs are
+    at most as many as there are places in groups, never all pairs of a group.
     """
-    sets = cut_lineage(described.groupBy("id").agg(F.min("size").alias("size"), F.min("print").alias("print"), F.min("text_hash").alias("text_hash")))
-    one = F.struct("text_hash", "row")
-    chosen = described.groupBy("id").agg(F.min(one).alias("c")).select("id", "c.row")
-    rows = described.join(chosen, ["id", "row"], "left_semi").select("id", F.explode("runs").alias("run"))
-    least = rows.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    grouped = cut_lineage(rows.join(least, "run").select("run", "id", "least"))
-    traits = sets.select("id", "size", "print")
-    stars = grouped.select("id", F.col("least").alias("other")).where("id != other").distinct()
-    stars = _side(stars.join(traits, "id"), "a").join(_side(traits, "b"), F.col("other") == F.col("b")).drop("other")
-    tried = cut_lineage(_possible(stars).unionByName(_index_links(sets)).distinct())
-    found = _alike(docs, sets, tried)
-
-    roots = components(found).select(F.col("node").alias("id"), "root")
-    placed = grouped.join(traits, "id").join(roots, "id", "left").select("run", "id", "size", "print", "least", F.coalesce("root", "id").alias("root"))
-    of_least = roots.select(F.col("id").alias("least"), F.col("root").alias("least_root"))
-    placed = cut_lineage(placed.join(of_least, "least", "left").withColumn("out", F.col("root") != F.coalesce("least_root", "least")).drop("least_root", "least"))
-    out = _side(placed.where("out").drop("out"), "a").withColumnRenamed("root", "root_a")
-    more = out.join(_side(placed.drop("out"), "b"), "run").where("root != root_a")
-    new = cut_lineage(_possible(more).join(tried, ["a", "b"], "left_anti"))
-    return found.unionByName(_alike(docs, sets, new))
+    sets = cut_lineage(
+        described.groupBy("id").agg(
+            F.min("size").alias("size"),
+            F.min("print").alias("print"),
+            F.min("text_hash").alias("text_hash"),
+            F.min(F.size("runs")).alias("runs"),
+        )
+    )
+    grouped = _grouped(described)
+    shared = grouped.groupBy("id").agg(F.sum("n").alias("n")).join(sets, "id")
+    traits = shared.select("id", "size", "print", (F.col("n") / F.col("runs")).alias("weight"))
+    places = cut_lineage(grouped.join(traits, "id").select("run", "id", "size", "print", "weight", F.lit(False).alias("led")))
+    roots, tried, found, before = None, None, None, 0
+    while True:
+        placed = places.withColumn("root", F.col("id"))
+        if roots is not None:
+            placed = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        first = F.max(F.struct("weight", "id", "size", "print", "root"))
+        leaders = placed.where("not led").groupBy("run").agg(first.alias("l"))
+        leaders = leaders.select("run", F.col("l.id").alias("b"), F.col("l.size").alias("size_b"), F.col("l.print").alias("print_b"), F.col("l.root").alias("root_b"))
+        met = cut_lineage(placed.join(leaders, "run"))
+        pairs = _possible(met.where("root != root_b").withColumnsRenamed({"id": "a", "size": "size_a", "print": "print_a"}))
+        if tried is None:
+            tried = cut_lineage(pairs.unionByName(_index_links(sets)).distinct())
+            found = _alike(docs, sets, tried)
+        else:
+            pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
+            tried, found = tried.unionByName(pairs), found.unionByName(_alike(docs, sets, pairs))
+        count = found.count()
+        if count == before:
+            return found
+        before = count
+        roots = cut_lineage(components(found).select(F.col("node").alias("id"), "root"))
+        # Places in the component of a leader have been led; groups that are led throughout are done.
+        now = met.drop("root", "root_b").join(roots, "id", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
+        led = F.col("led") | (F.coalesce("root", "id") == F.coalesce("root_b", "b"))
+        now = cut_lineage(now.select("run", "id", "size", "print", "weight", led.alias("led")))
+        places = cut_lineage(now.join(now.where("not led").select("run").distinct(), "run", "left_semi"))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def test_similar_sets_share_a_run():
     """Shared hashes outnumber the others four to one, so four of them are in line."""
     random_ = np.random.default_rng(3)
     for _ in range(2000):
-        shared = int(random_.integers(4, 60))
+        shared = int(random_.integers(4, 24))
         others = int(random_.integers(0, shared // 4 + 1))
         every = np.unique(random_.integers(0, 2**63, shared + others).astype(np.uint64))
         random_.shuffle(every)
