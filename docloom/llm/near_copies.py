@@ -196,18 +196,21 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     )
     grouped = _grouped(described)
     shared = grouped.groupBy("id").agg(F.sum("n").alias("n")).join(sets, "id")
-    traits = shared.select("id", "size", "print", (F.col("n") / F.col("runs")).alias("weight"))
-    places = cut_lineage(grouped.join(traits, "id").select("run", "id", "size", "print", "weight", F.lit(False).alias("led")))
+    weights = shared.select("id", (F.col("n") / F.col("runs")).alias("weight"))
+    traits = cut_lineage(sets.select("id", "size", "print"))
+    places = cut_lineage(grouped.join(weights, "id").select("run", "id", "weight", F.lit(False).alias("led")))
     roots, tried, found, before = None, None, None, 0
     while True:
         placed = places.withColumn("root", F.col("id"))
         if roots is not None:
             placed = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        first = F.max(F.struct("weight", "id", "size", "print", "root"))
+        first = F.max(F.struct("weight", "id", "root"))
         leaders = placed.where("not led").groupBy("run").agg(first.alias("l"))
-        leaders = leaders.select("run", F.col("l.id").alias("b"), F.col("l.size").alias("size_b"), F.col("l.print").alias("print_b"), F.col("l.root").alias("root_b"))
-        met = cut_lineage(placed.join(leaders, "run"))
-        pairs = _possible(met.where("root != root_b").withColumnsRenamed({"id": "a", "size": "size_a", "print": "print_a"}))
+        leaders = cut_lineage(leaders.select("run", F.col("l.id").alias("b"), F.col("l.root").alias("root_b")))
+        met = placed.join(leaders, "run").where("root != root_b").select(F.col("id").alias("other"), "b").distinct()
+        met = _side(met.join(traits, F.col("other") == F.col("id")), "a").drop("other")
+        b = _side(traits, "b")
+        pairs = _possible(met.withColumnRenamed("b", "other").join(b, F.col("other") == F.col("b")))
         if tried is None:
             tried = cut_lineage(pairs.unionByName(_index_links(sets)).distinct())
             found = _alike(docs, sets, tried)
@@ -220,10 +223,12 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
         before = count
         roots = cut_lineage(components(found).select(F.col("node").alias("id"), "root"))
         # Places in the component of a leader have been led; groups that are led throughout are done.
-        now = met.drop("root", "root_b").join(roots, "id", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
-        led = F.col("led") | (F.coalesce("root", "id") == F.coalesce("root_b", "b"))
-        now = cut_lineage(now.select("run", "id", "size", "print", "weight", led.alias("led")))
-        places = cut_lineage(now.join(now.where("not led").select("run").distinct(), "run", "left_semi"))
+        named = leaders.select("run", "b").join(roots.withColumnsRenamed({"id": "b", "root": "root_b"}), "b", "left")
+        named = named.select("run", F.coalesce("root_b", "b").alias("root_b"))
+        now = places.join(roots, "id", "left").join(named, "run")
+        led = F.col("led") | (F.coalesce("root", "id") == F.col("root_b"))
+        now = cut_lineage(now.select("run", "id", "weight", led.alias("led")))
+        places = now.join(now.where("not led").select("run").distinct(), "run", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
