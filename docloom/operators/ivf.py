@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.vectors import RANK_DECIMALS
-from docloom.operators.search import _query_matrix, nearest, with_similarity
-from docloom.operators.topk import Scores, Shared, cosine_keys, scan, top_k, vector_bytes
+from docloom.operators.search import nearest, with_similarity
+from docloom.operators.topk import Nearest, Shared, cosine_keys, scan_vectors, top_vectors
+from docloom.session import cut_lineage
 
 DEFAULT_LISTS = 100
 DEFAULT_PROBES = 1
+# Stands for all lists that every query of a block probes.
+ALL = -1
 
 
 @dataclass
@@ -60,10 +63,13 @@ def build(
     sample: float = 1.0,
     centres: np.ndarray | None = None,
 ) -> ListIndex:
-    """The index of ``items``; centres are trained unless they are given."""
+    """The index of ``items``; centres are trained unless they are given.
+
+    Rows are placed once, however many blocks of queries visit them.
+    """
     if centres is None:
         centres = np.array(train(items.select("id", "embedding"), lists, seed, sample).clusterCenters())
-    return ListIndex(assign(items.select("id", "embedding"), centres), centres)
+    return ListIndex(cut_lineage(assign(items.select("id", "embedding"), centres)), centres)
 
 
 def write_index(index: ListIndex, path: str) -> None:
@@ -106,27 +112,27 @@ def search(index: ListIndex, queries: DataFrame, k: int, probes: int = DEFAULT_P
     far from all: it gets the smallest ids of its lists.
     """
 
-    def scan_block(block: list, share: Shared) -> DataFrame:
-        ids, matrix = _query_matrix(block)
+    def scan_block(block: tuple[np.ndarray, np.ndarray], share: Shared) -> DataFrame:
+        ids, matrix = block
         probed = _probed(matrix, index.centres, probes)
         shared = share((matrix, probed))
         wanted = [int(i) for i in np.flatnonzero(probed.any(axis=0))]
 
-        def score(batch: pa.RecordBatch) -> Scores:
-            matrix, probed = shared.value
+        def visit(best: Nearest, batch: pa.RecordBatch) -> None:
+            probed = shared.value[1]
             lists = batch.column("list_id").to_numpy()
+            # Lists that all queries probe are one.
+            lists = np.where(probed.all(axis=0)[lists], ALL, lists)
             for one in np.unique(lists):
-                rows = np.flatnonzero(probed[:, one])
-                if not len(rows):
-                    continue
-                part = batch.filter(pa.array(lists == one))
-                keys = cosine_keys(matrix[rows], part.column("embedding"), RANK_DECIMALS)
-                yield rows, keys, part.column("id").to_numpy()
+                rows = None if one == ALL else np.flatnonzero(probed[:, one])
+                if rows is None or len(rows):
+                    part = batch.filter(pa.array(lists == one))
+                    best.visit(rows, part.column("embedding"), part.column("id").to_numpy())
 
         rows = index.rows.where(F.col("list_id").isin(wanted)).select("id", "list_id", "embedding")
-        return scan(rows, ids, k, score)
+        return scan_vectors(rows, ids, k, lambda: shared.value[0], RANK_DECIMALS, visit)
 
-    return with_similarity(top_k(queries, k, vector_bytes(), scan_block))
+    return with_similarity(top_vectors(queries, k, scan_block, index.rows.rdd.getNumPartitions()))
 
 
 def recall(index: ListIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:

@@ -126,6 +126,46 @@ def test_plan_does_not_grow_with_the_blocks(spark, monkeypatch):
     assert len(set(plans)) == 1 and rows[0] == rows[1] == rows[2] and len(rows[0]) == 120
 
 
+def test_items_are_made_once_for_all_blocks(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def vector(i):
+        made.add(1)
+        return [1.0, float(i)]
+
+    items = spark.range(30).select("id", vector.asNondeterministic()("id").alias("embedding"))
+    queries = spark.createDataFrame([(i, [1.0, i / 9]) for i in range(40)], "query_id long, vector array<float>")
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(topk, "VECTOR_BLOCKS", 1)
+    assert nearest(items, queries, 3).count() == 120
+    assert made.value == 30
+    made.value = 0
+    assert ivf.search(ivf.build(items, centres=np.eye(2)), queries, 3, probes=2).count() == 120
+    assert made.value == 30
+
+
+@pytest.mark.parametrize("k", [1, 4, 300])
+def test_screened_vectors_are_those_of_all_keys(k):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    near = vectors(40)[rng.integers(0, 40, 900)].astype(float) + rng.normal(size=(900, 8)) * rng.choice([0, 1e-9, 1e-6, 1e-3], (900, 1))
+    rows = near.tolist()
+    for i, odd in ((3, None), (50, None), (700, [0.0] * 8), (701, [0.0] * 8), (702, [NAN] * 8), (703, [float("inf")] * 8)):
+        rows[i] = odd
+    queries = np.vstack([near[:200], near[:5] * 1e150, np.zeros((2, 8)), np.full((2, 8), NAN), [[float("inf"), *[0] * 7]]])
+    ids, column = rng.permutation(900) % 890, pa.array(rows, pa.list_(pa.float64()))
+    plain, fast = topk.Best(len(queries), k), topk.Nearest(queries, k, 9)
+    for at in range(0, 900, 300):
+        part = column.slice(at, 300)
+        with np.errstate(invalid="ignore"):
+            plain.add(None, topk.cosine_keys(queries, part, 9), ids[at : at + 300])
+            fast.visit(None, part, ids[at : at + 300])
+    assert (plain.ids == fast.ids).all()
+    assert np.allclose(np.minimum(plain.keys, 9), np.minimum(fast.keys, 9), rtol=0, atol=2e-9)
+
+
 def test_a_query_without_direction_gets_its_lists_first_ids(spark):
     items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id long, embedding array<float>")
     index = ivf.build(items, centres=np.array([[1.0, 0.0], [0.0, 1.0]]))
