@@ -126,6 +126,19 @@ def test_bad_vectors_from_a_hook_become_zero(spark):
     assert got == {"a": [1.0, 2.0], "b": [0.0, 0.0]}
 
 
+def test_a_hook_gets_as_few_rows_as_are_asked_for(spark):
+    def reply(batches):
+        for batch in batches:
+            assert len(batch) == 1 and list(batch.index) == [0]
+            if batch["content"][0] == "b":
+                raise RuntimeError("no answer")
+            yield pd.DataFrame({"memo_key": batch["memo_key"], "embedding": [[1.0, 2.0]]})
+
+    misses = spark.createDataFrame([(c, c) for c in "abc"], "memo_key string, content string").coalesce(1)
+    got = {r["memo_key"]: (r["embedding"], r["failed"]) for r in hooked_vectors(reply, 2, rows=1)(misses).collect()}
+    assert got == {"a": ([1.0, 2.0], False), "b": ([0.0, 0.0], True), "c": ([1.0, 2.0], False)}
+
+
 def test_native_vectors(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "A, b! a"), (3, "..."), (4, None)], "id int, c string")
     got = {r["id"]: r["v"] for r in df.select("id", hashed_vector(F.col("c"), 32).alias("v")).collect()}
