@@ -430,6 +430,29 @@ def test_licences_are_confirmed_by_templates(lines, odd, empty):
     assert {r["family"] for r in licenses.scan(docs.where("doc_id = 0"), bare).collect()} == {"mit"}
 
 
+def test_every_family_over_the_threshold_has_a_row(lines):
+    """Against all templates on every line: no cue, none of the classifier's doubts hides a match."""
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    cut = [" ".join(t.split()[i:j]) for t in texts for i, j in ((1, None), (2, None), (0, -1), (0, -2), (1, -1))]
+    whole = [f"{prose(i)} {t.upper()} {prose(i + 50)}" for i, t in enumerate(texts)]
+    rows = list(enumerate([*texts, *cut, *whole, *(t.replace(" ", "-").replace("2", "x2") for t in texts), prose(7)]))
+    docs = lines.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.fit(docs.where("doc_id < 0"))
+    got = licenses.scan(docs, model).collect()
+    expected = set()
+    for i, text in rows:
+        shingles = set(licenses._template_shingles(text))
+        for family, wanted in licenses.TEMPLATES.items():
+            parts = [set(licenses._template_shingles(t)) for t in wanted]
+            if max(len(p & shingles) / len(p) for p in parts) >= licenses.CONFIRMED:
+                expected.add((i, family))
+    assert {(r["doc_id"], r["family"]) for r in got if r["family"] != "unknown"} == expected
+    assert len(got) == len({(r["doc_id"], r["family"]) for r in got})
+    assert all(0 <= r["probability"] <= 1 and 0 <= r["similarity"] <= 1 for r in got)
+    granted = texts.index(licenses.TEMPLATES["mit"][1]) * 5 + len(texts)
+    assert (granted, "mit") in expected and not rows[granted][1].startswith("Permission")
+
+
 # --- 10 quality ------------------------------------------------------------------------
 
 
