@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -206,6 +207,29 @@ def test_cross_entropy_counts_every_word(lines, monkeypatch, head):
     assert len(by) == 3 and by[1] < by[None] and all(map(math.isfinite, by.values()))
 
 
+@pytest.mark.parametrize("head", [0, 100, 1 << 18])
+def test_cross_entropy_stores_words_and_frequent_pairs_only(lines, monkeypatch, head):
+    """Texts whose pairs are nearly all different: their pairs are counted where they meet, in batches of few rows."""
+    random_ = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(random_.choices(words, k=120)) for _ in range(60)]
+    docs = lines.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    stored, store = [], cross_entropy._stored
+
+    def counted(df):
+        stored.append(store(df))
+        return stored[-1]
+
+    monkeypatch.setattr(cross_entropy, "_stored", counted)
+    monkeypatch.setattr(cross_entropy, "HEAD", head)
+    monkeypatch.setattr(cross_entropy, "FIRST", 20, raising=False)
+    monkeypatch.setattr(cross_entropy, "HELD", 500)
+    models = cross_entropy.fit(docs, docs.where("doc_id < 9").select("doc_id"))
+    got = {r["doc_id"]: r["score"] for r in cross_entropy.score(docs, models).collect()}
+    assert np.allclose([got[i] for i in range(60)], plain_scores(texts, list(range(9))))
+    assert max(df.count() for df in stored) <= 20 * 20
+
+
 # --- 4 mixing --------------------------------------------------------------------------
 
 
