@@ -222,13 +222,12 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
             return found
         before = count
         roots = cut_lineage(components(found).select(F.col("node").alias("id"), "root"))
-        # Places in the component of a leader have been led; groups that are led throughout are done.
+        # Places in the component of a leader have been led; groups that are led throughout get no leader any more.
         named = leaders.select("run", "b").join(roots.withColumnsRenamed({"id": "b", "root": "root_b"}), "b", "left")
         named = named.select("run", F.coalesce("root_b", "b").alias("root_b"))
         now = places.join(roots, "id", "left").join(named, "run")
         led = F.col("led") | (F.coalesce("root", "id") == F.col("root_b"))
-        now = cut_lineage(now.select("run", "id", "weight", led.alias("led")))
-        places = now.join(now.where("not led").select("run").distinct(), "run", "left_semi")
+        places = cut_lineage(now.select("run", "id", "weight", led.alias("led")))
 
 
 def classes(docs: DataFrame) -> DataFrame:

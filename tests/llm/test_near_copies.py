@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from glob import glob
 
 import numpy as np
 import pytest
@@ -111,6 +112,16 @@ def test_near_copies_of_all_documents(lines, sf_dir):
     assert groups(near_copies.classes(docs).collect(), "root") == want
 
 
+def test_rounds_leave_no_exchanged_files(lines):
+    """Files of an exchange go when the query that reads them ends, so that rounds do not pile them up."""
+    root = lines.sparkContext.getConf().get("spark.local.dir", "/tmp")
+    texts = corpus(3)[:120]
+    docs = lines.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], SCHEMA)
+    before = set(glob(f"{root}/blockmgr-*/*/shuffle_*"))
+    near_copies.classes(docs).count()
+    assert not set(glob(f"{root}/blockmgr-*/*/shuffle_*")) - before
+
+
 def test_odd_documents(odd, empty):
     rows = near_copies.classes(odd).collect()
     assert len(rows) == len(ODD)
