@@ -43,7 +43,8 @@ LOSSES = ("target_loss", "background_loss")
 # word and a frequent one have a hash, and the latter's place as ``pair``. Pairs whose second word is
 # rare lie with that word, so that it is counted there as well, and have their hash as ``pair``.
 FREQUENT, RARE_FIRST, RARE_SECOND, TEXT = range(4)
-KIND, COUNTED, GOOD = 3, 4, 8
+# Null texts of the models' own documents are left out of the counts: a pair that only they have costs nothing.
+KIND, COUNTED, GOOD, LEFT_OUT = 3, 4, 8, 16
 PLACE_BITS = 20
 PLACES = (1 << PLACE_BITS) - 1
 SIGN = np.int64(-(1 << 63))
@@ -275,11 +276,11 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     # The models without their tables, which stay with the driver.
     totals = Models(None, None, None, models.target_total, models.total, models.kinds, models.flat)
 
-    def pairs_of(texts: DataFrame, scored: bool) -> DataFrame:
+    def pairs_of(texts: DataFrame, scored: bool, uncounted: int = 0) -> DataFrame:
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, batch.num_rows, TEXTS):
-                    yield from _looked_up(batch.slice(start, TEXTS), shared.value, totals, scored, kept)
+                    yield from _looked_up(batch.slice(start, TEXTS), shared.value, totals, scored, kept, uncounted)
 
         columns = texts.select("row", F.col("name").cast(name).alias("name"), "text", "good", "counted")
         return columns.mapInArrow(
@@ -287,7 +288,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         )
 
     if docs.sameSemantics(models.docs):
-        rows = pairs_of(models.texts.withColumn("counted", F.col("text").isNotNull()), True)
+        rows = pairs_of(models.texts.withColumn("counted", F.col("text").isNotNull()), True, LEFT_OUT)
     else:
         # Texts that the models count, and others that they do not.
         held = models.texts.where(F.col("text").isNotNull()).withColumn("counted", F.lit(True))
@@ -320,7 +321,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     return means.withColumn("score", F.col(LOSSES[0]) - F.col(LOSSES[1]))
 
 
-def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored: bool, kept: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored: bool, kept: pa.DataType, uncounted: int) -> Iterator[pa.RecordBatch]:
     """A row for each text, with the losses of its most frequent pairs, and one for each of its other pairs."""
     texts = [_ended(text) for text in batch["text"].to_pylist()]
     row, counted, good = (np.asarray(batch[c].to_pylist()) for c in ("row", "counted", "good"))
@@ -342,9 +343,9 @@ def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored
     at, m = _different(of, hashed)
     of, a, b, hashed, word = of[at], a[at], b[at], hashed[at], every[first[at] + 1]
     kinds = np.where(b < 0, RARE_SECOND, np.where(a < 0, RARE_FIRST, FREQUENT))
-    flags = (np.where(counted, COUNTED, 0) | np.where(good, GOOD, 0))[of]
+    flags = (np.where(counted, COUNTED, uncounted) | np.where(good, GOOD, 0))[of]
     if scored:
-        usual = b >= 0
+        usual = (b >= 0) & ((flags & LEFT_OUT) == 0)
         own = [l_ * m[usual] for l_ in _alone(m[usual], flags[usual], b[usual], frequent, models)]
         known = [k + np.bincount(of[usual], l_, len(texts)) for k, l_ in zip(known, own, strict=True)]
         yield _batch(row, np.zeros(len(row), np.int64), np.full(len(row), TEXT), n, row, batch["name"].cast(kept), *known)
@@ -356,7 +357,7 @@ def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored
 
 def _batch(key, pair, about, n, row, name, *losses_) -> pa.RecordBatch:
     arrays = [pa.array(key, pa.int64()), pa.array(pair, pa.int64()), pa.array(about.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(row, pa.int64()), name]
-    return pa.RecordBatch.from_arrays([*arrays, *map(pa.array, losses_)], names=["key", "pair", "about", "n", "row", "doc_id", *LOSSES])
+    return pa.RecordBatch.from_arrays([*arrays, *[pa.array(l_.astype(np.float64)) for l_ in losses_]], names=["key", "pair", "about", "n", "row", "doc_id", *LOSSES])
 
 
 def _alone(n: np.ndarray, flags: np.ndarray, place: np.ndarray, frequent: Frequent, models: Models) -> tuple[np.ndarray, np.ndarray]:
@@ -401,8 +402,9 @@ def _weighed(rows: pa.Table, frequent: Frequent, models: Models) -> Iterator[pa.
         word[~rare] = counts[place[~rare]]
         words.append(word)
     # Frequent words have been weighed as if their pair stood in no other text.
-    wanted = (row >= 0) & (rare | (pairs[0] != good) | (pairs[1] != seen))
-    before = [np.where(rare[wanted], 0.0, l_) for l_ in _alone(n[wanted], about[wanted], np.where(rare, 0, place)[wanted], frequent, models)] if len(frequent.sorted) else [0.0, 0.0]
+    left_out = (about & LEFT_OUT) != 0
+    wanted = (row >= 0) & np.where(left_out, pairs[1] > 0, rare | (pairs[0] != good) | (pairs[1] != seen))
+    before = [np.where((rare | left_out)[wanted], 0.0, l_) for l_ in _alone(n[wanted], about[wanted], np.where(rare, 0, place)[wanted], frequent, models)] if len(frequent.sorted) else [0.0, 0.0]
     after = models.losses(tuple(p[wanted] for p in pairs), tuple(w[wanted] for w in words))
     found = [pa.array((l_ - was) * n[wanted]) for l_, was in zip(after, before, strict=True)]
     count = int(wanted.sum())

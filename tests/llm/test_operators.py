@@ -207,6 +207,16 @@ def test_cross_entropy_counts_every_word(lines, monkeypatch, head):
     assert len(by) == 3 and by[1] < by[None] and all(map(math.isfinite, by.values()))
 
 
+@pytest.mark.parametrize("head", [0, 1 << 18])
+def test_cross_entropy_of_null_texts_without_empty_ones(lines, monkeypatch, head):
+    monkeypatch.setattr(cross_entropy, "HEAD", head)
+    docs = lines.createDataFrame([(1, "amber birch"), (2, "cobalt"), (3, None)], "doc_id long, text string")
+    models = cross_entropy.fit(docs, docs.where("doc_id = 1").select("doc_id"))
+    by = {r["doc_id"]: r for r in cross_entropy.score(docs, models).collect()}
+    assert by[3]["tokens"] == 1 and by[3]["target_loss"] == by[3]["background_loss"] == by[3]["score"] == 0
+    assert by[1]["score"] < 0 < by[2]["score"]
+
+
 @pytest.mark.parametrize("head", [0, 100, 1 << 18])
 def test_cross_entropy_stores_words_and_frequent_pairs_only(lines, monkeypatch, head):
     """Texts whose pairs are nearly all different: their pairs are counted where they meet, in batches of few rows."""
