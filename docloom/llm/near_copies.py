@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import simhash
@@ -40,6 +40,8 @@ SMALL = 32
 FAR = 18
 # Links of one text that are checked against one copy of its shingles.
 LINKS = 512
+# Places of a group that are brought together with its leader.
+TOGETHER = 1024
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,8 +179,22 @@ def _grouped(described: DataFrame) -> DataFrame:
     return cut_lineage(dealt.join(counts, "run").select("run", "id", "n"))
 
 
-def links(docs: DataFrame, described: DataFrame) -> DataFrame:
-    """(a, b): links between different sets.
+def _with_leaders(places: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``places`` with the leader (b, root_b) of their group; none of groups without one.
+
+    A group is in parts of about ``TOGETHER`` places, and its leader is copied to each of them.
+    """
+    last = F.expr(f"n div {TOGETHER}")
+    parted = places.withColumn("part", F.pmod(F.xxhash64("id"), last + 1))
+    heads = leaders.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).select("run", "part", "b", "root_b")
+    group = Window.partitionBy("run", "part")
+    both = parted.unionByName(heads, allowMissingColumns=True)
+    both = both.withColumns({c: F.max(c).over(group) for c in ("b", "root_b")})
+    return both.where("id IS NOT NULL AND b IS NOT NULL").drop("part")
+
+
+def roots(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """(id, root): components of the links between different sets, without those of one set.
 
     Every group of sets with a common run is led by the one most of whose runs
     are widely shared, such as the text that the others were made from. All
@@ -197,17 +213,14 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
     grouped = _grouped(described)
     shared = grouped.groupBy("id").agg(F.sum("n").alias("n")).join(sets, "id")
     weights = shared.select("id", (F.col("n") / F.col("runs")).alias("weight"))
-    traits = cut_lineage(sets.select("id", "size", "print"))
-    places = cut_lineage(grouped.join(weights, "id").select("run", "id", "weight", F.lit(False).alias("led")))
-    roots, tried, found, before = None, None, None, 0
+    traits = sets.select("id", "size", "print")
+    places = cut_lineage(grouped.join(weights, "id").select("run", "n", "id", "weight", F.lit(False).alias("led"), F.col("id").alias("root")))
+    known, tried, found, before = None, None, None, 0
     while True:
-        placed = places.withColumn("root", F.col("id"))
-        if roots is not None:
-            placed = places.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         first = F.max(F.struct("weight", "id", "root"))
-        leaders = placed.where("not led").groupBy("run").agg(first.alias("l"))
-        leaders = cut_lineage(leaders.select("run", F.col("l.id").alias("b"), F.col("l.root").alias("root_b")))
-        met = placed.join(leaders, "run").where("root != root_b").select(F.col("id").alias("other"), "b").distinct()
+        leaders = places.where("not led").groupBy("run").agg(first.alias("l"), F.max("n").alias("n"))
+        leaders = cut_lineage(leaders.select("run", "n", F.col("l.id").alias("b"), F.col("l.root").alias("root_b")))
+        met = _with_leaders(places, leaders).where("root != root_b").select(F.col("id").alias("other"), "b").distinct()
         met = _side(met.join(traits, F.col("other") == F.col("id")), "a").drop("other")
         b = _side(traits, "b")
         pairs = _possible(met.withColumnRenamed("b", "other").join(b, F.col("other") == F.col("b")))
@@ -218,16 +231,18 @@ def links(docs: DataFrame, described: DataFrame) -> DataFrame:
             pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti"))
             tried, found = tried.unionByName(pairs), found.unionByName(_alike(docs, sets, pairs))
         count = found.count()
-        if count == before:
-            return found
+        if known is not None and count == before:
+            return known
         before = count
-        roots = cut_lineage(components(found).select(F.col("node").alias("id"), "root"))
+        known = cut_lineage(components(found).select(F.col("node").alias("id"), "root"))
+        if not count:
+            return known
         # Places in the component of a leader have been led; groups that are led throughout get no leader any more.
-        named = leaders.select("run", "b").join(roots.withColumnsRenamed({"id": "b", "root": "root_b"}), "b", "left")
-        named = named.select("run", F.coalesce("root_b", "b").alias("root_b"))
-        now = places.join(roots, "id", "left").join(named, "run")
-        led = F.col("led") | (F.coalesce("root", "id") == F.col("root_b"))
-        places = cut_lineage(now.select("run", "id", "weight", led.alias("led")))
+        named = leaders.select("run", "n", "b").join(known.withColumnsRenamed({"id": "b", "root": "root_b"}), "b", "left")
+        named = named.select("run", "n", "b", F.coalesce("root_b", "b").alias("root_b"))
+        now = places.drop("root").join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        led = F.col("led") | (F.col("root") == F.col("root_b"))
+        places = cut_lineage(_with_leaders(now, named).select("run", "n", "id", "weight", led.alias("led"), "root"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -242,8 +257,8 @@ def classes(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text_hash", "d.*")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    roots = components(links(docs, described)).select(F.col("node").alias("id"), "root")
-    return described.select("doc_id", "text_hash", "id").join(roots, "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+    known = roots(docs, described)
+    return described.select("doc_id", "text_hash", "id").join(known, "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from glob import glob
 import numpy as np
 import pytest
 
-from docloom.llm import near_copies, simhash
+from docloom.llm import components, near_copies, simhash
 from tests.llm.conftest import ODD, SCHEMA
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -122,6 +122,27 @@ def test_rounds_leave_no_exchanged_files(lines):
     assert not set(glob(f"{root}/blockmgr-*/*/shuffle_*")) - before
 
 
+def test_stars_of_links_take_one_step(lines, monkeypatch):
+    """No further step is made to see that nothing changes."""
+    cuts = []
+    monkeypatch.setattr(components, "cut_lineage", lambda df: cuts.append(1) or near_copies.cut_lineage(df))
+    links = [(1, i) for i in range(2, 50)] + [(60, 61), (5, 1)]
+    got = {r["node"]: r["root"] for r in components.components(lines.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 50)} | {60: 60, 61: 60} and len(cuts) == 2
+
+
+def test_places_meet_their_leader_without_a_join(lines):
+    """Hot groups are in parts that each hold the leader; groups without one are left out."""
+    hot = 3 * near_copies.TOGETHER
+    rows = [(1, i, hot) for i in range(hot)] + [(2, 7, 2), (2, 8, 2), (3, 9, 2)]
+    places = lines.createDataFrame(rows, "run long, id long, n long")
+    leaders = lines.createDataFrame([(1, hot, 5, 50), (2, 2, 8, 8)], "run long, n long, b long, root_b long")
+    met = near_copies._with_leaders(places, leaders)
+    assert "Join" not in met._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in met.select("run", "id", "n", "b", "root_b").collect())
+    assert got == [(1, i, hot, 5, 50) for i in range(hot)] + [(2, 7, 2, 8, 8), (2, 8, 2, 8, 8)]
+
+
 def test_odd_documents(odd, empty):
     rows = near_copies.classes(odd).collect()
     assert len(rows) == len(ODD)
