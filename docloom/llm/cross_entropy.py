@@ -8,8 +8,9 @@ pairs are dealt out by the pair, where they are counted and weighed at once.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,14 @@ from docloom.session import shared_dir
 END = np.int64(0x5851F42D4C957F2D)
 # Weight of the unigram model in a word's followers, in counts.
 BACK_OFF = 50.0
-# Words, or rows of pairs, that a task holds before it hands on their counts.
-HELD = 1 << 20
+# Words, or pairs, that a task holds before it hands them on.
+HELD = 1 << 19
+# Pairs that are weighed at once.
+WEIGHED = 1 << 17
+# Pairs are dealt to buckets and what they add to parts of the texts, of about so many words each; of
+# either there are so many to each partition at least.
+BUCKET, BUCKETS = 1 << 19, 16
+PART, PARTS = 1 << 21, 4
 # Words and pairs whose counts are brought to every task: the most frequent ones, each at most this
 # many rows of three numbers. So no other pair is a hot key.
 HEAD = 1 << 18
@@ -39,15 +46,21 @@ STEPS = 4
 TEXTS = 64
 LOSSES = ("target_loss", "background_loss")
 
-# A row's ``key`` deals it out. Pairs of two frequent words have their places there; pairs of a rare
+# A pair's ``key`` deals it out. Pairs of two frequent words have their places there; pairs of a rare
 # word and a frequent one have a hash, and the latter's place as ``pair``. Pairs whose second word is
 # rare lie with that word, so that it is counted there as well, and have their hash as ``pair``.
-FREQUENT, RARE_FIRST, RARE_SECOND, TEXT = range(4)
+FREQUENT, RARE_FIRST, RARE_SECOND = range(3)
 # Null texts of the models' own documents are left out of the counts: a pair that only they have costs nothing.
 KIND, COUNTED, GOOD, LEFT_OUT = 3, 4, 8, 16
 PLACE_BITS = 20
 PLACES = (1 << PLACE_BITS) - 1
 SIGN = np.int64(-(1 << 63))
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+# What moves: arrays of pairs and of what they add to texts, beside rows of single texts. Arrays are dealt by the first.
+PAIRS = {"keys": pa.int64(), "pairs": pa.int64(), "abouts": pa.int8(), "ns": pa.int32(), "rows": pa.int64()}
+ADDED = {"rows": pa.int64(), "targets": pa.float64(), "backgrounds": pa.float64()}
+TEXT = ("row", "doc_id", "tokens", *LOSSES)
 
 
 def _hashes(text: str | None) -> np.ndarray:
@@ -266,9 +279,10 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     out, whatever their names.
 
     A text's most frequent pairs are looked up where it is read. Each of its
-    others is one row with its number, which moves once, to where all rows of the
-    pair are counted. A pair of a frequent word is first weighed as if it stood in
-    no other text, as most do; so only rows of other texts' pairs go back, to be summed up by text.
+    others moves once, with the text's number, to where all texts' pairs like it are
+    counted. A pair of a frequent word is first weighed as if it stood in
+    no other text, as most do; so only other texts' pairs go back, to be summed up by text.
+    Pairs move in arrays, those of many texts for one bucket in a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(models))
     name = _name(docs)
@@ -276,16 +290,30 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     # The models without their tables, which stay with the driver.
     totals = Models(None, None, None, models.target_total, models.total, models.kinds, models.flat)
 
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(models.total // BUCKET + 1, BUCKETS * partitions)
+    parts = max(models.total // PART + 1, PARTS * partitions)
+    text = f"row long, doc_id {name}, tokens int, target_loss double, background_loss double"
+
     def pairs_of(texts: DataFrame, scored: bool, uncounted: int = 0) -> DataFrame:
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, waiting = [], 0
             for batch in batches:
                 for start in range(0, batch.num_rows, TEXTS):
-                    yield from _looked_up(batch.slice(start, TEXTS), shared.value, totals, scored, kept, uncounted)
+                    own, pairs = _looked_up(batch.slice(start, TEXTS), shared.value, totals, scored, kept, uncounted)
+                    if scored:
+                        yield _texts(own, PAIRS, buckets)
+                    held.append(pairs)
+                    waiting += len(pairs[0])
+                    if waiting >= HELD:
+                        yield _arrays(held, PAIRS, buckets, kept)
+                        held, waiting = [], 0
+            if held:
+                yield _arrays(held, PAIRS, buckets, kept)
 
         columns = texts.select("row", F.col("name").cast(name).alias("name"), "text", "good", "counted")
-        return columns.mapInArrow(
-            look_up, f"key long, pair long, about int, n int, row long, doc_id {name}, target_loss double, background_loss double"
-        )
+        arrays = "keys array<long>, pairs array<long>, abouts array<tinyint>, ns array<int>, rows array<long>"
+        return columns.mapInArrow(look_up, f"bucket int, {arrays}, {text}")
 
     if docs.sameSemantics(models.docs):
         rows = pairs_of(models.texts.withColumn("counted", F.col("text").isNotNull()), True, LEFT_OUT)
@@ -296,33 +324,39 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         rows = pairs_of(others, True).unionByName(pairs_of(held, False))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        waiting = 0
-        for batch in batches:
-            held.append(batch)
-            waiting += batch.num_rows
-            if waiting >= HELD:
-                rows = pa.Table.from_batches(held)
-                # The last key may go on in the next batch.
-                end = int(np.searchsorted(rows["key"].to_numpy(), rows["key"][-1].as_py()))
-                if end:
-                    yield from _weighed(rows.slice(0, end), shared.value, totals)
-                held = rows.slice(end).combine_chunks().to_batches()
-                waiting = 0
-        if held:
-            yield from _weighed(pa.Table.from_batches(held), shared.value, totals)
-
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    weighed = dealt.mapInArrow(weigh, f"row long, doc_id {name}, tokens int, target_loss double, background_loss double")
-    # A text's rows come from nearly as many tasks: they meet without a partial step.
-    sums = weighed.repartition("row").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").cast("long").alias("tokens"), *[F.sum(c).alias(c) for c in LOSSES])
+        for texts, held in _buckets(batches, PAIRS):
+            for own in texts:
+                yield _texts(own, ADDED, parts)
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            order = np.argsort(columns[0])
+            columns = [c[order] for c in columns]
+            key, added, start = columns[0], [], 0
+            while start < len(key):
+                # The pairs of a key are weighed together.
+                end = int(np.searchsorted(key, key[min(start + WEIGHED, len(key)) - 1], side="right"))
+                added.append(_weighed(*[c[start:end] for c in columns], shared.value, totals))
+                start = end
+            if added:
+                yield _arrays(added, ADDED, parts, kept)
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, held in _buckets(batches, ADDED, _by_row):
+            row, *sums = _by_row(held)
+            for own in texts:
+                at = np.searchsorted(row, own["row"].to_numpy())
+                found = np.append(row, -1)[at] == own["row"].to_numpy()
+                losses_ = [own[c].to_numpy() + np.where(found, np.append(v, 0.0)[at], 0.0) for c, v in zip(LOSSES, sums, strict=True)]
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["tokens"].cast(pa.int64()), *map(pa.array, losses_)], names=["doc_id", "tokens", *LOSSES])
+
+    weighed = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(weigh, f"bucket int, rows array<long>, targets array<double>, backgrounds array<double>, {text}")
+    sums = weighed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sum_up, f"doc_id {name}, tokens long, target_loss double, background_loss double")
     kind = dict(docs.dtypes)["doc_id"]
     means = sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "tokens", *[(F.col(c) / F.col("tokens")).alias(c) for c in LOSSES])
     return means.withColumn("score", F.col(LOSSES[0]) - F.col(LOSSES[1]))
 
 
-def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored: bool, kept: pa.DataType, uncounted: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text, with the losses of its most frequent pairs, and one for each of its other pairs."""
+def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored: bool, kept: pa.DataType, uncounted: int) -> tuple[pa.RecordBatch, tuple[np.ndarray, ...]]:
+    """A row for each text, with the losses of its most frequent pairs, and its other pairs (``PAIRS``)."""
     texts = [_ended(text) for text in batch["text"].to_pylist()]
     row, counted, good = (np.asarray(batch[c].to_pylist()) for c in ("row", "counted", "good"))
     n = np.array([len(t) - 1 for t in texts], np.int64)
@@ -348,16 +382,61 @@ def _looked_up(batch: pa.RecordBatch, frequent: Frequent, models: Models, scored
         usual = (b >= 0) & ((flags & LEFT_OUT) == 0)
         own = [l_ * m[usual] for l_ in _alone(m[usual], flags[usual], b[usual], frequent, models)]
         known = [k + np.bincount(of[usual], l_, len(texts)) for k, l_ in zip(known, own, strict=True)]
-        yield _batch(row, np.zeros(len(row), np.int64), np.full(len(row), TEXT), n, row, batch["name"].cast(kept), *known)
-    yield _batch(
-        np.choose(kinds, [(a << PLACE_BITS) | b, hashed | SIGN, word | SIGN]), np.choose(kinds, [np.zeros(len(b), np.int64), b, hashed]),
-        kinds | flags, m, row[of] if scored else np.full(len(of), -1), pa.nulls(len(of), kept), np.zeros(len(of)), np.zeros(len(of)),
-    )
-
-
-def _batch(key, pair, about, n, row, name, *losses_) -> pa.RecordBatch:
-    arrays = [pa.array(key, pa.int64()), pa.array(pair, pa.int64()), pa.array(about.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(row, pa.int64()), name]
-    return pa.RecordBatch.from_arrays([*arrays, *[pa.array(l_.astype(np.float64)) for l_ in losses_]], names=["key", "pair", "about", "n", "row", "doc_id", *LOSSES])
+    own = pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), batch["name"].cast(kept), pa.array(n.astype(np.int32)), *[pa.array(k.astype(np.float64)) for k in known]], names=TEXT)
+    key = np.choose(kinds, [(a << PLACE_BITS) | b, hashed | SIGN, word | SIGN])
+    pair = np.choose(kinds, [np.zeros(len(b), np.int64), b, hashed])
+    return own, (key, pair, (kinds | flags).astype(np.int8), m.astype(np.int32), row[of] if scored else np.full(len(of), -1))
+
+
+def _bucket(values: np.ndarray, count: int) -> np.ndarray:
+    return ((values.view(np.uint64) * MIX >> np.uint64(20)) % np.uint64(count)).astype(np.int32)
+
+
+def _texts(own: pa.RecordBatch, fields: Mapping[str, pa.DataType], count: int) -> pa.RecordBatch:
+    """Rows of single texts, dealt to one of ``count`` buckets."""
+    bucket = pa.array(_bucket(own["row"].to_numpy(), count))
+    none = [pa.nulls(own.num_rows, pa.list_(kind)) for kind in fields.values()]
+    return pa.RecordBatch.from_arrays([bucket, *none, *own.columns], names=["bucket", *fields, *TEXT])
+
+
+def _arrays(held: list[tuple[np.ndarray, ...]], fields: Mapping[str, pa.DataType], count: int, kept: pa.DataType) -> pa.RecordBatch:
+    """A row of arrays for each of the ``count`` buckets that any of the first values is dealt to."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    bucket = _bucket(columns[0].astype(np.int64), count)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.flatnonzero(_starts(bucket))
+    ends = pa.array(np.append(at, len(bucket)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(c[order], kind)) for c, kind in zip(columns, fields.values(), strict=True)]
+    none = [pa.nulls(len(at), kind) for kind in (pa.int64(), kept, pa.int32(), pa.float64(), pa.float64())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at]), *lists, *none], names=["bucket", *fields, *TEXT])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], fields: Mapping[str, pa.DataType], fold: Callable | None = None) -> Iterator[tuple[list, list]]:
+    """For each bucket of sorted rows, those of texts and the arrays, which ``fold`` makes smaller."""
+    at, texts, held, waiting = None, [], [], 0
+    for batch in batches:
+        bucket = batch["bucket"].to_numpy()
+        for start, end in pairwise(np.append(np.flatnonzero(_starts(bucket)), len(bucket)).tolist()):
+            if bucket[start] != at:
+                if at is not None:
+                    yield texts, held
+                at, texts, held, waiting = bucket[start], [], [], 0
+            rows = batch.slice(start, end - start)
+            texts.append(rows.filter(rows["row"].is_valid()).select(TEXT))
+            held.append(tuple(rows[c].flatten().to_numpy() for c in fields))
+            waiting += len(held[-1][0])
+            if fold and waiting >= HELD:
+                held, waiting = [fold(held)], 0
+    if at is not None:
+        yield texts, held
+
+
+def _by_row(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """The sums of each text's row, in order of rows."""
+    row, *values = (np.concatenate(c) for c in zip(*held, strict=True))
+    rows, at = np.unique(row, return_inverse=True)
+    return rows, *[np.bincount(at, v, len(rows)) for v in values]
 
 
 def _alone(n: np.ndarray, flags: np.ndarray, place: np.ndarray, frequent: Frequent, models: Models) -> tuple[np.ndarray, np.ndarray]:
@@ -381,12 +460,8 @@ def _starts(*values: np.ndarray) -> np.ndarray:
     return starts
 
 
-def _weighed(rows: pa.Table, frequent: Frequent, models: Models) -> Iterator[pa.RecordBatch]:
-    """The rows of texts as they are, and what the losses of each text's other pairs add; all rows of a key are there."""
-    text = rows["about"].to_numpy() == TEXT
-    own = rows.filter(pa.array(text)).select(["row", "doc_id", "n", *LOSSES])
-    yield from own.rename_columns(["row", "doc_id", "tokens", *LOSSES]).to_batches()
-    key, pair, about, n, row = (rows[c].to_numpy()[~text] for c in ("key", "pair", "about", "n", "row"))
+def _weighed(key: np.ndarray, pair: np.ndarray, about: np.ndarray, n: np.ndarray, row: np.ndarray, frequent: Frequent, models: Models) -> tuple[np.ndarray, ...]:
+    """What the losses of other pairs than a text's most frequent ones add to it (``ADDED``); all pairs of a key are there."""
     order = np.lexsort((pair, key))
     key, pair, about, n, row = key[order], pair[order], about[order], n[order], row[order]
     seen = n * ((about & COUNTED) != 0).astype(np.float64)
@@ -406,7 +481,4 @@ def _weighed(rows: pa.Table, frequent: Frequent, models: Models) -> Iterator[pa.
     wanted = (row >= 0) & np.where(left_out, pairs[1] > 0, rare | (pairs[0] != good) | (pairs[1] != seen))
     before = [np.where((rare | left_out)[wanted], 0.0, l_) for l_ in _alone(n[wanted], about[wanted], np.where(rare, 0, place)[wanted], frequent, models)] if len(frequent.sorted) else [0.0, 0.0]
     after = models.losses(tuple(p[wanted] for p in pairs), tuple(w[wanted] for w in words))
-    found = [pa.array((l_ - was) * n[wanted]) for l_, was in zip(after, before, strict=True)]
-    count = int(wanted.sum())
-    names = ["row", "doc_id", "tokens", *LOSSES]
-    yield pa.RecordBatch.from_arrays([pa.array(row[wanted], pa.int64()), pa.nulls(count, rows.schema.field("doc_id").type), pa.array(np.zeros(count, np.int32)), *found], names=names)
+    return row[wanted], *[(l_ - was) * n[wanted] for l_, was in zip(after, before, strict=True)]

@@ -240,6 +240,28 @@ def test_cross_entropy_stores_words_and_frequent_pairs_only(lines, monkeypatch,
     assert max(df.count() for df in stored) <= 20 * 20
 
 
+def test_cross_entropy_weighs_few_pairs_at_once(lines, monkeypatch):
+    """However many pairs a task gets, those of a bucket are weighed in small shares, and no pair is a row of its own."""
+    random_ = random.Random(6)
+    texts = [" ".join(random_.choices([f"w{i}" for i in range(200)], k=150)) for _ in range(40)]
+    docs = lines.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    most = lines.sparkContext.accumulator(0)
+    weighed = cross_entropy._weighed
+
+    def counted(key, *others):
+        # Only a key with more pairs makes a larger share.
+        assert len(key) <= 400, len(key)
+        most.add(1)
+        return weighed(key, *others)
+
+    for name, value in (("HEAD", 50), ("FIRST", 10), ("WEIGHED", 100), ("HELD", 300), ("_weighed", counted)):
+        monkeypatch.setattr(cross_entropy, name, value, raising=False)
+    scored = cross_entropy.score(docs, cross_entropy.fit(docs, docs.where("doc_id < 9").select("doc_id")))
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert np.allclose([got[i] for i in range(40)], plain_scores(texts, list(range(9))))
+    assert most.value > 20
+
+
 # --- 4 mixing --------------------------------------------------------------------------
 
 
