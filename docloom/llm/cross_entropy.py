@@ -30,9 +30,9 @@ BACK_OFF = 50.0
 HELD = 1 << 19
 # Pairs that are weighed at once.
 WEIGHED = 1 << 17
-# Pairs are dealt to buckets and what they add to parts of the texts, of about so many words each; of
-# either there are so many to each partition at least.
-BUCKET, BUCKETS = 1 << 19, 16
+# Pairs are dealt to buckets, and what they add to parts of the texts, of about so many words each. The fewer
+# the buckets, the more pairs of a text meet in one; there are so many of either to each partition at least.
+BUCKET, LEAST = 1 << 20, 512
 PART, PARTS = 1 << 21, 4
 # Words and pairs whose counts are brought to every task: the most frequent ones, each at most this
 # many rows of three numbers. So no other pair is a hot key.
@@ -98,14 +98,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """row, name, text and ``good``, whether the id is among ``ids`` (_target).
 
-    Ids are found by an exact join; a Bloom filter leaves most other texts in place.
+    A Bloom filter finds them where the texts are; ids that it takes for others are told by an exact join of ids.
     """
-    judged = bloom.build(ids, "_target").flag(_numbered(docs), F.col("doc_id"), "_maybe")
-    maybe = judged.where("_maybe").join(ids, F.col("doc_id") == F.col("_target"), "left")
-    # Both sides are numbered on their own, and rows may come in another order: odd numbers and even ones.
-    found = maybe.select((F.col("row") * 2 + 1).alias("row"), "name", "text", F.col("_target").isNotNull().alias("good"))
-    others = judged.where("not _maybe").select((F.col("row") * 2).alias("row"), "name", "text", F.lit(False).alias("good"))
-    return found.unionByName(others)
+    filter_ = bloom.build(ids, "_target")
+    maybe = filter_.flag(docs.select("doc_id"), F.col("doc_id"), "_maybe").where("_maybe")
+    wrong = _stored(maybe.select(F.col("doc_id").alias("_wrong")).distinct().join(ids, F.col("_wrong") == F.col("_target"), "left_anti"))
+    judged = filter_.flag(_numbered(docs), F.col("doc_id"), "_maybe")
+    # Few of them, so that texts need not move.
+    judged = judged.join(wrong, F.col("_maybe") & (F.col("doc_id") == F.col("_wrong")), "left")
+    return judged.select("row", "name", "text", (F.col("_maybe") & F.col("_wrong").isNull()).alias("good"))
 
 
 def _summed(texts: DataFrame, codes: Callable[[np.ndarray], np.ndarray], columns: tuple[str, str, str]) -> DataFrame:
@@ -291,7 +292,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     totals = Models(None, None, None, models.target_total, models.total, models.kinds, models.flat)
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(models.total // BUCKET + 1, BUCKETS * partitions)
+    buckets = max(models.total // BUCKET + 1, LEAST, PARTS * partitions)
     parts = max(models.total // PART + 1, PARTS * partitions)
     text = f"row long, doc_id {name}, tokens int, target_loss double, background_loss double"
 
@@ -337,7 +338,7 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
                 added.append(_weighed(*[c[start:end] for c in columns], shared.value, totals))
                 start = end
             if added:
-                yield _arrays(added, ADDED, parts, kept)
+                yield _arrays([_by_row(added)], ADDED, parts, kept)
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, held in _buckets(batches, ADDED, _by_row):

@@ -262,6 +262,20 @@ def test_cross_entropy_weighs_few_pairs_at_once(lines, monkeypatch):
     assert most.value > 20
 
 
+def test_cross_entropy_leaves_texts_of_many_good_ids_in_place(lines):
+    """Ids too many to broadcast meet ids, not texts; those that the filter takes for others are told apart."""
+    docs = lines.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    ids = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("_target"))
+    before = lines.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    lines.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        flagged = cross_entropy._flagged(docs, ids)
+        assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
+        assert {int(r["name"]): r["good"] for r in flagged.collect()} == {i: i % 2 == 0 for i in range(4000)}
+    finally:
+        lines.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 # --- 4 mixing --------------------------------------------------------------------------
 
 
