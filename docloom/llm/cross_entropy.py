@@ -31,9 +31,9 @@ HELD = 1 << 19
 # Pairs that are weighed at once.
 WEIGHED = 1 << 17
 # Pairs are dealt to buckets, and what they add to parts of the texts, of about so many words each. The fewer
-# the buckets, the more pairs of a text meet in one; there are so many of either to each partition at least.
+# the buckets, the more pairs of a text meet in one, and the fewer the rows, of which each bucket has one for a part.
 BUCKET, LEAST = 1 << 20, 512
-PART, PARTS = 1 << 21, 4
+PART = 1 << 21
 # Words and pairs whose counts are brought to every task: the most frequent ones, each at most this
 # many rows of three numbers. So no other pair is a hot key.
 HEAD = 1 << 18
@@ -292,8 +292,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     totals = Models(None, None, None, models.target_total, models.total, models.kinds, models.flat)
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(models.total // BUCKET + 1, LEAST, PARTS * partitions)
-    parts = max(models.total // PART + 1, PARTS * partitions)
+    buckets = max(models.total // BUCKET + 1, LEAST, partitions)
+    parts = max(models.total // PART + 1, partitions)
     text = f"row long, doc_id {name}, tokens int, target_loss double, background_loss double"
 
     def pairs_of(texts: DataFrame, scored: bool, uncounted: int = 0) -> DataFrame:
