@@ -523,6 +523,17 @@ def test_every_family_over_the_threshold_has_a_row(lines):
     assert (granted, "mit") in expected and not rows[granted][1].startswith("Permission")
 
 
+def test_terms_of_creative_commons_are_one_word(lines):
+    texts = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc"}, "Licensed under CC-BY-NC 4.0.": {"cc-by-nc"},
+        "Licensed under CC BY-SA 4.0.": {"cc-by-sa"}, "Licensed under CC BY 4.0.": {"cc-by"},
+        "Released under CC-BY 4.0.": {"cc-by"}, "Licensed-under-CC-BY-NC-4.0.": {"cc-by-nc"},
+    }
+    docs = lines.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["family"]) for r in licenses.scan(docs, licenses.fit(docs)).collect()}
+    assert found == {(i, family) for i, families in enumerate(texts.values()) for family in families}
+
+
 # --- 10 quality ------------------------------------------------------------------------
 
 
