@@ -534,6 +534,72 @@ def test_terms_of_creative_commons_are_one_word(lines):
     assert found == {(i, family) for i, families in enumerate(texts.values()) for family in families}
 
 
+def test_notices_over_several_lines_are_found(lines):
+    """Against all templates on all runs of lines of a paragraph; a run counts if no run within it does the same."""
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts]
+    choose, docs = random.Random(9), []
+    for text in texts:
+        words = text.split()
+        cuts = sorted(choose.sample(range(len(words) + 1), 2))
+        halves = [" ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])]
+        thirds = [" ".join(words[: cuts[0]]) + " --", " ".join(words[cuts[0] : cuts[1]]) + " --", " ".join(words[cuts[1] :]) + " --"]
+        docs += ["\n".join(halves), "\r\n".join(f"// {t}" for t in thirds), "\n \n".join(halves), "\n----\n".join(halves)]
+        docs.append("\n".join([prose(3), *halves, text, *halves, prose(4), "", *thirds]))
+    for _ in range(60):  # shuffled pieces of the templates of two families
+        pieces = []
+        for text in choose.sample([t for f in choose.sample(sorted(licenses.TEMPLATES), 2) for t in licenses.TEMPLATES[f]] * 3, 4):
+            words, at = text.split(), 0
+            while at < len(words):
+                size = choose.randint(1, 5)
+                pieces.append(" ".join(words[at : at + size]))
+                at += size - choose.randint(0, 1) * (size > 1)
+        if choose.random() < 0.5:
+            pieces[choose.randrange(len(pieces))] = choose.choice(["", "\t", "...", "Привет"])
+        docs.append("\n".join(pieces))
+    docs += [docs[0]]
+    # Shingles that are next to prose with the rest of them are no notice.
+    docs.append("\n".join(["208.98.142.209 " + prose(6), "This work is licensed under the GNU General Public License, version 3."]))
+    shingles = {
+        f: [(set(licenses._template_shingles(t)), int(licenses.SPREAD * len(licenses._template_words(t)))) for t in ts]
+        for f, ts in licenses.TEMPLATES.items()
+    }
+    expected, covered = [], set()
+    for n, text in enumerate(docs):
+        rows = text.split("\n")
+        held = {}
+        for i in reversed(range(len(rows))):
+            for j in range(i, len(rows)):
+                if not rows[j].strip():
+                    break
+                words, held[i, j] = licenses._template_words(" ".join(rows[i : j + 1])), set()
+                for f, parts in shingles.items():
+                    for part, long in parts:
+                        long = long if j > i else len(words)
+                        near = [{" ".join(words[k : k + 2]) for k in range(s, min(s + long, len(words)) - 1)} for s in range(len(words))]
+                        if any(len(part & has) / len(part) >= licenses.CONFIRMED for has in near):
+                            held[i, j].add(f)
+                held[i, j] |= {f for k in range(i, j + 1) for f in held[k, k]}
+        for (i, j), families in held.items():
+            for f in families - held.get((i + 1, j), set()) - (held[i, j - 1] if j > i else set()):
+                expected.append((n, i + 1, f))
+                covered |= {(n, k + 1) for k in range(i, j + 1) if j > i}
+    table = lines.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = licenses.scan(table, licenses.fit(table.where("doc_id < 0"))).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got if r["family"] != "unknown") == sorted(expected)
+    assert all(r["similarity"] >= licenses.CONFIRMED for r in got if r["family"] != "unknown")
+    assert not covered & {(r["doc_id"], r["paragraph"]) for r in got if r["family"] == "unknown"}
+    assert all(0 <= r["probability"] <= 1 for r in got) and len(covered) > 2 * len(texts)
+    assert [(i, f) for n, i, f in expected if n == len(docs) - 1] == [(2, "gpl")]
+
+
+def test_lines_without_a_cue_word_are_classified(lines):
+    rows = [(0, "Distributed under the GNU Affero General Public terms, version 3."), (1, prose(5)), (2, "A general is in public.")]
+    docs = lines.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.scan(docs, licenses.fit(docs)).collect()
+    assert [(r["doc_id"], r["paragraph"], r["family"]) for r in got] == [(0, 1, "unknown")]
+    assert 0.5 <= got[0]["probability"] <= 1 and 0 < got[0]["similarity"] < licenses.CONFIRMED
+
+
 # --- 10 quality ------------------------------------------------------------------------
 
 
